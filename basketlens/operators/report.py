@@ -163,7 +163,7 @@ def category_shares_any(df: DataFrame, k: int = 4) -> DataFrame:
     k segments, so that an absent pair reads 0.
     """
     names = segment_names(k)
-    known = df.where(F.col(SEGMENT).isin(names) & F.col("category").isNotNull())
+    known = _known(df).where(F.col("category").isNotNull())
     pairs = known.groupBy("category", SEGMENT).agg(F.count(F.lit(1)).alias("n"))
     # k conditional sums per category; the segment totals are one row.
     per_category = pairs.groupBy("category").agg(
@@ -185,7 +185,7 @@ def category_shares_any(df: DataFrame, k: int = 4) -> DataFrame:
     return long.where(F.col("preference").isNotNull()).select(SEGMENT, "category", "preference")
 
 
-def box_stats(df: DataFrame, value: str, k: int = 4) -> DataFrame:
+def box_stats(df: DataFrame, value: str) -> DataFrame:
     """Box-plot data per segment: quartiles (linear interpolation), whiskers, outliers.
 
     The quartiles are exact, yet no task sorts a whole segment.  A sketch proposes a
@@ -193,8 +193,7 @@ def box_stats(df: DataFrame, value: str, k: int = 4) -> DataFrame:
     wanted ranks; only the values inside are ordered.  The sketch steers the amount of
     work, never the result.  Equal values travel as one row with a count.
     """
-    names = segment_names(k)
-    rows = df.where(F.col(SEGMENT).isin(names) & ~missing(df, value)).select(
+    rows = _known(df).where(~missing(df, value)).select(
         SEGMENT, F.col(value).cast("double").alias("v")
     )
     margin = 2.0 / SKETCH_ACCURACY
@@ -205,7 +204,7 @@ def box_stats(df: DataFrame, value: str, k: int = 4) -> DataFrame:
     counts = rows.groupBy(SEGMENT, "v").agg(F.count(F.lit(1)).alias("n"))
 
     above = [(F.col("v") > F.col("_edges")[i]).cast("int") for i in range(len(cuts))]
-    # Broadcast sides below have one row per segment, at most k * (edges + 1) in all.
+    # Broadcast sides below have a few rows per segment, and segments are as many as centres.
     placed = counts.join(F.broadcast(edges), SEGMENT).select(
         SEGMENT, "v", "n", reduce(lambda a, b: a + b, above).alias("_bucket")
     )

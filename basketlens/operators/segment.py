@@ -27,39 +27,45 @@ class Segments:
     cost: float | None = None
 
     def z(self, i: int) -> Column:
+        """Standardised input, 0 where it is missing (such rows get no segment)."""
         c = F.col(f"`{self.columns[i]}`").cast("double")
-        if not self.scale[i]:
-            return F.when(c.isNotNull(), F.lit(0.0))
-        return (c - F.lit(float(self.shift[i]))) / F.lit(float(self.scale[i]))
+        scaled = (c - F.lit(float(self.shift[i]))) / F.lit(float(self.scale[i] or 1.0))
+        return F.coalesce(scaled, F.lit(0.0)) if self.scale[i] else F.lit(0.0)
 
     def assign(self, df: DataFrame, keep_distance: bool = False) -> DataFrame:
         """Add ``cluster`` 1..k and ``segment``; null where any input is null or NaN.
 
         The k squared distances are plain arithmetic in the scan's own stage, so complete
-        and incomplete rows stay in one pass.  Ties go to the lowest id.  Each distance is
-        written once: filters on the segment are pushed down with the whole expression.
+        and incomplete rows stay in one pass.  Ties go to the lowest id.  The steps are
+        projections of their own and free of nulls, which keeps the generated code short
+        enough to be compiled; "segment is known" reduces to null checks on the inputs.
         """
-        z = [self.z(i) for i in range(len(self.columns))]
-        candidates = [
-            F.struct(
-                reduce(
-                    lambda a, b: a + b,
-                    [(v - F.lit(float(x))) * (v - F.lit(float(x))) for v, x in zip(z, centre)],
-                ).alias("distance"),
-                F.lit(j).alias("id"),
-            )
-            for j, centre in enumerate(self.centres, start=1)
-        ]
-        known = reduce(lambda a, b: a & b, [~missing(df, c) for c in self.columns])
-        out = df.withColumn("_best", F.when(known, F.array_min(F.array(*candidates))))
+        k = len(self.centres)
+        z = [f"_z{i}" for i in range(len(self.columns))]
+        d = [f"_d{j}" for j in range(1, k + 1)]
+        out = df.withColumns({name: self.z(i) for i, name in enumerate(z)})
         out = out.withColumns(
             {
-                CLUSTER: F.col("_best.id"),
-                SEGMENT: F.concat(F.lit("Segment "), F.col("_best.id").cast("string")),
-                **({"distance": F.col("_best.distance")} if keep_distance else {}),
+                name: reduce(
+                    lambda a, b: a + b,
+                    [(F.col(v) - F.lit(float(x))) * (F.col(v) - F.lit(float(x))) for v, x in zip(z, centre)],
+                )
+                for name, centre in zip(d, self.centres)
             }
         )
-        return out.drop("_best")
+        out = out.withColumn("_least", F.least(*d) if k > 1 else F.col(d[0]))
+        best = F.lit(k)
+        for j in range(k - 1, 0, -1):
+            best = F.when(F.col(d[j - 1]) <= F.col("_least"), F.lit(j)).otherwise(best)
+        known = reduce(lambda a, b: a & b, [~missing(df, c) for c in self.columns])
+        out = out.withColumn("_best", best)
+        added = {
+            CLUSTER: F.when(known, F.col("_best")),
+            SEGMENT: F.when(known, F.concat(F.lit("Segment "), F.col("_best").cast("string"))),
+        }
+        if keep_distance:
+            added["distance"] = F.when(known, F.col("_least"))
+        return out.withColumns(added).drop("_best", "_least", *z, *d)
 
 
 def segment_names(k: int) -> list[str]:
@@ -118,7 +124,9 @@ def fit_segments(
     try:
 
         def fit(s: int):
-            model = KMeans(k=k, seed=s, featuresCol="features").fit(vectors)
+            # Through a projection the solver keeps its own unpacked copy for the iterations.
+            rows = vectors.select(F.col("features"))
+            model = KMeans(k=k, seed=s, featuresCol="features").fit(rows)
             return model.summary.trainingCost, [list(map(float, c)) for c in model.clusterCenters()]
 
         seeds = range(seed, seed + restarts)

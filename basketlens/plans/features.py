@@ -32,20 +32,17 @@ def levels(df: DataFrame, column: str, limit: int = MAX_FLAG_COLUMNS) -> list[st
 
 
 def add_value_score(df: DataFrame) -> DataFrame:
-    """Value score; the two maxima are one-row subqueries that skip null and NaN."""
-    top = df.agg(
-        *[
-            F.max(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(c)
-            for c in ("purchase_amount", "previous_purchases")
-        ]
-    )
+    """Value score; both maxima come from one one-row subquery and skip null and NaN."""
+    inputs = ("purchase_amount", "previous_purchases")
+    maxima = [
+        F.max(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(c) for c in inputs
+    ]
+    top = df.agg(F.struct(*maxima).alias("top")).scalar()
+    amount, previous = inputs
     return df.withColumn(
         "value_score",
         features.value_score(
-            F.col("purchase_amount"),
-            F.col("previous_purchases"),
-            top.select("purchase_amount").scalar(),
-            top.select("previous_purchases").scalar(),
+            F.col(amount), F.col(previous), top.getField(amount), top.getField(previous)
         ),
     )
 

@@ -48,7 +48,8 @@ def stringify_nested(df: DataFrame) -> DataFrame:
     for field in df.schema.fields:
         c = F.col(f"`{field.name}`")
         if isinstance(field.dataType, VectorUDT):
-            exprs[field.name] = F.get_json_object(F.to_json(F.struct(c.alias("v"))), "$.v")
+            wrapped = F.to_json(F.struct(c.alias("v")))  # {"v":<vector>}
+            exprs[field.name] = F.substr(wrapped, F.lit(6), F.length(wrapped) - 6)
         elif isinstance(field.dataType, nested):
             exprs[field.name] = F.to_json(c)
     return df.withColumns(exprs) if exprs else df

@@ -38,6 +38,17 @@ SEASON_BY_MONTH = {
 }
 
 
+# The columns read, stated so that no job is spent on looking into the files.
+TABLES = {
+    "lineitem": "l_orderkey long, l_partkey long, l_linenumber int, l_extendedprice double, l_discount double, "
+    "l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey long, c_nationkey int, c_mktsegment string",
+    "part": "p_partkey long, p_name string, p_type string, p_size int",
+    "nation": "n_nationkey int, n_name string",
+}
+
+
 def _lookup(value: Column, table: dict) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), value)
 
@@ -65,15 +76,16 @@ def position_in_group(df: DataFrame, key: str, day: str, tie: str, name: str) ->
 def shop(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
     """The flat table; with ``columns`` given, only those (and only the work they need).
 
-    No join is hinted: Spark broadcasts a side only when its known size is under the
-    session's threshold, otherwise both sides are shuffled and adaptive execution
-    splits the partitions of hot keys.
+    No side is broadcast by hint: Spark does so only when its known size is under the
+    session's threshold.  Lines and orders, both large, meet in a sort-merge join, which
+    can spill and whose hot keys adaptive execution splits; all work after it runs on
+    the partitions of that shuffle.
     """
 
     def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
-    orders = table("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    orders = table("orders")
     if columns is None or "previous_purchases" in columns:
         # Before any join on the customer, so that rows are spread by (customer, day).
         orders = position_in_group(
@@ -85,7 +97,7 @@ def shop(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) ->
     orders = orders.join(buyers, F.col("o_custkey") == F.col("c_custkey"))
     lines = (
         table("lineitem")
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table("part"), F.col("l_partkey") == F.col("p_partkey"))
     )
 
