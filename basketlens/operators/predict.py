@@ -21,6 +21,7 @@ from basketlens.operators.encode import (
 )
 from basketlens.operators.segment import cached, run_parallel
 from basketlens.schema import CUSTOMER_ID, ROW_KEY, has
+from basketlens.sources.files import materialised
 
 RATING = "review_rating"
 MISSING = "(missing)"
@@ -53,7 +54,7 @@ def prepare(
     keep_index: str | None = None,
 ) -> Prepared:
     """Bin, split, one-hot encode, standardise the rating; both parts get the same columns."""
-    binned = bin_columns(df)
+    binned = materialised(bin_columns(df), "binned")
     train, test = split(binned, key)
     categorical = [c for c in binned.columns if c not in (key, CUSTOMER_ID, RATING)]
     dictionary = fit_dictionary(train, categorical, missing_label=missing_label)
@@ -190,8 +191,8 @@ def fit_and_score(frame: ModelFrame, targets: list[str], threads: int = 4, **for
         row = metrics(predicted).first().asDict()
         return [(target, m, float(v)) for m, v in row.items() if v is not None]
 
-    rows = run_parallel([lambda t=t: score(t) for t in targets], threads)
     spark = frame.train.sparkSession
+    rows = run_parallel(spark, [lambda t=t: score(t) for t in targets], threads)
     return spark.createDataFrame(
         [r for part in rows for r in part], "target string, metric string, value double"
     )

@@ -8,7 +8,7 @@ from multiprocessing.pool import ThreadPool
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketlens.operators.encode import fit_standardizer
@@ -106,33 +106,32 @@ def fit_segments(
     seed: int = 42,
     columns: list[str] | None = None,
     include_id: bool = False,
+    max_iter: int = 10,
     parallel: int = 4,
 ) -> Segments:
     """k-means on all standardised numeric columns of the complete rows.
 
-    One fit per seed on a vector persisted once; the least cost wins.  Centres are
+    One fit per seed on rows cached once; the least cost wins.  Centres are
     sorted, so that segment numbers do not depend on the order the solver found them.
     """
     if columns is None:
         skip = (ROW_KEY,) if include_id else (ROW_KEY, CUSTOMER_ID)
         columns = numeric_columns(df, exclude=skip)
-    complete = complete_cases(df.select(*columns), columns)
-    standard = fit_standardizer(complete, columns)
-    scaled = complete.select(*[standard.scaled(c).alias(f"z{i}") for i, c in enumerate(columns)])
-    assembler = VectorAssembler(inputCols=scaled.columns, outputCol="features")
-    vectors = cached(assembler.transform(scaled).select("features"))
+    kept = cached(complete_cases(df.select(*columns), columns))
     try:
+        standard = fit_standardizer(kept, columns)
+        scaled = kept.select(*[standard.scaled(c).alias(f"z{i}") for i, c in enumerate(columns)])
+        # Not cached itself: the solver then keeps its own unpacked copy for the iterations.
+        vectors = VectorAssembler(inputCols=scaled.columns, outputCol="features").transform(scaled)
 
         def fit(s: int):
-            # Through a projection the solver keeps its own unpacked copy for the iterations.
-            rows = vectors.select(F.col("features"))
-            model = KMeans(k=k, seed=s, featuresCol="features").fit(rows)
+            model = KMeans(k=k, seed=s, maxIter=max_iter, featuresCol="features").fit(vectors)
             return model.summary.trainingCost, [list(map(float, c)) for c in model.clusterCenters()]
 
         seeds = range(seed, seed + restarts)
-        results = run_parallel([lambda s=s: fit(s) for s in seeds], parallel)
+        results = run_parallel(df.sparkSession, [lambda s=s: fit(s) for s in seeds], parallel)
     finally:
-        vectors.unpersist()
+        kept.unpersist()
     cost, centres = min(results, key=lambda r: r[0])
     return Segments(
         columns,
@@ -143,9 +142,9 @@ def fit_segments(
     )
 
 
-def run_parallel(jobs: list[Callable], threads: int) -> list:
+def run_parallel(spark: SparkSession, jobs: list[Callable], threads: int) -> list:
     """Submit Spark jobs from a few driver threads, so that small stages overlap."""
     if threads <= 1 or len(jobs) <= 1:
         return [job() for job in jobs]
     with ThreadPool(min(threads, len(jobs))) as pool:
-        return [r.get() for r in [pool.apply_async(inheritable_thread_target(j)) for j in jobs]]
+        return [r.get() for r in [pool.apply_async(inheritable_thread_target(spark)(j)) for j in jobs]]

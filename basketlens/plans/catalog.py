@@ -22,6 +22,7 @@ from basketlens.session import work_path
 from basketlens.sources.files import (
     clean_names,
     feature_set,
+    materialised,
     read_csv,
     stringify_nested,
     with_row_id,
@@ -93,9 +94,28 @@ def row_id_generated(spark, d):
     )
 
 
+# The columns each feature group is made from.
+GROUP_INPUTS = {
+    "demographic": ["age", "gender", "location"],
+    "value": ["purchase_amount", "previous_purchases"],
+    "purchase_behavior": [
+        "frequency_of_purchases", "discount_applied", "promo_code_used",
+        "subscription_status", "review_rating",
+    ],
+    "category": ["category", "item_purchased"],
+    "seasonal": ["season"],
+    "preference": ["payment_method", "shipping_type", "size_label", "color"],
+}
+
+
 def _feature_set(group: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        made = add_features(_segmented(spark, d, *[f.name for f in RETAIL.fields]))
+        inputs = GROUP_INPUTS[group]
+        table = _segmented(spark, d, "customer_id", *inputs)
+        if group == "value":
+            made = add_features(table)
+        else:
+            made = add_features(table.drop(*[c for c in FROZEN.columns if c not in inputs]))
         out = feature_set(made.df, made.groups[group])
         return _round(out, "value_score") if group == "value" else out
 
@@ -103,7 +123,7 @@ def _feature_set(group: str) -> Query:
     return query(run)
 
 
-for _group in ("demographic", "value", "purchase_behavior", "category", "seasonal", "preference"):
+for _group in GROUP_INPUTS:
     _feature_set(_group)
 
 
@@ -255,13 +275,13 @@ def value_score(spark, d):
 @query
 def category_flags(spark, d):
     table = _shop(spark, d, "category")
-    return add_flags(table, "category", CATEGORY_FLAG, levels(table, "category"))
+    return add_flags(table, "category", CATEGORY_FLAG, levels(table, "category")["category"])
 
 
 @query
 def season_flags(spark, d):
     table = _shop(spark, d, "season")
-    return add_flags(table, "season", SEASON_FLAG, levels(table, "season"))
+    return add_flags(table, "season", SEASON_FLAG, levels(table, "season")["season"])
 
 
 @query
@@ -308,7 +328,7 @@ def size_flags(spark, d):
 
 
 def _fitted(spark: SparkSession, d: str) -> tuple[DataFrame, encode.CategoryDictionary]:
-    table = predict.bin_columns(_shop(spark, d, *CATEGORICAL))
+    table = materialised(predict.bin_columns(_shop(spark, d, *CATEGORICAL)), "binned")
     train, _ = encode.split(table, ROW_KEY)
     return table, encode.fit_dictionary(train, CATEGORICAL)
 
@@ -463,7 +483,7 @@ def segment_profile(spark, d):
 def category_preferences(spark, d):
     table = _segmented(spark, d, "category")
     return report.category_preferences(
-        add_flags(table, "category", CATEGORY_FLAG, levels(_shop(spark, d, "category"), "category"))
+        add_flags(table, "category", CATEGORY_FLAG, levels(_shop(spark, d, "category"), "category")["category"])
     )
 
 
@@ -487,7 +507,7 @@ def size_preferences(spark, d):
 @query
 def category_pref_long(spark, d):
     table = _segmented(spark, d, "category")
-    flagged = add_flags(table, "category", CATEGORY_FLAG, levels(_shop(spark, d, "category"), "category"))
+    flagged = add_flags(table, "category", CATEGORY_FLAG, levels(_shop(spark, d, "category"), "category")["category"])
     return _round(report.category_shares_long(flagged), "preference")
 
 

@@ -20,15 +20,23 @@ class Featured:
     groups: dict[str, list[str]] = field(default_factory=dict)
 
 
-def levels(df: DataFrame, column: str, limit: int = MAX_FLAG_COLUMNS) -> list[str]:
-    """The distinct values of a column, sorted; refuses a column too wide for flags."""
-    found = df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(
-            f"{column} has more than {limit} values: one column per value is impractical; "
-            "operators.report.category_shares_any reports any number of them in long form"
-        )
-    return sorted(r[0] for r in found)
+def levels(df: DataFrame, *columns: str, limit: int = MAX_FLAG_COLUMNS) -> dict[str, list[str]]:
+    """The distinct values of some columns, sorted, found in one pass.
+
+    Refuses a column too wide for flags before its values reach the driver.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in columns])
+    found = df.select(F.inline(pairs)).where(F.col("v").isNotNull()).distinct()
+    values: dict[str, list[str]] = {c: [] for c in columns}
+    for row in found.limit(limit * len(columns) + 1).collect():
+        values[row["c"]].append(row["v"])
+    for c, v in values.items():
+        if len(v) > limit:
+            raise ValueError(
+                f"{c} has more than {limit} values: one column per value is impractical; "
+                "operators.report.category_shares_any reports any number of them in long form"
+            )
+    return {c: sorted(v) for c, v in values.items()}
 
 
 def add_value_score(df: DataFrame) -> DataFrame:
@@ -93,12 +101,15 @@ def add_features(
         if has(df, c)
     ]
 
-    for column, prefix, group, known in (
-        ("category", CATEGORY_FLAG, "category", categories),
-        ("season", SEASON_FLAG, "seasonal", seasons),
+    known = {"category": categories, "season": seasons}
+    unknown = [c for c, v in known.items() if v is None and has(df, c)]
+    known |= levels(df, *unknown) if unknown else {}
+    for column, prefix, group in (
+        ("category", CATEGORY_FLAG, "category"),
+        ("season", SEASON_FLAG, "seasonal"),
     ):
         if has(df, column):
-            values = levels(df, column) if known is None else known
+            values = known[column]
             new |= {flag_name(prefix, v): features.equals_flag(F.col(column), v) for v in values}
             groups[group] += [*[flag_name(prefix, v) for v in values], column]
     if has(df, "item_purchased"):

@@ -69,6 +69,16 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", null_text: str |
     return path
 
 
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """Write once to the shared work folder and read back.
+
+    For a frame that several jobs need: they scan the columns they use instead of
+    repeating its joins, and a lost executor costs a re-read, not a recomputation.
+    """
+    spark = df.sparkSession
+    return spark.read.schema(df.schema).parquet(write_table(df, work_path(spark, name)))
+
+
 def to_display_names(df: DataFrame) -> DataFrame:
     """Internal names to the header texts of the retail files.
 
