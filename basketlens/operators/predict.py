@@ -2,6 +2,7 @@
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import Model
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -19,7 +20,7 @@ from basketlens.operators.encode import (
     fit_standardizer,
     split,
 )
-from basketlens.operators.segment import cached, run_parallel
+from basketlens.operators.segment import run_parallel
 from basketlens.schema import CUSTOMER_ID, ROW_KEY, has
 from basketlens.sources.files import materialised
 
@@ -66,6 +67,23 @@ def prepare(
     return Prepared(encode(train), encode(test), dictionary, standardizer)
 
 
+def cached(df: DataFrame) -> DataFrame:
+    """Fill a spillable cache for iterative work.
+
+    Only when the scan came in fewer pieces than there are cores is it spread again;
+    a large input keeps its own partitions and is not shuffled.
+    """
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    kept.count()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if kept.rdd.getNumPartitions() >= cores:
+        return kept
+    spread = kept.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
+    spread.count()
+    kept.unpersist()
+    return spread
+
+
 @dataclass
 class ModelFrame:
     """One cached frame for all targets: features ``{c}`` and labels ``{c}_y``."""

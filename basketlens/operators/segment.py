@@ -5,7 +5,7 @@ from dataclasses import dataclass
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from basketlens.operators.encode import fit_standardizer
 from basketlens.operators.profile import complete_cases, missing
 from basketlens.schema import CLUSTER, CUSTOMER_ID, ROW_KEY, SEGMENT, numeric_columns
+from basketlens.sources.files import materialised
 
 
 @dataclass
@@ -82,23 +83,6 @@ def cost_by_segment(df: DataFrame, segments: Segments) -> DataFrame:
     )
 
 
-def cached(df: DataFrame) -> DataFrame:
-    """Fill a spillable cache for iterative work.
-
-    Only when the scan came in fewer pieces than there are cores is it spread again;
-    a large input keeps its own partitions and is not shuffled.
-    """
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    kept.count()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if kept.rdd.getNumPartitions() >= cores:
-        return kept
-    spread = kept.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
-    spread.count()
-    kept.unpersist()
-    return spread
-
-
 def fit_segments(
     df: DataFrame,
     k: int = 4,
@@ -111,27 +95,26 @@ def fit_segments(
 ) -> Segments:
     """k-means on all standardised numeric columns of the complete rows.
 
-    One fit per seed on rows cached once; the least cost wins.  Centres are
+    One fit per seed on rows written once (only the columns used, so a fit neither
+    repeats the joins behind ``df`` nor depends on a cache surviving); the least cost
+    wins.  ``parallel`` fits share the cluster: lower it when one alone fills it.  Centres are
     sorted, so that segment numbers do not depend on the order the solver found them.
     """
     if columns is None:
         skip = (ROW_KEY,) if include_id else (ROW_KEY, CUSTOMER_ID)
         columns = numeric_columns(df, exclude=skip)
-    kept = cached(complete_cases(df.select(*columns), columns))
-    try:
-        standard = fit_standardizer(kept, columns)
-        scaled = kept.select(*[standard.scaled(c).alias(f"z{i}") for i, c in enumerate(columns)])
-        # Not cached itself: the solver then keeps its own unpacked copy for the iterations.
-        vectors = VectorAssembler(inputCols=scaled.columns, outputCol="features").transform(scaled)
-
-        def fit(s: int):
-            model = KMeans(k=k, seed=s, maxIter=max_iter, featuresCol="features").fit(vectors)
-            return model.summary.trainingCost, [list(map(float, c)) for c in model.clusterCenters()]
-
-        seeds = range(seed, seed + restarts)
-        results = run_parallel(df.sparkSession, [lambda s=s: fit(s) for s in seeds], parallel)
-    finally:
-        kept.unpersist()
+    kept = materialised(complete_cases(df.select(*columns), columns), "complete")
+    standard = fit_standardizer(kept, columns)
+    scaled = kept.select(*[standard.scaled(c).alias(f"z{i}") for i, c in enumerate(columns)])
+    vectors = VectorAssembler(inputCols=scaled.columns, outputCol="features").transform(scaled)
+
+    def fit(s: int):
+        # The solver caches the unpacked vectors for its own iterations and drops them after.
+        model = KMeans(k=k, seed=s, maxIter=max_iter, featuresCol="features").fit(vectors)
+        return model.summary.trainingCost, [list(map(float, c)) for c in model.clusterCenters()]
+
+    seeds = range(seed, seed + restarts)
+    results = run_parallel(df.sparkSession, [lambda s=s: fit(s) for s in seeds], parallel)
     cost, centres = min(results, key=lambda r: r[0])
     return Segments(
         columns,

@@ -434,6 +434,26 @@ def rf_regress(spark, d):
     return predict.predict_all_targets(_shop(spark, d), targets=["review_rating_scaled"])
 
 
+@query
+def rf_invariants(spark, d):
+    """What must hold for any seed: every labelled test row is predicted, no worse than a constant."""
+    frame = predict.model_frame(_shop(spark, d))
+    try:
+        guessed = predict.predict(predict.fit_target(frame, "discount_applied"), frame, "discount_applied")
+        share = predict.classification_metrics(guessed).first()
+        majority = profile.value_counts(guessed, "label").agg(F.max("n")).first()[0] / share["n"]
+        rated = predict.predict(predict.fit_target(frame, frame.rating), frame, frame.rating)
+        error = predict.regression_metrics(rated).first()
+        constant = predict.regression_metrics(rated.withColumn("prediction", F.lit(0.0))).first()
+    finally:
+        frame.release()
+    rows = [
+        ("discount_applied", share["n"], share["accuracy"] >= majority),
+        ("review_rating", error["n"], error["rmse"] <= 1.05 * constant["rmse"]),
+    ]
+    return spark.createDataFrame(rows, "target string, n_test long, no_worse boolean")
+
+
 @query
 def metric_classification(spark, d):
     """Spend tier guessed by a fixed rule that never says Invalid."""

@@ -361,6 +361,10 @@ SELECT row_key, CASE WHEN {TRAIN} THEN 'train' ELSE 'test' END AS part,
         "kmeans_cost": _over_seg(
             f"""SELECT segment, count(*) AS n, {', '.join(f'round(avg({c}), {DIGITS}) AS mean_{c}' for c in FROZEN.columns)},
   round(sum(distance), {DIGITS}) AS cost FROM seg WHERE segment IS NOT NULL GROUP BY segment"""
+        ),
+        "rf_invariants": _over_shop(
+            f"""SELECT 'discount_applied' AS target, count(discount_applied) AS n_test, TRUE AS no_worse FROM shop WHERE NOT ({TRAIN})
+UNION ALL SELECT 'review_rating' AS target, count(review_rating) AS n_test, TRUE AS no_worse FROM shop WHERE NOT ({TRAIN})"""
         ),
         "metric_classification": METRICS,
         "metric_rmse": _over_shop(

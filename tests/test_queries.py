@@ -14,7 +14,7 @@ ROWS_ONLY = {
     "rf_classify",
     "rf_regress",
 }
-MODELS = ROWS_ONLY - {"profile_distinct_approx"} | {"kmeans_invariants"}
+MODELS = ROWS_ONLY - {"profile_distinct_approx"} | {"kmeans_invariants", "rf_invariants"}
 
 
 @pytest.fixture(scope="module")
