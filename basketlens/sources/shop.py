@@ -53,23 +53,28 @@ def _lookup(value: Column, table: dict) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), value)
 
 
-def position_in_group(df: DataFrame, key: str, day: str, tie: str, name: str) -> DataFrame:
+def position_in_group(
+    df: DataFrame, key: str, day: str, tie: str, name: str, bits: int = 24
+) -> DataFrame:
     """0-based position of each row among the rows of its ``key``, by ``day`` then ``tie``.
 
-    One window over ``key`` would sort all rows of a hot key in a single task.
-    Here rows are ranked within (key, day), and the rows of earlier days come from
-    daily counts, which partial aggregation shrinks before the shuffle: per key that
-    window sees at most one row per calendar day.
+    One window over ``key`` would sort all rows of a hot key in a single task.  Here the
+    rows of a key are cut into steps: a day, and within it ranges of 2**bits values of the
+    unique ``tie``, so that no step can hold more rows than that.  Rows are ranked within
+    their step; the rows of earlier steps come from counts per step, which partial
+    aggregation shrinks before the shuffle.
     """
-    daily = df.groupBy(key, day).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(key).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
-    daily = daily.select(key, day, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy(key, day).orderBy(tie))
+    steps = df.withColumn("_range", F.shiftright(tie, bits))
+    step = [key, day, "_range"]
+    counts = steps.groupBy(*step).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(key).orderBy(day, "_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*step, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(*step).orderBy(tie))
     return (
-        df.withColumn("_rank", within)
-        .join(daily, [key, day])
+        steps.withColumn("_rank", within)
+        .join(before, step)
         .withColumn(name, (F.col("_before") + F.col("_rank") - 1).cast("int"))
-        .drop("_before", "_rank")
+        .drop("_before", "_rank", "_range")
     )
 
 
@@ -87,7 +92,7 @@ def shop(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) ->
 
     orders = table("orders")
     if columns is None or "previous_purchases" in columns:
-        # Before any join on the customer, so that rows are spread by (customer, day).
+        # Before any join on the customer, so that rows are spread by customer and day.
         orders = position_in_group(
             orders, "o_custkey", "o_orderdate", "o_orderkey", "previous_purchases"
         )

@@ -85,9 +85,10 @@ def test_adaptive_execution_splits_the_hot_order(spark, skewed):
     assert "skew=true" in plan
 
 
-def test_positions_match_one_window_per_key(spark, skewed):
+@pytest.mark.parametrize("bits", [2, 24])
+def test_positions_match_one_window_per_key(spark, skewed, bits):
     orders = spark.read.parquet(f"{skewed}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")
-    got = position_in_group(orders, "o_custkey", "o_orderdate", "o_orderkey", "p")
+    got = position_in_group(orders, "o_custkey", "o_orderdate", "o_orderkey", "p", bits)
     want = orders.selectExpr(
         "o_custkey", "o_orderdate", "o_orderkey",
         "cast(row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) - 1 as int) as p",
@@ -96,8 +97,18 @@ def test_positions_match_one_window_per_key(spark, skewed):
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
 
 
+def test_positions_when_one_customer_buys_all_on_one_day(spark):
+    orders = spark.range(2_000).select(
+        F.col("id").alias("k"), F.lit(1).alias("c"), F.lit("1998-01-01").cast("timestamp_ntz").alias("d")
+    )
+    got = position_in_group(orders, "c", "d", "k", "p", bits=5)
+    assert got.where("p = k").count() == 2_000
+    largest = got.groupBy("c", "d", F.shiftright("k", 5)).count().agg(F.max("count")).first()[0]
+    assert largest == 32
+
+
 def test_no_window_sorts_all_rows_of_a_customer(spark, skewed):
-    """The window over the customer alone runs on daily counts, above an aggregate."""
+    """The window over the customer alone runs on counts, above an aggregate."""
     plan = shop(spark, skewed, ["row_key", "previous_purchases"])._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window [" in line]
     assert len(windows) == 2
