@@ -217,10 +217,18 @@ def fit_and_score(frame: ModelFrame, targets: list[str], threads: int = 4, **for
 
 
 def predict_all_targets(
-    df: DataFrame, targets: list[str] | None = None, flatten: bool = False, threads: int = 4, **forest
+    df: DataFrame,
+    targets: list[str] | None = None,
+    key: str = ROW_KEY,
+    flatten: bool = False,
+    threads: int = 4,
+    **forest,
 ) -> DataFrame:
-    """Predict each attribute from all others; the encoded rows are shared and then released."""
-    frame = model_frame(df, flatten=flatten)
+    """Predict each attribute from all others; the encoded rows are shared and then released.
+
+    ``key`` is the column whose value decides between training and test rows.
+    """
+    frame = model_frame(df, key, flatten)
     try:
         return fit_and_score(frame, targets or frame.targets, threads, **forest)
     finally:

@@ -147,10 +147,9 @@ def with_row_id(df: DataFrame, name: str = GENERATED_ID) -> DataFrame:
 
 def feature_set(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Id, then segment and cluster if present, then the columns of one feature group."""
-    if CUSTOMER_ID in df.columns:
-        key = CUSTOMER_ID
-    else:
-        key, df = GENERATED_ID, with_row_id(df)
+    key = CUSTOMER_ID if CUSTOMER_ID in df.columns else GENERATED_ID
+    if key not in df.columns:
+        df = with_row_id(df)
     extra = [c for c in (SEGMENT, CLUSTER) if c in df.columns]
     return df.select(key, *extra, *[c for c in columns if c in df.columns])
 
@@ -159,14 +158,12 @@ def save_feature_sets(
     df: DataFrame, groups: dict[str, list[str]], folder: str, fmt: str = "parquet"
 ) -> dict[str, str]:
     """One table per feature group and one with everything; returns the paths."""
-    if CUSTOMER_ID not in df.columns:
+    if CUSTOMER_ID not in df.columns and GENERATED_ID not in df.columns:
         df = with_row_id(df)  # numbered once, so all sets agree on the id
-    paths = {}
-    for name, columns in groups.items():
-        key = CUSTOMER_ID if CUSTOMER_ID in df.columns else GENERATED_ID
-        extra = [c for c in (SEGMENT, CLUSTER) if c in df.columns]
-        if columns:
-            part = df.select(key, *extra, *columns)
-            paths[name] = write_table(to_display_names(part), f"{folder}/{name}_features", fmt)
+    tables = {name: feature_set(df, columns) for name, columns in groups.items() if columns}
+    paths = {
+        name: write_table(to_display_names(table), f"{folder}/{name}_features", fmt)
+        for name, table in tables.items()
+    }
     paths["all"] = write_table(to_display_names(df), f"{folder}/all_features", fmt)
     return paths

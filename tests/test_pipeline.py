@@ -2,7 +2,11 @@ import os
 
 from pyspark.sql import functions as F
 
+from basketlens.operators import predict
 from basketlens.plans import catalog, pipeline
+from basketlens.plans.features import add_features
+from basketlens.schema import RETAIL
+from basketlens.sources.files import from_display_names, read_csv, to_display_names, write_table
 from basketlens.sources.shop import shop
 
 
@@ -29,3 +33,15 @@ def test_csv_output_and_fitted_segments(spark, data, tmp_path):
     ids = back.agg(F.count_distinct("ID"), F.max(F.col("ID").cast("long"))).first()
     assert ids[0] == ids[1] == table.count()
     assert back.where("Segment is not null").select("Segment").distinct().count() == 3
+
+
+def test_a_csv_with_display_names_goes_through_everything(spark, data, tmp_path):
+    table = shop(spark, data, [f.name for f in RETAIL.fields])
+    path = write_table(to_display_names(table), str(tmp_path / "in"), "csv", null_text="NA")
+    back = from_display_names(read_csv(spark, path, null_text="NA"))
+    assert back.columns == [f.name for f in RETAIL.fields]
+    made = add_features(back)
+    assert all(made.groups.values())
+    assert made.df.where("age_group is not null and value_score is not null").count() > 0
+    got = predict.predict_all_targets(back, targets=["gender"], key="customer_id", trees=3, depth=3)
+    assert {r.metric for r in got.collect()} >= {"accuracy", "f1"}

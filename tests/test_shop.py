@@ -63,26 +63,10 @@ def test_nothing_is_lost_or_changed_by_skew(spark, skewed):
     assert compare.difference(compare.spark_table(shop(spark, skewed)), want) is None
 
 
-def test_adaptive_execution_splits_the_hot_order(spark, skewed):
-    settings = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8KB",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16KB",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-    }
-    before = {k: spark.conf.get(k, None) for k in settings}
-    try:
-        for k, v in settings.items():
-            spark.conf.set(k, v)
-        df = shop(spark, skewed, ["row_key", "purchase_amount"])
-        n = len(df.collect())
-        plan = df._jdf.queryExecution().executedPlan().toString()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    assert n == 30_000
-    assert "skew=true" in plan
+def test_adaptive_execution_splits_the_hot_order(spark, skewed, eager_skew_splits):
+    df = shop(spark, skewed, ["row_key", "purchase_amount"])
+    assert len(df.collect()) == 30_000
+    assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("bits", [2, 24])
