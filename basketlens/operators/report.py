@@ -22,6 +22,14 @@ from basketlens.schema import (
     is_numeric,
 )
 
+# Titles of the report's sections.
+SECTIONS = {
+    "counts": "IDENTIFIED CUSTOMER SEGMENTS",
+    "profile": "SEGMENT CHARACTERISTICS",
+    "category": "CATEGORY PREFERENCES BY SEGMENT",
+    "season": "SEASONAL PREFERENCES BY SEGMENT",
+    "size": "SIZE PREFERENCES BY SEGMENT",
+}
 QUARTILES = [0.25, 0.5, 0.75]
 SKETCH_ACCURACY = 10_000
 
@@ -260,17 +268,15 @@ def box_stats(df: DataFrame, value: str) -> DataFrame:
 def segment_report(df: DataFrame, k: int = 4, half_even: bool = False) -> dict[str, DataFrame]:
     """The five sections of the report that the columns of ``df`` allow."""
     report = {
-        "IDENTIFIED CUSTOMER SEGMENTS": segment_counts(df, k, half_even),
-        "SEGMENT CHARACTERISTICS": segment_profile(df, half_even=half_even).orderBy(SEGMENT),
+        SECTIONS["counts"]: segment_counts(df, k, half_even),
+        SECTIONS["profile"]: segment_profile(df, half_even=half_even).orderBy(SEGMENT),
     }
     if flag_columns(df, CATEGORY_FLAG):
-        report["CATEGORY PREFERENCES BY SEGMENT"] = category_preferences(
-            df, half_even=half_even
-        ).orderBy(SEGMENT)
+        report[SECTIONS["category"]] = category_preferences(df, half_even=half_even).orderBy(SEGMENT)
     if flag_columns(df, SEASON_FLAG):
-        report["SEASONAL PREFERENCES BY SEGMENT"] = season_preferences(df, half_even).orderBy(SEGMENT)
+        report[SECTIONS["season"]] = season_preferences(df, half_even).orderBy(SEGMENT)
     if has(df, "size_small", "size_large"):
-        report["SIZE PREFERENCES BY SEGMENT"] = size_preferences(df, half_even).orderBy(SEGMENT)
+        report[SECTIONS["size"]] = size_preferences(df, half_even).orderBy(SEGMENT)
     return report
 
 
