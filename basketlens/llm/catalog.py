@@ -2,6 +2,7 @@
 
 import atexit
 import os
+import re
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -11,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import basketlens
-from basketlens.llm import exact_dedup, language_id, ngram_join, personal_data, pieces
-from basketlens.llm.common import table
+from basketlens.llm import chat, chunk_dedup, exact_dedup, fingerprints, language_id, mixing, ngram_join, personal_data, pieces, training_order
+from basketlens.llm.common import saved, table
 
 #: The vocabulary of the piece encoder; another file is chosen by this variable of the environment.
 VOCABULARY = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -73,7 +74,60 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-_QUERIES = [op1_ngram_join, op3_pieces, op4_personal_data, op6_language_id, op7_exact_dedup]
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one whose texts look like control strings, formatted and read back."""
+    own = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    turns = chat.canonical_turns(chat.as_records(rows))
+    return chat.read_back(saved(chat.formatted_turns(turns), "formatted"))
+
+
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that repeat earlier text, and where that stands."""
+    found = chunk_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "end", "first_id", "first_start")
+
+
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of all texts, read back: where each sequence stands, whose texts start in it, and its digest."""
+    folder, index = training_order.write_shards(table(spark, sf_dir, "documents"))
+    rows = training_order.read_slots(folder, index)
+    return rows.select("slot", "sequence", "shard", "byte_offset", "n_tokens", "doc_ids", F.sha2("tokens", 256).alias("tokens_sha256"))
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+    return found.withColumn("n_edited_changes", F.size("edited_changes").cast("long")).drop("edited_changes")
+
+
+def mixing_rates(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rates by the domains of the labelled table: toxic, good and plain; toxic text gives way to the others."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "plain")
+    domains = mixing.fit_domains(docs, labels.select("doc_id", domain.alias("domain")))
+    return mixing.mix(docs, domains, less={"toxic": 0.1}, carry=carry)
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ("source",))
+
+
+_QUERIES = [
+    op1_ngram_join,
+    op2_chat,
+    op3_pieces,
+    op4_personal_data,
+    op5_repeated_passages,
+    op6_language_id,
+    op7_exact_dedup,
+    op8_training_order,
+    op9_fingerprints,
+    op10_mixing,
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -118,5 +172,25 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(body) as te
 """
 
 
+def _escaped_length(text: str) -> str:
+    """Characters of a text in the template: its own, one per backslash and one per control string."""
+    control = "|".join(re.sub(r"([\[\]|<>/_])", r"\\\1", c) for c in sorted(chat.CONTROL, key=len, reverse=True))
+    return f"length({text}) + length({text}) - length(replace({text}, chr(92), '')) + len(regexp_extract_all({text}, '{control}'))"
+
+
+_OP2 = f"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as x from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(r || chr(10) || x || chr(10), '' order by turn, r, x)) as turns_sha256,
+  cast(sum(case when r = 'assistant' then length(x) else 0 end) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(case when r = 'assistant' then x end, '' order by turn, r, x), '')) as loss_sha256,
+  cast(sum({len(chat.TURN) + len(chat.END) + 2} + {_escaped_length("r")} + {_escaped_length("x")}) as bigint) as formatted_chars
+from t group by conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": _OP1, "op7_exact_dedup": _OP7}
+    return {"op1_ngram_join": _OP1, "op2_chat": _OP2, "op7_exact_dedup": _OP7}
