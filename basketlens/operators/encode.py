@@ -4,80 +4,65 @@ Everything is fitted on the training rows only and applied to any frame.
 """
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.ml.feature import OneHotEncoder, StringIndexerModel
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.operators.profile import _cells
 from basketlens.schema import numeric_columns
 from basketlens.session import work_path
-from basketlens.sources.files import written_positions
+from basketlens.sources.files import materialised, written_positions
 
-# The arithmetic split (a prime modulus, a multiplier, the seed, per 10,000).
-SPLIT_PRIME, SPLIT_FACTOR, SPLIT_SEED, SPLIT_SCALE = 1_000_003, 48_271, 42, 10_000
+# Parts in which the share of the training rows is stated.
+SPLIT_SCALE = 10_000
 
-# Up to this many values a dictionary is held by the driver; beyond it, it is a table.
-DRIVER_LABELS = 10_000
 
+def in_train(key: Column, share: float = 0.8, seed: int = 42) -> Column:
+    """True for rows of the training part: by a digest of the seed and the key's text, for any type of key.
 
-def in_train(key: Column, share: float = 0.8) -> Column:
-    """True for rows of the training part.
-
-    ``randomSplit`` depends on the partitioning of its input; this depends on the key.
+    ``randomSplit`` depends on the partitioning of its input; this depends on the key alone.
     """
-    mixed = (key % SPLIT_PRIME) * SPLIT_FACTOR + SPLIT_SEED
-    return F.pmod(mixed, F.lit(SPLIT_SCALE)) < round(share * SPLIT_SCALE)
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+    place = F.conv(F.substring(digest, 1, 7), 16, 10).cast("long")
+    return place % SPLIT_SCALE < round(share * SPLIT_SCALE)
 
 
-def split(df: DataFrame, key: str, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def split(df: DataFrame, key: str, share: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Training and test rows, disjoint and together complete (null keys go to test)."""
-    train = F.coalesce(in_train(F.col(key), share), F.lit(False))
+    train = F.coalesce(in_train(F.col(f"`{key}`"), share, seed), F.lit(False))
     return df.where(train), df.where(~train)
 
 
 @dataclass
 class CategoryDictionary:
-    """Alphabetical 0-based index per value and column, as seen in the training rows."""
+    """Alphabetical 0-based index per value and column, as seen in the training rows.
+
+    With ``null_slot`` null has the slot after the values, which no text can equal.
+    """
 
     columns: list[str]
     widths: dict[str, int]
-    labels: dict[str, list[str]]
-    tables: dict[str, DataFrame] = field(default_factory=dict)
-    missing_label: str | None = None
-
-    def _text(self, column: str) -> Column:
-        text = F.col(f"`{column}`").cast("string")
-        return text if self.missing_label is None else F.coalesce(text, F.lit(self.missing_label))
+    tables: dict[str, DataFrame]
+    null_slot: bool = False
 
     def index(self, df: DataFrame, suffix: str = "_index") -> DataFrame:
-        """Add ``{column}{suffix}``: the index as a double, the width for unseen or null.
+        """Add ``{column}{suffix}``: the index as a double, the width for unseen (and null without a slot).
 
         The column carries its number of categories, so the ML stages need no extra pass.
         """
-        texts = {f"_t_{c}": self._text(c) for c in self.columns}
+        texts = {f"_t_{c}": F.col(f"`{c}`").cast("string") for c in self.columns}
         out = df.withColumns(texts)
-        small = [c for c in self.columns if c in self.labels]
-        if small:
-            indexer = StringIndexerModel.from_arrays_of_labels(
-                [self.labels[c] for c in small],
-                inputCols=[f"_t_{c}" for c in small],
-                outputCols=[c + suffix for c in small],
-                handleInvalid="keep",
-            )
-            # The label arrays reach the JVM padded to the longest one, so "unseen" may come
-            # back as that length: bring it to the column's own width.
-            out = indexer.transform(out).withColumns(
-                {c + suffix: F.least(c + suffix, F.lit(float(self.widths[c]))) for c in small}
-            )
         for c, table in self.tables.items():
-            # No hint: its size was not bounded.  A hot value makes a hot partition of
+            # No hint: Spark's own threshold decides.  A hot value makes a hot partition of
             # the left side only, which adaptive execution splits.
             values = table.select(F.col("value").alias(f"_t_{c}"), F.col("slot").alias(f"_s_{c}"))
             out = out.join(values, f"_t_{c}", "left")
-            slot = F.coalesce(F.col(f"_s_{c}"), F.lit(self.widths[c])).cast("double")
-            out = out.withColumn(c + suffix, slot).drop(f"_s_{c}")
+            slot = F.coalesce(F.col(f"_s_{c}"), F.lit(self.widths[c]))
+            if self.null_slot:
+                slot = F.when(F.col(f"_t_{c}").isNull(), F.lit(self.widths[c] - 1)).otherwise(slot)
+            out = out.withColumn(c + suffix, slot.cast("double")).drop(f"_s_{c}")
         for c in self.columns:
             attribute = {"type": "nominal", "name": c + suffix, "num_vals": self.widths[c] + 1}
             out = out.withMetadata(c + suffix, {"ml_attr": attribute})
@@ -115,45 +100,27 @@ class CategoryDictionary:
 def fit_dictionary(
     train: DataFrame,
     columns: list[str],
-    driver_labels: int = DRIVER_LABELS,
-    missing_label: str | None = None,
+    null_slot: bool = False,
 ) -> CategoryDictionary:
     """Index the distinct values of all columns in one pass over the training rows.
 
-    The distinct (column, value) pairs are written in sorted order.  Columns with few
-    values are read to the driver; the others stay tables whose index is the row's
-    place in the sorted files, so no task or driver ever holds a large dictionary.
-    With ``missing_label`` null is a category of that name.
+    The distinct (column, value) pairs are written in sorted order; an index is the
+    row's place in the sorted files.  Dictionaries are tables at every size, so no task
+    and no driver ever holds one.  With ``null_slot`` null has a slot of its own.
     """
     spark = train.sparkSession
     source = train.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns])
-    if missing_label is not None:
-        source = source.fillna(missing_label)
     path = work_path(spark, "dictionary")
     _cells(source).distinct().orderBy("place", "value").write.parquet(path)
-    pairs = spark.read.parquet(path)
-    widths = {columns[r["place"]]: r["count"] for r in pairs.groupBy("place").count().collect()}
-    widths = {c: widths.get(c, 0) for c in columns}
-
-    small = [i for i, c in enumerate(columns) if widths[c] <= driver_labels]
-    labels: dict[str, list[str]] = {columns[i]: [] for i in small}
-    if small:
-        for row in pairs.where(F.col("place").isin(small)).collect():
-            labels[columns[row["place"]]].append(row["value"])
-        labels = {c: sorted(v, key=lambda s: s.encode()) for c, v in labels.items()}
-
-    tables = {}
-    large = [i for i, c in enumerate(columns) if widths[c] > driver_labels]
-    if large:
-        placed = written_positions(spark, path)
-        start = 0
-        for i, c in enumerate(columns):
-            if i in large:
-                tables[c] = placed.where(F.col("place") == i).select(
-                    "value", (F.col("position") - start).alias("slot")
-                )
-            start += widths[c]
-    return CategoryDictionary(list(columns), widths, labels, tables, missing_label)
+    counts = {columns[r["place"]]: r["count"] for r in spark.read.parquet(path).groupBy("place").count().collect()}
+    placed = materialised(written_positions(spark, path), "dictionary-slots")
+    tables, start = {}, 0
+    for i, c in enumerate(columns):
+        slots = placed.where(F.col("place") == i)
+        tables[c] = slots.select("value", (F.col("position") - start).alias("slot"))
+        start += counts.get(c, 0)
+    widths = {c: counts.get(c, 0) + null_slot for c in columns}
+    return CategoryDictionary(list(columns), widths, tables, null_slot)
 
 
 @dataclass

@@ -25,7 +25,8 @@ from basketlens.schema import CUSTOMER_ID, ROW_KEY, has
 from basketlens.sources.files import materialised
 
 RATING = "review_rating"
-MISSING = "(missing)"
+# Pieces that the rows of a forest are dealt into; its bootstrap depends on them, so they depend on nothing else.
+FOREST_PARTITIONS = 32
 BINS = {
     "age": age_bin,
     "purchase_amount": purchase_amount_bin,
@@ -51,14 +52,14 @@ class Prepared:
 def prepare(
     df: DataFrame,
     key: str = ROW_KEY,
-    missing_label: str | None = None,
+    null_slot: bool = False,
     keep_index: str | None = None,
 ) -> Prepared:
     """Bin, split, one-hot encode, standardise the rating; both parts get the same columns."""
     binned = materialised(bin_columns(df), "binned")
     train, test = split(binned, key)
     categorical = [c for c in binned.columns if c not in (key, CUSTOMER_ID, RATING)]
-    dictionary = fit_dictionary(train, categorical, missing_label=missing_label)
+    dictionary = fit_dictionary(train, categorical, null_slot)
     standardizer = fit_standardizer(train, [RATING])
 
     def encode(part: DataFrame) -> DataFrame:
@@ -67,20 +68,17 @@ def prepare(
     return Prepared(encode(train), encode(test), dictionary, standardizer)
 
 
-def cached(df: DataFrame) -> DataFrame:
-    """Fill a spillable cache for iterative work.
+def cached(df: DataFrame, partitions: int = FOREST_PARTITIONS) -> DataFrame:
+    """Fill a spillable cache for iterative work, dealt and ordered by a hash of the rows.
 
-    Only when the scan came in fewer pieces than there are cores is it spread again;
-    a large input keeps its own partitions and is not shuffled.
+    A forest's bootstrap follows the order of the rows in their partitions.  By a hash they
+    are the same for any number of cores and any split of the input; set ``partitions``
+    for the cluster, and keep it for results to be compared.
     """
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    kept.count()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if kept.rdd.getNumPartitions() >= cores:
-        return kept
-    spread = kept.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
+    place = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    spread = df.withColumn("_place", place).repartition(partitions, "_place").sortWithinPartitions("_place").drop("_place")
+    spread = spread.persist(StorageLevel.MEMORY_AND_DISK)
     spread.count()
-    kept.unpersist()
     return spread
 
 
@@ -108,7 +106,7 @@ def model_frame(df: DataFrame, key: str = ROW_KEY, flatten: bool = False) -> Mod
     Null is a category of its own.  ``flatten`` reduces each attribute to its first
     slot ("is it category 0?"), as a feature and as a label.
     """
-    made = prepare(df, key, missing_label=MISSING, keep_index="_y")
+    made = prepare(df, key, null_slot=True, keep_index="_y")
     frame = ModelFrame(made.train, made.test, made.dictionary.columns)
 
     def shape(part: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ def _rows(structs: list[Column]) -> Column:
 
 def missing(df: DataFrame, column: str) -> Column:
     """True for null, and for NaN where the type has one."""
-    c = F.col(column)
+    c = F.col(f"`{column}`")
     return c.isNull() | F.isnan(c) if is_floating(df, column) else c.isNull()
 
 
@@ -127,7 +127,8 @@ def missing_counts(df: DataFrame) -> DataFrame:
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Distinct non-null values of a column with their counts."""
-    return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    value = F.col(f"`{column}`")
+    return df.where(value.isNotNull()).groupBy(value.alias(column)).agg(F.count(F.lit(1)).alias("n"))
 
 
 def complete_cases(df: DataFrame, columns: list[str]) -> DataFrame:

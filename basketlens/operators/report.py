@@ -165,13 +165,18 @@ def category_shares_long(df: DataFrame) -> DataFrame:
 
 
 def category_shares_any(df: DataFrame, k: int = 4) -> DataFrame:
-    """As ``category_shares_long`` from the category itself, for any number of categories.
+    """As ``category_shares_long`` from the category itself, for any number of categories."""
+    return shares_any(df, "category", k)
 
-    No column per category is made: pairs are counted, then each category is given its
+
+def shares_any(df: DataFrame, column: str, k: int = 4) -> DataFrame:
+    """Share of each value of a column per segment, in long form (segment, category, preference).
+
+    No column per value is made: pairs are counted, then each value is given its
     k segments, so that an absent pair reads 0.
     """
     names = segment_names(k)
-    known = _known(df).where(F.col("category").isNotNull())
+    known = _known(df).select(SEGMENT, F.col(column).alias("category")).where(F.col("category").isNotNull())
     pairs = known.groupBy("category", SEGMENT).agg(F.count(F.lit(1)).alias("n"))
     # k conditional sums per category; the segment totals are one row.
     per_category = pairs.groupBy("category").agg(

@@ -1,11 +1,11 @@
 """Customer segments: distributed k-means and nearest-centre scoring."""
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,13 +19,14 @@ from basketlens.sources.files import materialised
 
 @dataclass
 class Segments:
-    """Centres in standardised space, and how to standardise."""
+    """Centres in standardised space, how to standardise, and the steps each fit took to come to rest."""
 
     columns: list[str]
     shift: list[float]
     scale: list[float]
     centres: list[list[float]]
     cost: float | None = None
+    steps: list[int] = field(default_factory=list)
 
     def z(self, i: int) -> Column:
         """Standardised input, 0 where it is missing (such rows get no segment)."""
@@ -90,38 +91,49 @@ def fit_segments(
     seed: int = 42,
     columns: list[str] | None = None,
     include_id: bool = False,
-    max_iter: int = 10,
+    tolerance: float = 1e-4,
+    max_iter: int = 10_000,
     parallel: int = 4,
 ) -> Segments:
     """k-means on all standardised numeric columns of the complete rows.
 
     One fit per seed on rows written once (only the columns used, so a fit neither
     repeats the joins behind ``df`` nor depends on a cache surviving); the least cost
-    wins.  ``parallel`` fits share the cluster: lower it when one alone fills it.  Centres are
+    wins.  Every fit runs until no centre moves by more than ``tolerance``; one that
+    has not come to rest after ``max_iter`` steps is an error, never a result.
+    ``parallel`` fits share the cluster: lower it when one alone fills it.  Centres are
     sorted, so that segment numbers do not depend on the order the solver found them.
     """
     if columns is None:
         skip = (ROW_KEY,) if include_id else (ROW_KEY, CUSTOMER_ID)
         columns = numeric_columns(df, exclude=skip)
-    kept = materialised(complete_cases(df.select(*columns), columns), "complete")
+    kept = materialised(complete_cases(df.select(*[f"`{c}`" for c in columns]), columns), "complete")
     standard = fit_standardizer(kept, columns)
     scaled = kept.select(*[standard.scaled(c).alias(f"z{i}") for i, c in enumerate(columns)])
-    vectors = VectorAssembler(inputCols=scaled.columns, outputCol="features").transform(scaled)
+    vectors = VectorAssembler(inputCols=scaled.columns, outputCol="features").transform(scaled).select("features")
+    # One spillable copy for all restarts, instead of one for each.
+    vectors.persist(StorageLevel.MEMORY_AND_DISK)
 
     def fit(s: int):
-        # The solver caches the unpacked vectors for its own iterations and drops them after.
-        model = KMeans(k=k, seed=s, maxIter=max_iter, featuresCol="features").fit(vectors)
-        return model.summary.trainingCost, [list(map(float, c)) for c in model.clusterCenters()]
+        model = KMeans(k=k, seed=s, maxIter=max_iter, tol=tolerance, featuresCol="features").fit(vectors)
+        steps = model.summary.numIter
+        if steps >= max_iter:
+            raise RuntimeError(f"k-means with seed {s} has not come to rest after {max_iter} steps")
+        return model.summary.trainingCost, [list(map(float, c)) for c in model.clusterCenters()], steps
 
     seeds = range(seed, seed + restarts)
-    results = run_parallel(df.sparkSession, [lambda s=s: fit(s) for s in seeds], parallel)
-    cost, centres = min(results, key=lambda r: r[0])
+    try:
+        results = run_parallel(df.sparkSession, [lambda s=s: fit(s) for s in seeds], parallel)
+    finally:
+        vectors.unpersist()
+    cost, centres, _ = min(results, key=lambda r: r[0])
     return Segments(
         columns,
         [standard.means[c] for c in columns],
         [standard.deviations[c] for c in columns],
         sorted(centres),
         cost,
+        [steps for _, _, steps in results],
     )
 
 

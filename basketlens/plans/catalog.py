@@ -278,6 +278,14 @@ def category_flags(spark, d):
     return add_flags(table, "category", CATEGORY_FLAG, levels(table, "category")["category"])
 
 
+@query
+def category_flags_similar_names(spark, d):
+    """Values whose plain flag names would meet: each keeps a flag of its own."""
+    similar = F.element_at(F.array(*[F.lit(v) for v in ("a b", "a_b", "Small", "SMALL")]), (F.col(ROW_KEY) % 4 + 1).cast("int"))
+    table = _shop(spark, d, "category").withColumn("category", F.when(F.col("category").isNotNull(), similar))
+    return add_flags(table, "category", CATEGORY_FLAG, levels(table, "category")["category"])
+
+
 @query
 def season_flags(spark, d):
     table = _shop(spark, d, "season")
@@ -389,16 +397,44 @@ def kmeans_segments(spark, d):
 
 @query
 def kmeans_invariants(spark, d):
-    """What must hold for any solution: all complete rows labelled, k segments, less spread."""
-    table = _shop(spark, d, *FROZEN.columns)
-    model = segment.fit_segments(table, k=4, restarts=4, seed=42)
-    labelled = F.col(SEGMENT).isNotNull()
+    """What must hold for any solution at rest, from all 25 restarts: every complete row labelled, k segments,
+    centres that are the means of their members, a cost that is the sum of the squared distances and
+    not above that of the fixed centres on the same rows."""
+    return _kmeans_facts(_shop(spark, d, *FROZEN.columns), FROZEN.columns)
+
+
+@query
+def kmeans_with_id_invariants(spark, d):
+    """The same with the customer id among the columns."""
+    return _kmeans_facts(_shop(spark, d, "customer_id", *FROZEN.columns), None, include_id=True)
+
+
+def _kmeans_facts(table: DataFrame, columns: list[str] | None, include_id: bool = False) -> DataFrame:
+    table = materialised(table, "segment-input")
+    model = segment.fit_segments(table, k=4, restarts=25, seed=42, columns=columns, include_id=include_id)
+    by = segment.cost_by_segment(table, model).orderBy(SEGMENT).collect()  # k rows
+    gaps = [
+        abs((row[f"mean_{c}"] - model.shift[i]) / model.scale[i] - centre[i])
+        for row, centre in zip(by, model.centres)
+        for i, c in enumerate(model.columns)
+    ]
+    # The fixed centres in the standardised space of the fit; a column they lack stands at its mean.
+    fixed = {c: (FROZEN.shift[i], FROZEN.scale[i], i) for i, c in enumerate(FROZEN.columns)}
+    centres = [
+        [(fixed[c][0] + fixed[c][1] * z[fixed[c][2]] - m) / s if c in fixed else 0.0 for c, m, s in zip(model.columns, model.shift, model.scale)]
+        for z in FROZEN.centres
+    ]
+    frozen = segment.Segments(model.columns, model.shift, model.scale, centres)
+    frozen_cost = sum(r.cost for r in segment.cost_by_segment(table, frozen).collect())
+    cost = sum(r.cost for r in by)
     return model.assign(table).agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(labelled).alias("n_labelled"),
+        F.count_if(F.col(SEGMENT).isNotNull()).alias("n_labelled"),
         F.count_distinct(SEGMENT).alias("n_segments"),
-        # One cluster on standardised columns costs exactly (rows - 1) per column.
-        (F.lit(model.cost) < (F.count_if(labelled) - 1) * len(model.columns)).alias("less_spread"),
+        F.lit(len(model.steps)).alias("n_fits_at_rest"),
+        F.lit(max(gaps) <= 1e-3).alias("centres_are_means"),
+        F.lit(abs(cost - model.cost) <= 1e-3 * cost).alias("cost_adds_up"),
+        F.lit(cost <= frozen_cost).alias("not_above_fixed_centres"),
     )
 
 

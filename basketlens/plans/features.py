@@ -6,10 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.functions import bins, features
-from basketlens.schema import CATEGORY_FLAG, SEASON_FLAG, flag_name, has, is_numeric
-
-# A flag per value makes a column per value; past this many use the long-form report.
-MAX_FLAG_COLUMNS = 2_000
+from basketlens.schema import CATEGORY_FLAG, SEASON_FLAG, flag_names, has, is_numeric
 
 
 @dataclass
@@ -20,22 +17,17 @@ class Featured:
     groups: dict[str, list[str]] = field(default_factory=dict)
 
 
-def levels(df: DataFrame, *columns: str, limit: int = MAX_FLAG_COLUMNS) -> dict[str, list[str]]:
+def levels(df: DataFrame, *columns: str) -> dict[str, list[str]]:
     """The distinct values of some columns, sorted, found in one pass.
 
-    Refuses a column too wide for flags before its values reach the driver.
+    They are to become one column each, which the caller asks for; the reports in long
+    form (``operators.report.shares_any``) need no levels.
     """
     pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in columns])
     found = df.select(F.inline(pairs)).where(F.col("v").isNotNull()).distinct()
     values: dict[str, list[str]] = {c: [] for c in columns}
-    for row in found.limit(limit * len(columns) + 1).collect():
+    for row in found.collect():
         values[row["c"]].append(row["v"])
-    for c, v in values.items():
-        if len(v) > limit:
-            raise ValueError(
-                f"{c} has more than {limit} values: one column per value is impractical; "
-                "operators.report.category_shares_any reports any number of them in long form"
-            )
     return {c: sorted(v) for c, v in values.items()}
 
 
@@ -58,7 +50,7 @@ def add_value_score(df: DataFrame) -> DataFrame:
 def add_flags(df: DataFrame, column: str, prefix: str, values: list[str]) -> DataFrame:
     """One 0/1 column per value; null stays null."""
     return df.withColumns(
-        {flag_name(prefix, v): features.equals_flag(F.col(column), v) for v in values}
+        {name: features.equals_flag(F.col(column), v) for v, name in flag_names(prefix, values).items()}
     )
 
 
@@ -109,9 +101,9 @@ def add_features(
         ("season", SEASON_FLAG, "seasonal"),
     ):
         if has(df, column):
-            values = known[column]
-            new |= {flag_name(prefix, v): features.equals_flag(F.col(column), v) for v in values}
-            groups[group] += [*[flag_name(prefix, v) for v in values], column]
+            names = flag_names(prefix, known[column])
+            new |= {name: features.equals_flag(F.col(column), v) for v, name in names.items()}
+            groups[group] += [*names.values(), column]
     if has(df, "item_purchased"):
         groups["category"].append("item_purchased")
 

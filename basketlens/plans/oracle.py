@@ -4,7 +4,7 @@ from basketlens.operators.predict import BINS
 from basketlens.plans.catalog import CATEGORICAL, FROZEN
 from basketlens.schema import DISPLAY_NAMES, RETAIL
 
-# Category and season values of the given tables.
+# Category and season values of the given tables; the value lists and groups below are fixed as well.
 CATEGORIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 SEASONS = ["Fall", "Spring", "Summer", "Winter"]
 DIGITS = 6
@@ -44,7 +44,7 @@ shop AS (
     JOIN nation ON c_nationkey = n_nationkey
     JOIN part ON l_partkey = p_partkey)"""
 
-TRAIN = "((row_key % 1000003) * 48271 + 42) % 10000 < 8000"
+TRAIN = "CAST('0x' || substr(md5('42:' || CAST(row_key AS VARCHAR)), 1, 7) AS BIGINT) % 10000 < 8000"
 
 
 def _flag(column: str, value: str, name: str) -> str:
@@ -328,6 +328,11 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT row_key, purchase_amount, previous_purchases, round({SCORE}, {DIGITS}) AS value_score FROM shop"
         ),
         "category_flags": _over_shop(f"SELECT row_key, category, {CATEGORY_FLAGS} FROM shop"),
+        "category_flags_similar_names": f"""WITH {SHOP}, renamed AS (SELECT row_key,
+  CASE WHEN category IS NULL THEN NULL WHEN row_key % 4 = 0 THEN 'a b' WHEN row_key % 4 = 1 THEN 'a_b'
+    WHEN row_key % 4 = 2 THEN 'Small' ELSE 'SMALL' END AS category FROM shop)
+SELECT row_key, category, {_flag("category", "a b", "category_a%20b")}, {_flag("category", "a_b", "category_a%5Fb")},
+  {_flag("category", "Small", "category_%53mall")}, {_flag("category", "SMALL", "category_%53%4D%41%4C%4C")} FROM renamed""",
         "season_flags": _over_shop(f"SELECT row_key, season, {SEASON_FLAGS} FROM shop"),
         "purchase_frequency": _over_shop(f"SELECT row_key, frequency_of_purchases, {YEARLY} FROM shop"),
         "yes_no_encode": _over_shop(
@@ -352,11 +357,15 @@ def oracle_sql() -> dict[str, str]:
 SELECT row_key, CASE WHEN {TRAIN} THEN 'train' ELSE 'test' END AS part,
   round((review_rating - (SELECT m FROM fit)) / (SELECT s FROM fit), {DIGITS}) AS review_rating_scaled FROM shop""",
         "scale_numeric": _scale_numeric(),
-        "kmeans_invariants": _over_shop(
-            "SELECT count(*) AS n_rows, count(CASE WHEN "
-            + " AND ".join(f"{c} IS NOT NULL" for c in FROZEN.columns)
-            + " THEN 1 END) AS n_labelled, CAST(4 AS BIGINT) AS n_segments, TRUE AS less_spread FROM shop"
-        ),
+        **{
+            name: _over_shop(
+                "SELECT count(*) AS n_rows, count(CASE WHEN "
+                + " AND ".join(f"{c} IS NOT NULL" for c in FROZEN.columns)
+                + " THEN 1 END) AS n_labelled, CAST(4 AS BIGINT) AS n_segments, CAST(25 AS INTEGER) AS n_fits_at_rest,"
+                + " TRUE AS centres_are_means, TRUE AS cost_adds_up, TRUE AS not_above_fixed_centres FROM shop"
+            )
+            for name in ("kmeans_invariants", "kmeans_with_id_invariants")
+        },
         "segment_assign": _over_seg("SELECT row_key, cluster, segment FROM seg"),
         "kmeans_cost": _over_seg(
             f"""SELECT segment, count(*) AS n, {', '.join(f'round(avg({c}), {DIGITS}) AS mean_{c}' for c in FROZEN.columns)},

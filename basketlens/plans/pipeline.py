@@ -2,9 +2,10 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketlens.operators.report import report_text, segment_report
+from basketlens.operators.report import report_text, segment_report, shares_any
 from basketlens.operators.segment import Segments, fit_segments
 from basketlens.plans.features import add_features
+from basketlens.schema import has
 from basketlens.sources.files import save_feature_sets, to_display_names, write_table
 
 
@@ -15,19 +16,24 @@ def run(
     restarts: int = 25,
     segments: Segments | None = None,
     fmt: str = "parquet",
+    flags: bool = True,
 ) -> dict[str, str]:
     """Segment, derive features, write everything under ``out_dir``; returns the paths.
 
     The segmented base table is written first and everything later reads it back, so
     the joins behind ``df`` run once for the model and once for the table.  The input
-    is never written over.
+    is never written over.  ``flags`` makes one column per category and season; without
+    it their shares per segment are tables in long form, for any number of values.
     """
     spark: SparkSession = df.sparkSession
     model = segments or fit_segments(df, k=k, restarts=restarts)
     base_path = write_table(model.assign(df), f"{out_dir}/segmented")
     base = spark.read.parquet(base_path)
-    featured = add_features(base)
+    featured = add_features(base) if flags else add_features(base, categories=[], seasons=[])
     paths = save_feature_sets(featured.df, featured.groups, f"{out_dir}/features", fmt)
+    for column in [c for c in ("category", "season") if not flags and has(base, c)]:
+        shares = shares_any(base, column, len(model.centres))
+        paths[f"{column}_preferences"] = write_table(shares, f"{out_dir}/{column}_preferences", fmt)
     if fmt == "csv":
         paths["segmented_csv"] = write_table(to_display_names(base), f"{out_dir}/segmented_csv", "csv")
     report = segment_report(featured.df, len(model.centres))

@@ -4,6 +4,10 @@ Inside the engine every column is snake_case; display names appear only when a
 file for people is written (``sources.files.to_display_names``).
 """
 
+import re
+from collections import Counter
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -76,9 +80,23 @@ SEASON_FLAG = "season_"
 DISPLAY_PREFIXES = {CATEGORY_FLAG: "Prefers_", SEASON_FLAG: "Shops_"}
 
 
-def flag_name(prefix: str, value: str) -> str:
-    """Column name of the 0/1 flag for one category value."""
-    return prefix + value.replace(" ", "_")
+def flag_names(prefix: str, values: list[str]) -> dict[str, str]:
+    """Column name of the 0/1 flag of each value of one family: spaces become underscores.
+
+    Column names ignore case, so values like "Small" and "SMALL", or "a b" and "a_b", would
+    share a name, and some characters are awkward in one.  Such values are spelled with
+    ``%`` codes for all but a-z and 0-9 instead, which is reversible.
+    """
+    plain = {v: v.replace(" ", "_") for v in values}
+    taken = Counter(p.lower() for p in plain.values())
+    return {
+        v: prefix + (p if taken[p.lower()] == 1 and not re.search(r"[%.`\\]", p) else _spelled(v))
+        for v, p in plain.items()
+    }
+
+
+def _spelled(value: str) -> str:
+    return "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else "".join(f"%{b:02X}" for b in c.encode()) for c in value)
 
 
 def flag_columns(df: DataFrame, prefix: str) -> list[str]:
@@ -87,8 +105,9 @@ def flag_columns(df: DataFrame, prefix: str) -> list[str]:
 
 
 def flag_label(column: str, prefix: str) -> str:
-    """Display text of a flag: prefix off, underscores back to spaces."""
-    return column.removeprefix(prefix).replace("_", " ")
+    """Display text of a flag: prefix off, codes or underscores back to what they stand for."""
+    rest = column.removeprefix(prefix)
+    return unquote(rest) if "%" in rest else rest.replace("_", " ")
 
 
 def has(df: DataFrame, *columns: str) -> bool:

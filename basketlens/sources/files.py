@@ -1,11 +1,9 @@
 """CSV and parquet scans and sinks, row ids, and display names."""
 
-import itertools
-import re
 from collections.abc import Iterable
 
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +14,7 @@ from basketlens.schema import (
     DISPLAY_PREFIXES,
     GENERATED_ID,
     SEGMENT,
+    flag_label,
 )
 from basketlens.session import work_path
 
@@ -89,7 +88,8 @@ def to_display_names(df: DataFrame) -> DataFrame:
     taken = {shown.lower() for shown in names.values()}
     for c in df.columns:
         for prefix, shown in DISPLAY_PREFIXES.items():
-            wanted = shown + c.removeprefix(prefix)
+            rest = c.removeprefix(prefix)
+            wanted = shown + (flag_label(c, prefix) if "%" in rest else rest)
             if c.startswith(prefix) and wanted.lower() not in taken:
                 names[c] = wanted
                 taken.add(wanted.lower())
@@ -107,10 +107,8 @@ def clean_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*mapping.values()), mapping
 
 
-def _file_order(name: str) -> tuple[int, ...]:
-    # part-<task>-<job id>-c<file of the task>: order by number, past five digits too.
-    found = re.match(r"part-(\d+)-.*?-c(\d+)", name)
-    return (int(found[1]), int(found[2])) if found else (0, 0)
+# part-<task>-<job id>-c<file of the task>: ordered by number, past five digits too.
+_FILE_NAME = r"^part-(\d+)-.*?-c(\d+)"
 
 
 def written_positions(spark: SparkSession, path: str, name: str = "position") -> DataFrame:
@@ -118,23 +116,24 @@ def written_positions(spark: SparkSession, path: str, name: str = "position") ->
 
     Place = rows in the files before + row number in the file.  Both come from the
     files themselves, so a lost executor or another split of the scan changes nothing.
-    The driver sees one count per file.
+    The rows before each file are a running sum over a table of one row per file; a file
+    whose name does not tell its place is an error.
     """
     table = spark.read.parquet(path)
     columns = table.columns
     table = table.select(
-        *columns,
+        *[f"`{c}`" for c in columns],
         F.col("_metadata.file_name").alias("_file"),
         F.col("_metadata.row_index").alias("_row"),
     )
-    counts = {r["_file"]: r["count"] for r in table.groupBy("_file").count().collect()}
-    files = sorted(counts, key=_file_order)
-    starts = [0, *itertools.accumulate(counts[f] for f in files)][: len(files)]
-    if len(files) <= 1:
-        return table.select(*columns, F.col("_row").alias(name))
-    offsets = spark.createDataFrame(list(zip(files, starts)), "_file string, _start long")
-    return table.join(F.broadcast(offsets), "_file").select(
-        *columns, (F.col("_start") + F.col("_row")).alias(name)
+    unknown = F.raise_error(F.concat(F.lit("no place in the name of the file "), F.col("_file")))
+    place = [F.regexp_extract("_file", _FILE_NAME, i).cast("long") for i in (1, 2)]
+    known = F.when(F.col("_file").rlike(_FILE_NAME), F.struct(*place)).otherwise(unknown)
+    counts = table.groupBy("_file").agg(F.count(F.lit(1)).alias("_n")).withColumn("_place", known)
+    before = Window.orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return table.join(offsets, "_file").select(
+        *[f"`{c}`" for c in columns], (F.col("_start") + F.col("_row")).alias(name)
     )
 
 
@@ -151,7 +150,7 @@ def feature_set(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     if key not in df.columns:
         df = with_row_id(df)
     extra = [c for c in (SEGMENT, CLUSTER) if c in df.columns]
-    return df.select(key, *extra, *[c for c in columns if c in df.columns])
+    return df.select(key, *extra, *[f"`{c}`" for c in columns if c in df.columns])
 
 
 def save_feature_sets(

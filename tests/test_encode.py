@@ -29,9 +29,10 @@ def test_unseen_and_null_become_zero_vectors(spark):
 
 def test_null_can_be_a_category(spark):
     df = spark.createDataFrame([("a", 1), (None, 2)], "c string, k long")
-    dictionary = encode.fit_dictionary(df, ["c"], missing_label="(missing)")
-    assert dictionary.labels == {"c": ["(missing)", "a"]}
-    assert {r.k: r.c_index for r in dictionary.index_int(df).collect()} == {1: 1, 2: 0}
+    dictionary = encode.fit_dictionary(df, ["c"], null_slot=True)
+    every = df.union(spark.createDataFrame([("(missing)", 3)], df.schema))
+    assert dictionary.widths == {"c": 2}
+    assert {r.k: r.c_index for r in dictionary.index_int(every).collect()} == {1: 0, 2: 1, 3: -1}
 
 
 def test_columns_of_different_width(spark):
@@ -42,18 +43,14 @@ def test_columns_of_different_width(spark):
     assert tuple(got) == (dictionary.widths["w"], dictionary.widths["g"]) == (90, 3)
 
 
-def test_large_dictionaries_as_tables_give_the_same_index(spark):
+def test_indexes_are_places_in_the_sorted_values(spark):
     df = words(spark)
     train = df.where("id < 250")
-    small = encode.fit_dictionary(train, ["w", "g"])
-    large = encode.fit_dictionary(train, ["w", "g"], driver_labels=0)
-    mixed = encode.fit_dictionary(train, ["w", "g"], driver_labels=10)
-    assert not large.labels and set(mixed.tables) == {"w"} and small.widths == large.widths
-    pick = ["id", "w_index", "g_index"]
-    want = sorted(map(tuple, small.index_int(df).select(pick).collect()))
-    for other in (large, mixed):
-        assert sorted(map(tuple, other.index_int(df).select(pick).collect())) == want
-    hot = large.one_hot(df).select(F.sum(F.array_position(vector_to_array("w"), 1.0) - 1)).first()[0]
+    dictionary = encode.fit_dictionary(train, ["w", "g"])
+    places = {c: {v: i for i, v in enumerate(sorted({r[c] for r in train.collect()} - {None}))} for c in ("w", "g")}
+    want = sorted((r.id, places["w"].get(r.w, -1), places["g"].get(r.g, -1)) for r in df.collect())
+    assert sorted(map(tuple, dictionary.index_int(df).select("id", "w_index", "g_index").collect())) == want
+    hot = dictionary.one_hot(df).select(F.sum(F.array_position(vector_to_array("w"), 1.0) - 1)).first()[0]
     assert hot == sum(i for _, i, _ in want if i >= 0)
 
 
@@ -64,7 +61,7 @@ def test_table_dictionary_survives_a_hot_value(spark, eager_skew_splits):
         F.sha1(F.col("id").cast("string")).alias("rest"),
         F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("k"), "id")).alias("c"),
     )
-    dictionary = encode.fit_dictionary(df, ["c"], driver_labels=0)
+    dictionary = encode.fit_dictionary(df, ["c"])
     out = dictionary.index_int(df)
     rows = out.collect()
     assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
@@ -82,6 +79,17 @@ def test_split_is_complete_disjoint_and_stable(spark):
     assert again.exceptAll(train).count() == 0
 
 
+@pytest.mark.parametrize("key", ["id * 2500", "id * 10000", "concat('C-', id)"])
+def test_split_of_structured_and_text_keys(spark, key):
+    df = spark.range(20_000).select(F.expr(key).alias("k.y"))
+    train, _ = encode.split(df, "k.y")
+    assert abs(train.count() / 20_000 - 0.8) < 0.01
+    other, _ = encode.split(df, "k.y", seed=7)
+    assert 0.6 < train.intersect(other).count() / 20_000 < 0.68
+    half, _ = encode.split(df, "k.y", share=0.5)
+    assert abs(half.count() / 20_000 - 0.5) < 0.015
+
+
 def test_null_keys_are_not_lost_in_the_split(spark):
     df = spark.createDataFrame([(None,), (1,)], "id long")
     train, test = encode.split(df, "id")

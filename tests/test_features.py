@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from basketlens.functions import features
 from basketlens.plans.features import add_features, add_value_score, levels
+from basketlens.schema import flag_label
 
 
 def values(df, column):
@@ -78,8 +79,17 @@ def test_missing_columns_skip_their_feature(spark):
     assert made.groups["demographic"] == []
 
 
-def test_levels_refuse_too_many_values(spark):
-    df = spark.range(20).select(F.col("id").cast("string").alias("v"))
-    with pytest.raises(ValueError, match="more than 10"):
-        levels(df, "v", limit=10)
-    assert len(levels(df, "v", limit=20)["v"]) == 20
+def test_levels_have_no_limit(spark):
+    df = spark.range(3_000).select(F.col("id").cast("string").alias("v"))
+    assert len(levels(df, "v")["v"]) == 3_000
+
+
+def test_similar_values_keep_their_own_flags(spark):
+    similar = ["a b", "a_b", "Small", "SMALL", "a.b", "50%", "plain"]
+    df = spark.createDataFrame([(v,) for v in similar], "category string")
+    made = add_features(df)
+    names = made.groups["category"][:-1]
+    assert len({n.lower() for n in names}) == len(similar) and "category_plain" in names
+    rows = made.df.select("category", *[f"`{n}`" for n in names]).collect()
+    assert [sum(r[1:]) for r in rows] == [1] * len(similar)
+    assert sorted(flag_label(n, "category_") for n in names) == sorted(similar)

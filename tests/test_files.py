@@ -41,9 +41,24 @@ def test_row_ids_do_not_change_between_reads(spark):
     assert first == {r.v: r.id for r in df.repartition(3).collect()}
 
 
-def test_file_order_is_numeric():
-    names = ["part-100000-u-c000.parquet", "part-99999-u-c001.parquet", "part-99999-u-c000.parquet"]
-    assert sorted(names, key=files._file_order) == [names[2], names[1], names[0]]
+def test_positions_follow_the_numbers_of_the_files_and_foreign_names_are_refused(spark, tmp_path):
+    for folder, names in (("a", ["part-100000-u-c000", "part-99999-u-c001", "part-99999-u-c000"]), ("b", ["rows"])):
+        (tmp_path / folder).mkdir()
+        for i, name in enumerate(names):
+            spark.range(10 * i, 10 * i + 3).coalesce(1).write.parquet(str(tmp_path / folder / f"w{i}"))
+            part = next((tmp_path / folder / f"w{i}").glob("part-*.parquet"))
+            (tmp_path / f"{folder}-out").mkdir(exist_ok=True)
+            (tmp_path / f"{folder}-out" / f"{name}.parquet").write_bytes(part.read_bytes())
+    got = files.written_positions(spark, str(tmp_path / "a-out")).orderBy("position").collect()
+    assert [r.id for r in got] == [20, 21, 22, 10, 11, 12, 0, 1, 2] and [r.position for r in got] == list(range(9))
+    with pytest.raises(Exception, match="no place in the name"):
+        files.written_positions(spark, str(tmp_path / "b-out")).collect()
+
+
+def test_row_ids_over_thousands_of_files(spark):
+    df = spark.range(0, 6_000, 1, 2_000)
+    got = files.with_row_id(df.withColumnRenamed("id", "v.x")).agg(F.count_distinct("id"), F.min("id"), F.max("id")).first()
+    assert tuple(got) == (6_000, 1, 6_000)
 
 
 def test_clean_names(spark):

@@ -25,6 +25,15 @@ def test_everything_is_written_and_the_source_is_not_touched(spark, data, tmp_pa
     assert "IDENTIFIED CUSTOMER SEGMENTS" in report and "Segment 4" in report
 
 
+def test_thousands_of_categories_go_through(spark, data, tmp_path):
+    table = shop(spark, data).withColumn("category", F.concat(F.lit("c."), F.col("row_key") % 5_000))
+    paths = pipeline.run(table, str(tmp_path), segments=catalog.FROZEN, flags=False)
+    shares = spark.read.parquet(paths["category_preferences"])
+    assert shares.select("category").distinct().count() == table.where("review_rating is not null").select("category").distinct().count()
+    sums = shares.groupBy("segment").agg(F.sum("preference").alias("s")).collect()
+    assert len(sums) == 4 and all(abs(r.s - 1) < 1e-9 for r in sums)
+
+
 def test_csv_output_and_fitted_segments(spark, data, tmp_path):
     table = shop(spark, data).drop("customer_id")
     paths = pipeline.run(table, str(tmp_path), k=3, restarts=1, fmt="csv")

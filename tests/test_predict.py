@@ -90,6 +90,14 @@ def test_first_slot_labels_are_binary(spark):
         frame.release()
 
 
+def test_metrics_do_not_depend_on_how_the_input_is_cut(spark):
+    scores = [
+        sorted(map(tuple, predict.predict_all_targets(purchases(spark, 400).repartition(n), targets=["season"], trees=3, depth=3).collect()))
+        for n in (1, 4, 8)
+    ]
+    assert scores[0] == scores[1] == scores[2]
+
+
 def test_caches_are_released(spark):
     predict.predict_all_targets(purchases(spark, 300), targets=["gender"], trees=2, depth=2)
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0

@@ -22,6 +22,13 @@ def test_missing_counts_null_and_nan(spark):
     assert profile.missing_counts(frame(spark)).first().asDict() == {"s": 1, "i": 1, "x": 2}
 
 
+def test_dotted_names(spark):
+    df = frame(spark).withColumnRenamed("x", "x.y")
+    assert profile.missing_counts(df).first().asDict() == {"s": 1, "i": 1, "x.y": 2}
+    assert profile.complete_cases(df, ["i", "x.y"]).count() == 2
+    assert {r["x.y"] for r in profile.value_counts(df, "x.y").collect()} >= {1.0, 0.0}
+
+
 def test_missing_handles_text_without_casting(spark):
     df = spark.createDataFrame([("12abc",), (None,)], "s string")
     assert profile.missing_counts(df).first().asDict() == {"s": 1}

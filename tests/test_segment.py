@@ -36,7 +36,7 @@ def test_more_restarts_never_cost_more(spark):
 
 def test_centres_are_the_means_of_their_members_and_cost_adds_up(spark):
     df = blobs(spark)
-    model = segment.fit_segments(df, k=4, restarts=4, max_iter=50)
+    model = segment.fit_segments(df, k=4, restarts=4)
     by = segment.cost_by_segment(df, model).orderBy("segment").collect()
     for row, centre in zip(by, model.centres):
         for i, c in enumerate(model.columns):
@@ -45,6 +45,26 @@ def test_centres_are_the_means_of_their_members_and_cost_adds_up(spark):
     assert sum(r.cost for r in by) == pytest.approx(model.cost)
 
 
+def test_every_fit_on_the_real_table_comes_to_rest(spark, data):
+    from basketlens.sources.shop import shop
+
+    columns = ["age", "purchase_amount", "review_rating", "previous_purchases"]
+    df = shop(spark, data, ["row_key", *columns])
+    model = segment.fit_segments(df, restarts=4)
+    assert len(model.steps) == 4 and max(model.steps) > 10
+    by = segment.cost_by_segment(df, model).orderBy("segment").collect()
+    for row, centre in zip(by, model.centres):
+        for i, c in enumerate(model.columns):
+            assert (row[f"mean_{c}"] - model.shift[i]) / model.scale[i] == pytest.approx(centre[i], abs=1e-3)
+    with pytest.raises(RuntimeError, match="come to rest"):
+        segment.fit_segments(df, restarts=1, max_iter=3)
+
+
+def test_dotted_columns_can_be_clustered(spark):
+    df = blobs(spark).withColumnRenamed("x", "x.amount")
+    assert segment.fit_segments(df, k=2, restarts=1).columns == ["x.amount", "y"]
+
+
 def test_the_id_is_used_only_on_request(spark):
     df = blobs(spark).withColumn("customer_id", F.col("row_key"))
     assert segment.fit_segments(df, k=2, restarts=1).columns == ["x", "y"]
