@@ -21,7 +21,7 @@ from basketlens.operators.encode import (
     split,
 )
 from basketlens.operators.segment import run_parallel
-from basketlens.schema import CUSTOMER_ID, ROW_KEY, has
+from basketlens.schema import CUSTOMER_ID, ROW_KEY, has, is_floating
 from basketlens.sources.files import materialised
 
 RATING = "review_rating"
@@ -75,7 +75,9 @@ def cached(df: DataFrame, partitions: int = FOREST_PARTITIONS) -> DataFrame:
     are the same for any number of cores and any split of the input; set ``partitions``
     for the cluster, and keep it for results to be compared.
     """
-    place = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    # Fractions are rounded: the last digits of a fitted mean follow the order in which it was summed.
+    cells = [F.round(f"`{c}`", 6) if is_floating(df, c) else F.col(f"`{c}`") for c in df.columns]
+    place = F.xxhash64(*cells)
     spread = df.withColumn("_place", place).repartition(partitions, "_place").sortWithinPartitions("_place").drop("_place")
     spread = spread.persist(StorageLevel.MEMORY_AND_DISK)
     spread.count()
