@@ -45,14 +45,14 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and whether decoding them gives the text back."""
     vocabulary = pieces.Vocabulary.load(VOCABULARY)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = pieces.decode(pieces.encode(docs, vocabulary), vocabulary)
+    both = pieces.encode(docs, vocabulary, back=True)
     return both.select(
-        "row.row.doc_id",
-        F.length("row.row.text").cast("long").alias("n_chars"),
-        F.size("row.ids").cast("long").alias("n_pieces"),
-        F.col("row.ids").alias("ids"),
+        "row.doc_id",
+        F.length("row.text").cast("long").alias("n_chars"),
+        F.size("ids").cast("long").alias("n_pieces"),
+        "ids",
         F.sha2("decoded", 256).alias("decoded_sha256"),
-        F.col("decoded").eqNullSafe(F.col("row.row.text")).alias("round_trip"),
+        F.col("decoded").eqNullSafe(F.col("row.text")).alias("round_trip"),
     )
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from basketlens.llm.common import partitions, saved
 
 #: One place in so many ends a chunk (a power of two), and characters of a passage that counts.
-EVERY, LEAST = 32, 120
+EVERY, LEAST = 32, 80
 #: Bytes that are hashed at a time.
 PIECE = 4 << 20
 _GEAR = np.random.default_rng(20240501).integers(0, 1 << 32, 256, dtype=np.uint32)

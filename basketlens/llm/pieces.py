@@ -26,9 +26,9 @@ MARK = "▁"
 #: Cost of a character without a piece, below the smallest score (fixed by the vocabulary format).
 UNKNOWN_PENALTY = 10.0
 #: Characters of text whose words are held at a time, and words whose pieces a task remembers.
-BLOCK, REMEMBERED = 3_000_000, 500_000
+BLOCK, REMEMBERED = 1_000_000, 150_000
 #: Transitions past a failure link that are remembered.
-LEARNED = 1_000_000
+LEARNED = 300_000
 
 
 @dataclass
@@ -219,8 +219,11 @@ def _joined(values: pa.Array) -> bytes:
     return values.buffers()[2][int(first) : int(last)].to_pybytes()
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
-    """Columns ``row`` (a struct of all columns of ``docs``) and ``ids``."""
+def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", back: bool = False) -> DataFrame:
+    """Columns ``row`` (a struct of all columns of ``docs``) and ``ids``; with ``back`` also ``decoded``, the text the ids give.
+
+    Encoding and decoding in one task needs half the Python workers that one after the other would.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     rows = docs.select(F.struct("*").alias("row"), F.col(f"`{text}`").cast("string").alias("_text"))
 
@@ -230,9 +233,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataF
             texts = batch.column("_text").to_pylist()
             ids, counts = encoder.encode([t or "" for t in texts])
             offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32), mask=np.array([t is None for t in texts] + [False]))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], names=["row", "ids"])
+            columns = {"row": batch.column("row"), "ids": pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))}
+            if back:
+                decoded = encoder.decode(ids, counts)
+                columns["decoded"] = pa.array([None if t is None else d for t, d in zip(texts, decoded, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    fields = [rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    return rows.mapInArrow(run, T.StructType(fields + [T.StructField("decoded", T.StringType())] * back))
 
 
 def decode(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids") -> DataFrame:
@@ -244,7 +252,7 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids") -> DataFra
         encoder = Encoder(shared.value)
         for batch in batches:
             column = batch.column("_ids")
-            counts = np.array([len(x) if x is not None else 0 for x in column])
+            counts = np.array([len(x) if x.is_valid else 0 for x in column])
             texts = encoder.decode(column.flatten().to_numpy(zero_copy_only=False), counts)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([t if x.is_valid else None for t, x in zip(texts, column, strict=True)], pa.string())], names=["row", "decoded"])
 

@@ -44,14 +44,14 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each text, with the check that they decode to it."""
     catalog.ship(spark)
     vocabulary = pieces.Vocabulary.load(catalog.VOCABULARY)
-    both = pieces.decode(pieces.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary), vocabulary)
+    both = pieces.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary, back=True)
     return both.select(
-        "row.row.doc_id",
-        "row.row.lang",
-        "row.row.source",
-        F.size("row.ids").cast("long").alias("n_pieces"),
-        F.col("row.ids").alias("ids"),
-        F.col("decoded").eqNullSafe(F.col("row.row.text")).alias("round_trip"),
+        "row.doc_id",
+        "row.lang",
+        "row.source",
+        F.size("ids").cast("long").alias("n_pieces"),
+        "ids",
+        F.col("decoded").eqNullSafe(F.col("row.text")).alias("round_trip"),
     )
 
 

@@ -6,8 +6,6 @@ import re
 from collections import defaultdict
 
 import numpy as np
-import pytest
-from conftest import *  # noqa: F403
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
