@@ -5,7 +5,8 @@ A text's set of shingles has a name (a digest of the set); equal sets are one cl
 2. Each set yields its size, a token bitmap, four smallest hashes, and its rarest shingles: two sets
    that are similar share one of those (prefix filter), so no link is lost.
 3. Stars: sets with an equal smallest hash are compared with the first of them.  What that links needs
-   no further search, so that thousands of near copies cost one comparison each.
+   no further search, so that thousands of near copies cost a few comparisons each: those near their
+   first hub, yet not linked to it, meet some more hubs.
 4. Blocks: sets of different stars that share a rare shingle.  In a block, signature trees are
    traversed against each other; node pairs whose largest possible overlap is too small, or that lie
    in one star, are pruned.  Large blocks are dealt out as pairs of chunks.
@@ -32,6 +33,8 @@ from basketlens.llm.signature_tree import block_pairs, linked
 WORDS = 5
 #: Buckets of the shingle counts, smallest hashes per set, and members of a block that meet in one task.
 BUCKETS, MINIMA, CHUNK = 1 << 16, 4, 1_500
+#: Further hubs that a near copy is compared with when the first does not link it.
+HUBS = 8
 #: Bits of the map of live shingles that thins out postings before the exact join.
 LIVE_BITS = 24
 _SEEDS = np.array([0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25], np.uint64)
@@ -150,6 +153,32 @@ def stars(profile: DataFrame) -> DataFrame:
     return possible(profile, pairs)
 
 
+def more_stars(profile: DataFrame, pairs: DataFrame, star: DataFrame) -> DataFrame:
+    """Pairs of classes that were near their first hub, but not linked to it, with several other hubs of their groups.
+
+    In a large group of near copies two of them may differ too much though a third links both; with
+    ``HUBS`` more to compare with, few are left to the search in blocks.
+    """
+    near = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    near = near.join(star.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("star"))
+    keys = profile.filter("cls is not null").select("cls", "n", "minima").dropDuplicates(["cls"]).join(near, "cls")
+    keys = saved(keys.select("cls", "n", "star", F.posexplode("minima").alias("pos", "low")), "near-keys")
+    hubs = [F.min(F.struct(F.xxhash64("cls", F.lit(i)).alias("h"), "cls", "n", "star")).alias(f"hub_{i}") for i in range(HUBS)]
+    groups = keys.groupBy("pos", "low").agg(*hubs, F.min("star").alias("lo"), F.max("star").alias("hi")).filter("lo <> hi")
+    others = groups.select("pos", "low", F.explode(F.array_distinct(F.array(*[f"hub_{i}" for i in range(HUBS)]))).alias("hub"))
+    lone = keys.filter("cls = star")
+    found = (
+        lone.join(others, ["pos", "low"])
+        .filter("star <> hub.star and 100 * least(n, hub.n) >= 80 * greatest(n, hub.n)")
+        .select(F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b"))
+        .distinct()
+        .join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    )
+    out = possible(profile, found)
+    discard(keys)
+    return out
+
+
 def possible(profile: DataFrame, pairs: DataFrame) -> DataFrame:
     maps = profile.filter("cls is not null").select("cls", "n", "bits").dropDuplicates(["cls"])
     for side in "ab":
@@ -235,8 +264,11 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """One row per row of ``docs``: key, n_shingles, component_id (smallest key reachable by links)."""
     profile = saved(profiles(docs, key, text), "profiles")
     members = profile.select("id", "cls", "n")
-    first = verified(docs, members, stars(profile), key, text)
+    pairs = stars(profile)
+    first = verified(docs, members, pairs, key, text)
     star = components(first)
+    second = verified(docs, members, more_stars(profile, pairs, star), key, text)
+    star = components(star.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second))
     rest = verified(docs, members, block_candidates(profile, star), key, text)
     roots = components(star.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest)).withColumnRenamed("node", "cls")
     named = members.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("low")).join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
@@ -244,7 +276,7 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
     component = saved(named.join(lows, "root").select("cls", "component_id"), "component-of")
     rows = saved(members, "members")
-    discard(profile, named, first, rest)
+    discard(profile, named, pairs, first, second, rest)
     out = rows.filter("cls is not null").join(component, "cls").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
     return out.union(rows.filter("cls is null").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
 
