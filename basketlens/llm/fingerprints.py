@@ -1,6 +1,6 @@
 """Document fingerprints: invertible Bloom lookup sketches over paragraph digests, in SQL expressions only.
 
-A text is cut at line ends and after sentence ends; each distinct piece has a 64-bit digest.  A sketch
+A text is cut at line ends; each distinct piece that is not blank has a 64-bit digest.  A sketch
 is ``CELLS`` cells of (count, xor of digests, xor of checks) in three sub-tables; each digest goes to
 one cell of each.  Two sketches are subtracted cell by cell, and peeling takes out cells that hold
 one digest until none is left: what was taken out are the pieces that differ.  Where peeling gets
@@ -24,14 +24,13 @@ from basketlens.llm.common import partitions, text_of
 #: Cells of a sketch (three sub-tables) and pieces for which a larger comparison takes one sketch.
 CELLS, LOAD = 48, 8
 #: Rounds of peeling, and how often a sketch that is stuck is split.
-ROUNDS, SPLITS = 12, 4
+ROUNDS, SPLITS = 9, 4
 _SIDE = CELLS // 3
-_PIECES = r"\n|(?<=[.!?]) "
 
 
 def digests(text: Column) -> Column:
     """Sorted distinct digests of the pieces of a text."""
-    pieces = F.filter(F.split(text, _PIECES), lambda p: F.length(F.trim(p)) > 0)
+    pieces = F.filter(F.split(text, "\n"), lambda p: F.length(F.trim(p)) > 0)
     return F.array_sort(F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p))))
 
 
