@@ -1,6 +1,6 @@
 """Document fingerprints: invertible Bloom lookup sketches over paragraph digests, in SQL expressions only.
 
-A text is cut at line ends; each distinct piece that is not blank has a 64-bit digest.  A sketch
+A text is cut at line ends and after sentence ends; each distinct piece that is not blank has a 64-bit digest.  A sketch
 is ``CELLS`` cells of (count, xor of digests, xor of checks) in three sub-tables; each digest goes to
 one cell of each.  Two sketches are subtracted cell by cell, and peeling takes out cells that hold
 one digest until none is left: what was taken out are the pieces that differ.  Where peeling gets
@@ -24,33 +24,36 @@ from basketlens.llm.common import partitions, text_of
 #: Cells of a sketch (three sub-tables) and pieces for which a larger comparison takes one sketch.
 CELLS, LOAD = 48, 8
 #: Rounds of peeling, and how often a sketch that is stuck is split.
-ROUNDS, SPLITS = 9, 4
+ROUNDS, SPLITS = 12, 4
 _SIDE = CELLS // 3
+_PIECES = r"\n|(?<=[.!?]) "
 
 
 def digests(text: Column) -> Column:
     """Sorted distinct digests of the pieces of a text."""
-    pieces = F.filter(F.split(text, "\n"), lambda p: F.length(F.trim(p)) > 0)
+    pieces = F.filter(F.split(text, _PIECES), lambda p: F.length(F.trim(p)) > 0)
     return F.array_sort(F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p))))
 
 
-def _tagged(keys: str, level: int) -> str:
-    """Digests with a bit per cell they go to (``m``) and their check (``c``)."""
+def _tagged(keys: str, level: int, side: str = "1") -> str:
+    """Digests with a bit per cell they go to (``m``), their check (``c``) and their side (``s``)."""
     cell = " | ".join(f"shiftleft(1L, cast({j * _SIDE} + shiftrightunsigned(h.h, {4 * j}) % {_SIDE} as int))" for j in range(3))
     # The remainder of a shifted hash may be negative, so the hash is cut to 48 bits first.
     hashed = f"transform({keys}, d -> named_struct('k', d, 'h', shiftrightunsigned(xxhash64(d, {level}L), 16)))"
-    return f"transform({hashed}, h -> named_struct('k', h.k, 'm', {cell}, 'c', shiftrightunsigned(h.h, 12)))"
+    return f"transform({hashed}, h -> named_struct('k', h.k, 'm', {cell}, 'c', shiftrightunsigned(h.h, 12), 's', {side}))"
 
 
-def _cells(keys: str, level: int) -> str:
-    add = "named_struct('n', z.n + 1, 'k', z.k ^ x.k, 'c', z.c ^ x.c)"
-    one = f"aggregate(t, named_struct('n', 0, 'k', 0L, 'c', 0L), (z, x) -> if(shiftrightunsigned(x.m, i) % 2 = 1, {add}, z))"
-    return f"element_at(transform(array({_tagged(keys, level)}), t -> transform(sequence(0, {CELLS - 1}), i -> {one})), 1)"
+def _cells(tagged: str) -> str:
+    """All cells of tagged digests, which are dealt to runs of four cells first, so that a cell looks at few of them."""
+    runs = f"transform(sequence(0, {CELLS // 4 - 1}), q -> named_struct('q', 4 * q, 't', filter(t, x -> (x.m & shiftleft(15L, 4 * q)) <> 0)))"
+    add = "named_struct('n', z.n + x.s, 'k', z.k ^ x.k, 'c', z.c ^ x.c)"
+    one = f"aggregate(r.t, named_struct('n', 0, 'k', 0L, 'c', 0L), (z, x) -> if(getbit(x.m, i) = 1, {add}, z))"
+    return f"element_at(transform(array({tagged}), t -> flatten(transform({runs}, r -> transform(sequence(r.q, r.q + 3), i -> {one})))), 1)"
 
 
 def sketch(keys: str) -> Column:
     """The first sketch of a column of digests: one array of cells, whatever the length of the text."""
-    return F.expr(_cells(keys, 0))
+    return F.expr(_cells(_tagged(keys, 0)))
 
 
 def _subtracted(left: str, right: str) -> str:
@@ -58,22 +61,37 @@ def _subtracted(left: str, right: str) -> str:
 
 
 def _peeled(cells: str, level: int) -> str:
-    """Digests (k) and sides (s: 1 left, -1 right) that peeling recovers, or null when it gets stuck."""
+    """Digests (k) and sides (s: 1 left, -1 right) that peeling recovers, or null when it gets stuck.
+
+    Only cells that still hold something are carried from round to round.
+    """
+    filled = "x -> x.n <> 0 or x.k <> 0 or x.c <> 0"
+    live = f"filter(transform({cells}, (x, i) -> named_struct('n', x.n, 'k', x.k, 'c', x.c, 'i', i)), {filled})"
     pure = f"filter(st.cells, x -> abs(x.n) = 1 and x.c = shiftrightunsigned(shiftrightunsigned(xxhash64(x.k, {level}L), 16), 12))"
     keys = f"array_distinct(transform({pure}, x -> named_struct('k', x.k, 's', x.n)))"
     tagged = f"element_at(transform(array({keys}), q -> zip_with({_tagged('transform(q, e -> e.k)', level)}, q, (a, b) -> named_struct('k', a.k, 'm', a.m, 'c', a.c, 's', b.s))), 1)"
-    less = "aggregate(p, x, (z, y) -> if(shiftrightunsigned(y.m, i) % 2 = 1, named_struct('n', z.n - y.s, 'k', z.k ^ y.k, 'c', z.c ^ y.c), z))"
+    less = "aggregate(p, x, (z, y) -> if(getbit(y.m, z.i) = 1, named_struct('n', z.n - y.s, 'k', z.k ^ y.k, 'c', z.c ^ y.c, 'i', z.i), z))"
     found = "concat(st.found, transform(p, y -> named_struct('k', y.k, 's', y.s)))"
-    step = f"element_at(transform(array({tagged}), p -> if(size(p) = 0, st, named_struct('cells', transform(st.cells, (x, i) -> {less}), 'found', {found}))), 1)"
+    moved = f"named_struct('cells', filter(transform(st.cells, x -> {less}), {filled}), 'found', {found}, 'on', true)"
+    step = f"element_at(transform(array({tagged}), p -> if(size(p) = 0, named_struct('cells', st.cells, 'found', st.found, 'on', false), {moved})), 1)"
     none = "cast(array() as array<struct<k:bigint,s:int>>)"
-    done = "if(forall(st.cells, x -> x.n = 0 and x.k = 0 and x.c = 0), st.found, null)"
-    return f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'found', {none}), (st, r) -> {step}, st -> {done})"
+    start = f"named_struct('cells', {live}, 'found', {none}, 'on', true)"
+    return f"aggregate(sequence(1, {ROUNDS}), {start}, (st, r) -> if(st.on, {step}, st), st -> if(size(st.cells) = 0, st.found, null))"
 
 
 def _dealt(keys: str, level: int, parts: str, part: str) -> str:
     return f"filter({keys}, d -> pmod(xxhash64(d, {100 + level}L), {parts}) = {part})"
 
 
+def _halved(left: str, right: str, size: str) -> str:
+    """Digests of both sides (u, w) in ``size`` parts (a power of two), halved bit by bit of one hash of each."""
+    hashed = lambda keys: f"transform({keys}, d -> named_struct('k', d, 'h', xxhash64(d, 150L)))"
+    half = lambda bit: f"named_struct('u', filter(e.u, x -> getbit(x.h, b - 1) = {bit}), 'w', filter(e.w, x -> getbit(x.h, b - 1) = {bit}))"
+    start = f"array(named_struct('u', {hashed(left)}, 'w', {hashed(right)}))"
+    parts = f"aggregate(sequence(0, cast(round(log2({size})) as int)), {start}, (st, b) -> if(b = 0, st, flatten(transform(st, e -> array({half(0)}, {half(1)})))))"
+    return f"transform({parts}, e -> named_struct('u', transform(e.u, x -> x.k), 'w', transform(e.w, x -> x.k)))"
+
+
 def sketches(left: str, right: str) -> Column:
     """Number of sketches of a larger comparison: a power of two, by the longer of two columns of digests."""
     return F.expr(f"cast(pow(2, ceil(log2(greatest(1.0D, greatest(size({left}), size({right})) / {float(LOAD)}D)))) as int)")
@@ -83,17 +101,16 @@ def _difference(left: str, right: str, first_left: str, first_right: str, size:
     """Digests that differ: by the first sketches, else by more and more of them."""
 
     def by(level: int) -> str:
-        a, b = _dealt("u", level, str(1 << level), "v"), _dealt("w", level, str(1 << level), "v")
-        inner = _peeled(_subtracted(_cells(a, level), _cells(b, level)), level)
-        return f"flatten(transform(sequence(0, {(1 << level) - 1}), v -> {inner}))"
+        a, b = (_dealt(f"g.{c}", level, str(1 << level), "v") if level else f"g.{c}" for c in "uw")
+        inner = _peeled(_cells(f"concat({_tagged(a, level)}, {_tagged(b, level, '-1')})"), level)
+        return f"flatten(transform(sequence(0, {(1 << level) - 1}), v -> {inner}))" if level else inner
 
     exact = (
-        "concat(transform(array_except(u, w), d -> named_struct('k', d, 's', 1)), "
-        "transform(array_except(w, u), d -> named_struct('k', d, 's', -1)))"
+        "concat(transform(array_except(g.u, g.w), d -> named_struct('k', d, 's', 1)), "
+        "transform(array_except(g.w, g.u), d -> named_struct('k', d, 's', -1)))"
     )
     block = f"coalesce({', '.join(by(level) for level in range(SPLITS + 1))}, {exact})"
-    inside = f"element_at(transform(array({_dealt(left, 50, size, 'g')}), u -> element_at(transform(array({_dealt(right, 50, size, 'g')}), w -> {block}), 1)), 1)"
-    return f"coalesce({_peeled(_subtracted(first_left, first_right), 0)}, flatten(transform(sequence(0, {size} - 1), g -> {inside})))"
+    return f"coalesce({_peeled(_subtracted(first_left, first_right), 0)}, flatten(transform({_halved(left, right, size)}, g -> {block})))"
 
 
 def difference(left: str, right: str, first_left: str, first_right: str, size: str) -> Column:

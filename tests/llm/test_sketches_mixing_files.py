@@ -50,6 +50,16 @@ def test_fingerprints_of_neighbours(spark, make):
     assert np.mean([got[i].near_edited > got[i].near_next for i in ids if i < 90 and i % 9 > 3]) > 0.8
 
 
+def test_a_text_of_a_single_line_has_real_likeness(spark, make):
+    text = " ".join(words(k, 8) + "." for k in range(40))
+    changed = text[:-3] + "x" + text[-2:]
+    got = {r.doc_id: r for r in fingerprints.fingerprints(make([(1, text), (2, changed), (3, " ".join(words(k, 8) + "!" for k in range(90, 130)))])).collect()}
+    assert got[1].near_next == pytest.approx(39 / 41) and got[2].near_next == 0
+    assert 0.3 < got[2].near_edited < 0.5
+    pieces = [text.split(". "), changed.split(". ")]
+    assert len(set(pieces[0]) ^ set(pieces[1])) == 2
+
+
 def test_fingerprints_of_edges(edges, nothing):
     out = fingerprints.fingerprints(edges).collect()
     assert len(out) == edges.count()
