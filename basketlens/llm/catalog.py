@@ -106,10 +106,11 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Rates by the domains of the labelled table: toxic, good and plain; toxic text gives way to the others."""
+    """Rates by the domains of the labelled table: toxic, good and plain; mostly toxic text gives way; every other document, and any that is labelled clean, stays."""
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "plain")
     domains = mixing.fit_domains(docs, labels.select("doc_id", domain.alias("domain")))
-    return mixing.mix(docs, domains, less={"toxic": 0.1}, carry=carry)
+    clean = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter("toxic = 0").select("doc_id")
+    return mixing.mix(docs, domains, less={"toxic": 0.1}, carry=carry, keep_others=True, spared=clean)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@
    steps.  Each step is one aggregation over all documents; a rate depends on the steps so far and the
    row's own posteriors alone, so it is recomputed from them and nothing is kept per row.
 3. Copies: the whole part of the rate, and one more with the chance of the rest, by a hash of the key.
+   With ``keep_others`` the rates of documents that are not mostly of the domains to cut, and of ``spared``
+   ones, stay at 1 or more, so each of them has a copy; the targets are then met as nearly as that allows.
 
 Defined results: a null text is empty and has no tokens; texts without words have the prior shares as
 posteriors; without labels there is one domain, ``all``, and every rate is 1; an empty table gives no
@@ -93,18 +95,18 @@ def memberships(docs: DataFrame, domains: Domains, key: str = "doc_id", text: st
     return shifted.select(*kept, "tokens", *[F.round(F.col(f"e_{i}") / whole, 9).alias(f"p_{i}") for i in range(k)])
 
 
-def _rate(steps: list[tuple[float, list[float]]], ridge: float) -> Column:
-    """(r now, r before) of a row after the steps (length, gradient of the domains)."""
+def _rate(steps: list[tuple[float, list[float]]], ridge: float, low: str = "0.0D") -> Column:
+    """(r now, r before) of a row after the steps (length, gradient of the domains); ``low`` is the least rate of the row."""
     start = "named_struct('r', 1.0D, 'q', 1.0D)"
     if not steps:
         return F.expr(start)
     k = len(steps[0][1])
     listed = ", ".join(f"array({', '.join(f'{x!r}D' for x in (a, *c))})" for a, c in steps)
     slope = " + ".join(f"p_{i} * c[{i + 1}]" for i in range(k))
-    return F.expr(f"aggregate(array({listed}), {start}, (z, c) -> named_struct('r', greatest(0.0D, z.r - c[0] * ({slope} + {ridge!r}D * (z.r - 1.0D))), 'q', z.r))")
+    return F.expr(f"aggregate(array({listed}), {start}, (z, c) -> named_struct('r', greatest({low}, z.r - c[0] * ({slope} + {ridge!r}D * (z.r - 1.0D))), 'q', z.r))")
 
 
-def fit_rates(members: DataFrame, targets: list[float], ridge: float = RIDGE) -> tuple[list[tuple[float, list[float]]], list[float]]:
+def fit_rates(members: DataFrame, targets: list[float], ridge: float = RIDGE, low: str = "0.0D") -> tuple[list[tuple[float, list[float]]], list[float]]:
     """Steps of the projected gradient until the domain shares stand still, and the shares reached."""
     k = len(targets)
     whole = members.agg(F.sum("tokens")).first()[0] or 0
@@ -113,7 +115,7 @@ def fit_rates(members: DataFrame, targets: list[float], ridge: float = RIDGE) ->
         return steps, [0.0] * k
     before: list[float] | None = None
     for _ in range(STEPS):
-        moved = members.select("tokens", *[f"p_{i}" for i in range(k)], _rate(steps, ridge).alias("z"))
+        moved = members.select("tokens", *[f"p_{i}" for i in range(k)], _rate(steps, ridge, low).alias("z"))
         weight = F.col("tokens") / float(whole)
         got = moved.agg(*[F.sum(weight * F.col("z.r") * F.col(f"p_{i}")) for i in range(k)], F.sum(weight * F.pow(F.col("z.r") - F.col("z.q"), 2))).first()
         shares, change = [float(x) for x in got[:k]], float(got[k])
@@ -128,14 +130,27 @@ def fit_rates(members: DataFrame, targets: list[float], ridge: float = RIDGE) ->
 
 
 def mix(
-    docs: DataFrame, domains: Domains, shares: dict[str, float] | None = None, less: dict[str, float] | None = None, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), seed: int = 0
+    docs: DataFrame,
+    domains: Domains,
+    shares: dict[str, float] | None = None,
+    less: dict[str, float] | None = None,
+    key: str = "doc_id",
+    text: str = "text",
+    carry: tuple[str, ...] = (),
+    seed: int = 0,
+    keep_others: bool = False,
+    spared: DataFrame | None = None,
 ) -> DataFrame:
     """Per row of ``docs``: key, carried columns, ``n_tokens``, ``p_<domain>``, ``rate`` and ``copies``.
 
     Targets are shares of all tokens by domain; or ``less`` multiplies the present share of some domains,
-    and the others take what is set free in proportion.
+    and the others take what is set free in proportion.  With ``keep_others`` only rows that are mostly
+    (by more than half) of the domains in ``less`` may have a rate below 1, and none whose key is in the first column of ``spared``.
     """
-    members = saved(memberships(docs, domains, key, text, carry), "memberships")
+    members = memberships(docs, domains, key, text, carry)
+    if spared is not None:
+        members = members.join(spared.select(F.col(spared.columns[0]).alias("_spared")).distinct(), F.col("_key") == F.col("_spared"), "left")
+    members = saved(members, "memberships")
     k = len(domains.names)
     now = members.agg(*[F.sum(F.col("tokens") * F.col(f"p_{i}")) for i in range(k)], F.sum("tokens")).first()
     whole = float(now[k] or 0)
@@ -146,8 +161,12 @@ def mix(
         cut = [p * (less or {}).get(d, 1.0) for d, p in zip(domains.names, present, strict=True)]
         free, rest = sum(present) - sum(cut), sum(p for d, p in zip(domains.names, present, strict=True) if d not in (less or {}))
         targets = [c if d in (less or {}) or not rest else c + free * c / rest for d, c in zip(domains.names, cut, strict=True)]
-    steps, _ = fit_rates(members, targets)
-    rate = F.round(_rate(steps, RIDGE)["r"], 6)
+    low = "0.0D"
+    if keep_others:
+        cut_share = " + ".join(["0.0D", *[f"p_{i}" for i, d in enumerate(domains.names) if d in (less or {})]])
+        low = f"if({cut_share} > 0.5D{'' if spared is None else ' and _spared is null'}, 0.0D, 1.0D)"
+    steps, _ = fit_rates(members, targets, low=low)
+    rate = F.round(_rate(steps, RIDGE, low)["r"], 6)
     chance = F.pmod(F.xxhash64("_key", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     return members.select(
         F.col("_key").alias(key),

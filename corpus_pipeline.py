@@ -33,7 +33,7 @@ def distinct_contents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rates say: toxic text gives way, the other domains keep their proportions."""
+    """Documents as often as their rates say: mostly toxic text gives way; every other document, and any that is labelled clean, stays at least once."""
     rates = catalog.mixing_rates(docs, table(spark, sf_dir, "labels")).filter("copies > 0")
     copies = rates.groupBy("doc_id").agg(F.max("copies").alias("_copies"))
     kept = docs.join(copies.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))

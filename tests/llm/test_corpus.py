@@ -57,6 +57,16 @@ def test_the_pipeline_stage_by_stage(spark, data):
     assert all(r.round_trip and r.n_pieces == len(r.ids) for r in out) and {r.doc_id for r in out} <= near
 
 
+def test_mixing_keeps_every_clean_document(spark, data):
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    rates = catalog.mixing_rates(docs, labels).collect()
+    assert all(r.copies >= 1 and r.rate >= 1 for r in rates if r.p_toxic <= 0.5)
+    assert any(r.rate > 1 for r in rates)
+    clean = {r.doc_id for r in labels.filter("toxic = 0").join(docs, "doc_id").select("doc_id").collect()}
+    kept = {r.doc_id for r in corpus_pipeline.mixed(spark, docs, data).select("doc_id").collect()}
+    assert clean and clean <= kept
+
+
 def test_the_pipeline_of_edges(spark, edges, nothing, data):
     for df in (edges.drop("score", "row", "id"), nothing.drop("score", "row", "id")):
         docs = df
