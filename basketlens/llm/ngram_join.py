@@ -282,6 +282,20 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the row of the smallest id of each component; rows without an id stay."""
-    found = similar_components(docs, key, text).filter(f"component_id <> `{key}`").select(F.col(f"`{key}`").alias("_gone")).distinct()
-    return docs.join(found, F.col(f"`{key}`") == F.col("_gone"), "left_anti")
+    """One row of ``docs`` of each component, that of the smallest id (rows without an id come last); rows without words stay.
+
+    Rows are told apart by id and text, so that rows with one id and different texts are judged each by
+    its own; of rows equal in both, one stays.
+    """
+    # Structs are ordered by their fields, so the smallest key of a component is that of the row to keep.
+    named = F.struct(F.col(f"`{key}`").isNull().alias("none"), F.col(f"`{key}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("hash"), F.length(text).alias("n"))
+    keyed = docs.withColumn("_row_key", named)
+    found = saved(similar_components(keyed, "_row_key", text), "keyed-components")
+    gone = found.filter("not (component_id <=> _row_key)").select(F.col("_row_key").alias("_gone")).distinct()
+    kept = keyed.join(gone, F.col("_row_key") == F.col("_gone"), "left_anti")
+    again = found.filter("n_shingles > 0 and component_id <=> _row_key").groupBy("_row_key").count().filter("count > 1").select(F.col("_row_key").alias("_again"))
+    again = saved(again, "repeated-rows")
+    if not again.isEmpty():
+        same = F.col("_row_key") == F.col("_again")
+        kept = kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates(["_row_key"]))
+    return kept.drop("_row_key")

@@ -204,3 +204,14 @@ def test_removing_passages(spark, make, tmp_path):
 
 def test_repeated_passages_of_an_empty_table(nothing):
     assert chunk_dedup.repeated_passages(nothing).count() == 0
+
+
+def test_one_row_of_each_component_with_repeated_and_null_ids(make):
+    base = words(1, 60)
+    near, other, lone = base + " end", words(2, 60), words(3, 60)
+    rows = [(1, base), (2, near), (2, other), (3, lone), (3, lone), (None, base), (None, other), (None, words(4, 60)), (None, words(4, 60) + " end"), (5, ""), (None, None)]
+    got = [(r.doc_id, r.text) for r in ngram_join.one_of_each(make(rows)).collect()]
+    fourth = [t for i, t in got if i is None and t]
+    assert len(fourth) == 1 and fourth[0] in (words(4, 60), words(4, 60) + " end")
+    rest = sorted((i or 0, t or "") for i, t in got if (i, t) != (None, fourth[0]))
+    assert rest == sorted([(1, base), (2, other), (3, lone), (5, ""), (0, "")])
