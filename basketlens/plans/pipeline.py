@@ -16,20 +16,26 @@ def run(
     restarts: int = 25,
     segments: Segments | None = None,
     fmt: str = "parquet",
-    flags: bool = True,
+    flags: bool = False,
+    values: dict[str, list[str]] | None = None,
 ) -> dict[str, str]:
     """Segment, derive features, write everything under ``out_dir``; returns the paths.
 
     The segmented base table is written first and everything later reads it back, so
     the joins behind ``df`` run once for the model and once for the table.  The input
-    is never written over.  ``flags`` makes one column per category and season; without
-    it their shares per segment are tables in long form, for any number of values.
+    is never written over.  Shares of categories and seasons per segment are tables in long
+    form, for any number of values.  ``flags`` makes one column per value instead, for callers
+    who name the values: ``values`` has a list each for ``category`` and ``season``.
     """
     spark: SparkSession = df.sparkSession
+    named = values or {}
+    if flags and (unnamed := [c for c in ("category", "season") if has(df, c) and c not in named]):
+        raise ValueError(f"flags need the values of {', '.join(unnamed)}")
     model = segments or fit_segments(df, k=k, restarts=restarts)
     base_path = write_table(model.assign(df), f"{out_dir}/segmented")
     base = spark.read.parquet(base_path)
-    featured = add_features(base) if flags else add_features(base, categories=[], seasons=[])
+    wide = {c: named.get(c, []) if flags else [] for c in ("category", "season")}
+    featured = add_features(base, categories=wide["category"], seasons=wide["season"])
     paths = save_feature_sets(featured.df, featured.groups, f"{out_dir}/features", fmt)
     for column in [c for c in ("category", "season") if not flags and has(base, c)]:
         shares = shares_any(base, column, len(model.centres))

@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from basketlens.operators import predict
@@ -34,6 +35,17 @@ def test_thousands_of_categories_go_through(spark, data, tmp_path):
     assert len(sums) == 4 and all(abs(r.s - 1) < 1e-9 for r in sums)
 
 
+def test_flags_are_for_named_values_only(spark, data, tmp_path, monkeypatch):
+    monkeypatch.setattr("basketlens.plans.features.levels", lambda *a: pytest.fail("values go through the driver"))
+    table = shop(spark, data)
+    paths = pipeline.run(table, str(tmp_path / "long"), segments=catalog.FROZEN)
+    assert {"category_preferences", "season_preferences"} <= set(paths)
+    with pytest.raises(ValueError, match="season"):
+        pipeline.run(table, str(tmp_path / "none"), segments=catalog.FROZEN, flags=True, values={"category": ["a"]})
+    paths = pipeline.run(table, str(tmp_path / "wide"), segments=catalog.FROZEN, flags=True, values={"category": ["a", "b"], "season": ["Fall"]})
+    assert len(spark.read.parquet(paths["category"]).columns) == len(spark.read.parquet(f"{tmp_path}/long/features/category_features").columns) + 2
+
+
 def test_csv_output_and_fitted_segments(spark, data, tmp_path):
     table = shop(spark, data).drop("customer_id")
     paths = pipeline.run(table, str(tmp_path), k=3, restarts=1, fmt="csv")
