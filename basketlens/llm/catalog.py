@@ -94,9 +94,10 @@ def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shards of all texts, read back: where each sequence stands, whose texts start in it, and its digest."""
-    folder, index = training_order.write_shards(table(spark, sf_dir, "documents"))
-    rows = training_order.read_slots(folder, index)
+    """Shards of the piece ids of all texts, read back: where each sequence stands, whose texts start in it, and its digest."""
+    tokens = training_order.piece_tokens(spark, pieces.Vocabulary.load(VOCABULARY))
+    folder, index = training_order.write_shards(table(spark, sf_dir, "documents"), tokens=tokens)
+    rows = training_order.read_slots(folder, index, tokens=tokens)
     return rows.select("slot", "sequence", "shard", "byte_offset", "n_tokens", "doc_ids", F.sha2("tokens", 256).alias("tokens_sha256"))
 
 

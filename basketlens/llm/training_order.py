@@ -15,18 +15,19 @@ filled with pad tokens; repeated rows are written as often as they occur; an emp
 """
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basketlens.llm.common import saved, tidy_shuffles
+from basketlens.llm.common import discard, saved, text_of, tidy_shuffles
+from basketlens.llm.pieces import Encoder, Vocabulary
 from basketlens.session import work_path
 
 #: Tokens of a sequence, and bytes of a shard (about).
@@ -38,12 +39,16 @@ _ROUNDS = 6
 
 @dataclass(frozen=True)
 class Tokens:
-    """How a text becomes token ids, their type in the shards, and the ids of the end mark and the padding."""
+    """How a text becomes token ids, their type in the shards, and the ids of the end mark and the padding.
+
+    With ``once`` the ids are written to a table before they are counted and cut, so that no text is encoded twice.
+    """
 
     encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
     dtype: str
     end: int
     pad: int
+    once: bool = False
 
 
 def utf8_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -55,6 +60,50 @@ def utf8_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 UTF8 = Tokens(utf8_ids, "uint8", BYTE_END, BYTE_PAD)
 
 
+class PieceIds:
+    """Piece ids of texts; each process makes one encoder of the broadcast vocabulary."""
+
+    def __init__(self, shared):
+        self.shared, self.encoder = shared, None
+
+    def __getstate__(self) -> dict:
+        return {"shared": self.shared, "encoder": None}
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.encoder = self.encoder or Encoder(self.shared.value)
+        return self.encoder.encode(texts)
+
+
+def piece_tokens(spark: SparkSession, vocabulary: Vocabulary) -> Tokens:
+    """Ids of a vocabulary, in two bytes if they fit; its own end and pad pieces, or ids after the last piece where it has none."""
+    n = len(vocabulary.pieces)
+    control = {p: i for i, (p, normal) in enumerate(zip(vocabulary.pieces, vocabulary.normal, strict=True)) if not normal}
+    end, pad = control.get("</s>", n), control.get("<pad>", n + 1)
+    return Tokens(PieceIds(spark.sparkContext.broadcast(vocabulary)), "uint16" if max(n - 1, end, pad) < 1 << 16 else "uint32", end, pad, once=True)
+
+
+def _stored(dtype: str) -> Callable:
+    """Reads the ids that ``_encoded`` wrote."""
+
+    def read(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        size = np.dtype(dtype).itemsize
+        return np.frombuffer(b"".join(values), dtype), np.array([len(v) // size for v in values], np.int64)
+
+    return read
+
+
+def _encoded(docs: DataFrame, key: str, text: str, tokens: Tokens) -> DataFrame:
+    """Written table of key and ids (the bytes of their type)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, counts = tokens.encode(batch.column("_text").to_pylist())
+            parts = np.split(ids.astype(tokens.dtype), np.cumsum(counts)[:-1]) if len(counts) else []
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([p.tobytes() for p in parts], pa.binary())], names=["id", "ids"])
+
+    return saved(_rows(docs, key, text).mapInArrow(run, "id bigint, ids binary"), "token-ids")
+
+
 @dataclass(frozen=True)
 class Permutation:
     """Keyed permutation of 0 .. n-1: a Feistel network over the next even number of bits, walked until it lands inside."""
@@ -93,7 +142,8 @@ class Permutation:
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_text"))
+    value = F.col(f"`{text}`") if docs.schema[text].dataType == T.BinaryType() else text_of(text)
+    return docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), value.alias("_text"))
 
 
 def _marked(batch: pa.RecordBatch, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
@@ -198,6 +248,8 @@ def write_shards(
     the ids of the texts that start in the sequence.  ``docs`` must be the scan of a written table."""
     spark = docs.sparkSession
     folder = folder or work_path(spark, "shards")
+    if tokens.once:
+        docs, key, text, tokens = _encoded(docs, key, text, tokens), "id", "ids", replace(tokens, encode=_stored(tokens.dtype))
     sizes = task_sizes(docs, key, text, tokens)
     total = sum(sizes.values())
     if not total:
@@ -211,6 +263,8 @@ def write_shards(
     dealt = pieces.repartitionById(shards, (F.col("slot") / per_shard).cast("int")).sortWithinPartitions("slot", "start")
     with tidy_shuffles(spark):
         index = saved(dealt.mapInArrow(_write(folder, tokens, length, per_shard), _INDEX), "shard-index")
+    if tokens.once:
+        discard(docs)
     return folder, index
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from basketlens.llm import chat, fingerprints, mixing, training_order
+from basketlens.llm import catalog, chat, fingerprints, mixing, pieces, training_order
 from basketlens.llm.common import saved
 
 
@@ -146,6 +146,31 @@ def test_shards_hold_the_stream(spark, edges, tmp_path):
     assert sum(len(r.doc_ids) for r in rows) == docs.count()
 
 
+def test_shards_hold_piece_ids(spark, edges, nothing, tmp_path):
+    edges.write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    vocabulary = pieces.Vocabulary.load(catalog.VOCABULARY)
+    tokens = training_order.piece_tokens(spark, vocabulary)
+    assert np.dtype(tokens.dtype).itemsize == 2 and tokens.end != tokens.pad
+    folder, index = training_order.write_shards(docs, tokens=tokens, length=64, shard_bytes=1_000)
+    rows = sorted(training_order.read_slots(folder, index, tokens=tokens, length=64).collect(), key=lambda r: r.sequence)
+    assert all(len(r.tokens) == 128 for r in rows)
+    stream = np.concatenate([np.frombuffer(bytes(r.tokens), tokens.dtype)[: r.n_tokens] for r in rows])
+    encoder, texts = pieces.Encoder(vocabulary), [r.text or "" for r in docs.collect()]
+    ends = np.flatnonzero(stream == tokens.end)
+    assert len(ends) == len(texts) and ends[-1] == len(stream) - 1
+    counts = np.diff(np.concatenate(([-1], ends))) - 1
+    assert sorted(encoder.decode(stream[stream != tokens.end], counts)) == sorted(texts)
+    assert training_order.write_shards(nothing, tokens=tokens)[1].count() == 0
+
+
+def test_the_query_of_training_order_writes_piece_ids(spark, data):
+    vocabulary = pieces.Vocabulary.load(catalog.VOCABULARY)
+    texts = [r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").select("text").collect()]
+    n = sum(pieces.Encoder(vocabulary).encode(texts)[1]) + len(texts)
+    assert catalog.queries()["op8_training_order"](spark, data).agg(F.sum("n_tokens")).first()[0] == n
+
+
 def test_no_shards_of_an_empty_table(spark, nothing):
     _, index = training_order.write_shards(nothing)
     assert index.count() == 0
