@@ -12,7 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import basketlens
-from basketlens.llm import chat, chunk_dedup, exact_dedup, fingerprints, language_id, mixing, ngram_join, personal_data, pieces, training_order
+from basketlens.llm import (
+    chat,
+    chunk_dedup,
+    exact_dedup,
+    fingerprints,
+    hard_negatives,
+    language_id,
+    mixing,
+    ngram_join,
+    personal_data,
+    pieces,
+    quality_rules,
+    target_sampling,
+    training_order,
+)
 from basketlens.llm.common import saved, table
 
 #: The vocabulary of the piece encoder; another file is chosen by this variable of the environment.
@@ -118,6 +132,26 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ("source",))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For anchors among the embeddings: their positives, and the hardest rows of other labels below each."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    given = rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), label.alias("label"))
+    found = hard_negatives.mine(given, F.col("id") % 50 == 0)
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("row.doc_id", *counts, "base_failed", "kept", F.round("character_distance", 6).alias("character_distance"), F.round("word_distance", 6).alias("word_distance"))
+
+
+def op13_target_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark's words, and the rank of those drawn."""
+    return target_sampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _QUERIES = [
     op1_ngram_join,
     op2_chat,
@@ -129,6 +163,9 @@ _QUERIES = [
     op8_training_order,
     op9_fingerprints,
     op10_mixing,
+    op11_hard_negatives,
+    op12_quality_rules,
+    op13_target_sampling,
 ]
 
 
@@ -194,5 +231,69 @@ from t group by conv_id
 """
 
 
+_OP11 = """
+with r as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as q
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+s as (
+  select a.vec_id as anchor_id, a.label as anchor_label, c.vec_id, c.label,
+    cast(list_sum([a.q[i] * c.q[i] for i in range(1, len(a.q) + 1)]) as bigint) as score
+  from r a join r c on a.vec_id % 50 = 0),
+p as (
+  select anchor_id, anchor_label, vec_id as positive_id, score as positive_score
+  from s where label = anchor_label and vec_id <> anchor_id
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+n as (
+  select p.*, s.vec_id as negative_id, s.score as negative_score,
+    cast(row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id) as integer) as rank
+  from p join s on s.anchor_id = p.anchor_id and s.label <> p.anchor_label
+    and 50 * p.positive_score <= 100 * s.score and 100 * s.score <= 95 * p.positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 3
+"""
+
+# CRC-32 by its table, which follows from the polynomial, over the distinct words only.
+_OP13 = r"""
+with recursive bits as (
+  select b, 0 as k, cast(b as bigint) as c from range(256) t(b)
+  union all
+  select b, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from bits where k < 8),
+crc as (select list(c order by b) as entries from bits where k = 8),
+words as (
+  select 'd' as side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+  union all
+  select 'b', null, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark),
+held as (select side, doc_id, unnest(w) as word from words),
+counts as (select side, doc_id, word, count(*) as n from held group by all),
+hexed as (select distinct word, hex(encode(word)) as h from counts),
+coded as (
+  select word, xor(list_reduce(
+      list_prepend(4294967295, [cast('0x' || substr(h, 2 * i - 1, 2) as bigint) for i in range(1, len(h) // 2 + 1)]),
+      lambda c, b: xor(c >> 8, entries[(xor(c, b) & 255) + 1])), 4294967295) % 10000 as bucket
+  from hexed, crc),
+found as (select side, doc_id, bucket, sum(n) as n from counts join coded using (word) group by all),
+shares as (
+  select b as bucket, coalesce(sum(n) filter (side = 'd'), 0) as s, coalesce(sum(n) filter (side = 'b'), 0) as t
+  from range(10000) r(b) left join found on bucket = b group by b),
+gains as (
+  select bucket, cast(floor(1000 * ln(
+    (cast(t as double) + 1) * cast((sum(s) over ()) + 10000 as double) / ((cast(s as double) + 1) * cast((sum(t) over ()) + 10000 as double)))) as bigint) as gain
+  from shares),
+mean as (
+  select doc_id, cast(sum(n) as bigint) as n_features, cast(floor(cast(sum(n * gain) as double) / cast(sum(n) as double)) as bigint) as weight
+  from found join gains using (bucket) where side = 'd' group by doc_id),
+scored as (
+  select d.doc_id, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((cast('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) as bigint) + 0.5::double) / 4294967296::double))) as bigint) as score
+  from documents d left join mean m on m.doc_id = d.doc_id)
+select doc_id, n_features, weight, score,
+  case when n_features >= 20 and row_number() over (order by n_features >= 20 desc, score desc, doc_id) <= 10 * (count(*) filter (n_features >= 20) over ()) // 100
+    then row_number() over (order by n_features >= 20 desc, score desc, doc_id) end as rank
+from scored
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": _OP1, "op2_chat": _OP2, "op7_exact_dedup": _OP7}
+    return {"op1_ngram_join": _OP1, "op2_chat": _OP2, "op7_exact_dedup": _OP7, "op11_hard_negatives": _OP11, "op13_target_sampling": _OP13}
