@@ -167,8 +167,9 @@ def histograms(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), size: int
     Every word becomes one character, its place among the common words (or none of them); the
     counts of characters in that short text are the histogram.
     """
-    # A row per language; Spark broadcasts it only below its own size threshold.
-    out = counted(docs, carry).join(_slots(common_words(docs, size)), "language", "left")
+    # A row per language, written first: by the size of its files Spark decides whether to broadcast it.
+    slots = saved(_slots(common_words(docs, size)).coalesce(1), "common-words")
+    out = counted(docs, carry).join(slots, "language", "left")
 
     def code(word: Column) -> Column:
         slot = F.get("slots", _slot(word))
@@ -236,8 +237,9 @@ def judge(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), size: int = COM
     bytes a document at most; both rounds of references read them.
     """
     found = saved(histograms(docs, carry, size), "histograms")
-    near = _distances(found, _references(found, size)).where(~_unlike()).drop("character_distance", "word_distance")
-    judged = _distances(found, _references(near, size))
+    first = saved(_references(found, size).coalesce(1), "references")
+    near = _distances(found, first).where(~_unlike()).drop("character_distance", "word_distance")
+    judged = _distances(found, saved(_references(near, size).coalesce(1), "references"))
     return judged.select(
         "row",
         "n_words",
