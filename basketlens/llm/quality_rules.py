@@ -1,7 +1,7 @@
 """Quality rules for texts: counted base rules, and how far a text's make-up lies from that of its language.
 
 The method: a document is described by two histograms, one of character classes and one of
-the most common words of its language.  Each is compared with the language's reference by the
+the most common words of its language, as they are written.  Each is compared with the language's reference by the
 Jensen-Shannon distance (base 2, 0 to 1).  References come from the corpus itself: the mean
 histograms of all documents of the language that pass the base rules, then once more of those
 among them that lie within the limits, so that a large source of junk does not shape what
@@ -52,7 +52,7 @@ def _count_of(text: Column, one: Column) -> Column:
 
 
 def counted(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
-    """Struct ``row``, the language, base counts, words in lower case and counts of character classes."""
+    """Struct ``row``, the language, base counts, words and counts of character classes."""
     text, n = F.col("_text"), F.size("_words")
     threes = [F.slice("_words", F.lit(i), F.greatest(n - 2, F.lit(0))) for i in (1, 2, 3)]
     out = docs.select(
@@ -105,7 +105,7 @@ def counted(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
         "n_repeat_words",
         failed.alias("base_failed"),
         "characters",
-        F.array_remove(F.split(F.lower(text), f"{SPACE}+"), "").alias("words"),
+        F.col("_words").alias("words"),
     )
 
 
@@ -135,7 +135,7 @@ def common_words(docs: DataFrame, size: int = COMMON_WORDS) -> DataFrame:
     Document counts, so that one long text of a single word has one vote.  A word counts as
     common from ``COMMON_SHARE`` of the language's documents on.
     """
-    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("language"), F.lower(text_of()).alias("text"))
+    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("language"), text_of().alias("text"))
     words = F.array_distinct(F.array_remove(F.split("text", f"{SPACE}+"), ""))
     votes = rows.select("language", F.explode(words).alias("word")).groupBy("language", "word").agg(F.count(F.lit(1)).alias("n"))
     sizes = rows.groupBy("language").agg(F.count(F.lit(1)).alias("n_documents"))
