@@ -19,7 +19,7 @@ table, on either side, gives gains from the other one and no failure.  Columns b
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 from zlib import crc32
 
 import numpy as np
@@ -39,17 +39,21 @@ FEWEST_WORDS = 20
 SEED = 2024
 
 # Words are runs of ASCII letters and digits and of all characters beyond ASCII.
-_SEPARATORS = regex.compile(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_IN_WORDS = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyz") | frozenset(range(0x80, 0x100))
+#: What becomes of each byte: ASCII letters in lower case, separators as spaces.
+_BYTES = bytes(b if b in _IN_WORDS else 0x20 for b in bytes(range(0x100)).lower())
+_SPACES = regex.compile(rb"  +")
 
 
+@cache
 def _pattern(n: int) -> regex.Pattern:
     """n words joined by single spaces, from the start of a word to the end of one."""
-    return regex.compile(rb"(?<![^ ])[^ ]+(?: [^ ]+){%d}(?![^ ])" % (n - 1))
+    return regex.compile(rb"(?<![^ ])" + rb" ".join([rb"[^ ]++"] * n) + rb"(?![^ ])")
 
 
 def collapsed(text: str) -> bytes:
-    """ASCII letters in lower case, separators as single spaces, none at the ends."""
-    return _SEPARATORS.sub(b" ", text.encode().lower()).strip(b" ")
+    """ASCII letters in lower case, runs of separators as single spaces, none at the ends."""
+    return _SPACES.sub(b" ", text.encode().translate(_BYTES)).strip(b" ")
 
 
 def spans(body: bytes, lowest: int, highest: int) -> Iterator[bytes]:
@@ -62,7 +66,7 @@ def _bucket_counts(text: str, lowest: int, highest: int, buckets: int) -> tuple[
     """Buckets of the distinct n-grams of a text, how often each occurs, and the number of words."""
     body = collapsed(text)
     found = Counter(spans(body, lowest, highest))
-    places = np.fromiter((crc32(g) % buckets for g in found), np.int64, len(found))
+    places = np.fromiter(map(crc32, found), np.int64, len(found)) % buckets
     return places, np.fromiter(found.values(), np.int64, len(found)), body.count(b" ") + 1 if body else 0
 
 
@@ -88,8 +92,8 @@ def gains(docs: DataFrame, target: DataFrame, lowest: int = 1, highest: int = 1,
     s = bucket_counts(docs, lowest, highest, buckets).withColumnRenamed("n", "s")
     t = bucket_counts(target, lowest, highest, buckets).withColumnRenamed("n", "t")
     every = docs.sparkSession.range(buckets).withColumnRenamed("id", "bucket")
-    # Three tables of one row per bucket.
-    table = every.join(s, "bucket", "left").join(t, "bucket", "left").na.fill(0, ["s", "t"])
+    # Three tables of one row per bucket, written so that the texts are counted once.
+    table = saved(every.join(s, "bucket", "left").join(t, "bucket", "left").na.fill(0, ["s", "t"]).coalesce(1), "buckets")
     whole = table.agg(F.sum("s").alias("s"), F.sum("t").alias("t")).first()
     s, t = F.col("s").cast("double") + 1, F.col("t").cast("double") + 1
     ratio = t * F.lit(float(whole["s"] + buckets)) / (s * F.lit(float(whole["t"] + buckets)))
