@@ -37,6 +37,21 @@ def member_flag(value: Column, wanted: Iterable[str]) -> Column:
     return F.coalesce(value.isin(list(wanted)).cast("int"), F.lit(0))
 
 
+def flag_name(value: Column) -> Column:
+    """Name of a value's flag, made from the value alone: spaces become underscores, ``%`` and ``_`` are spelled."""
+    spelled = F.replace(F.replace(value, F.lit("%"), F.lit("%25")), F.lit("_"), F.lit("%5F"))
+    return F.replace(spelled, F.lit(" "), F.lit("_"))
+
+
+def sparse_flag(value: Column) -> Column:
+    """The flags of a whole family in one map that holds only the flag that is 1; null if unknown.
+
+    A flag that the map lacks is 0.  No column per value is made and no value is looked up, so
+    any number of values will do; distinct values never share a name.
+    """
+    return F.when(value.isNotNull(), F.create_map(flag_name(value), F.lit(1)))
+
+
 def yes_no(value: Column) -> Column:
     """1 for Yes, 0 for any other text, null if unknown."""
     return equals_flag(value, "Yes")

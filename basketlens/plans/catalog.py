@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketlens.functions import bins, features
-from basketlens.operators import encode, predict, profile, report, segment
-from basketlens.plans.features import add_features, add_flags, add_value_score, levels
+from basketlens.operators import encode, predict, profile, report, segment, summary
+from basketlens.plans import pipeline
+from basketlens.plans.features import add_features, add_flags, add_value_score, flag_table, levels
 from basketlens.schema import (
     CATEGORY_FLAG,
     DISPLAY_NAMES,
@@ -292,6 +293,21 @@ def season_flags(spark, d):
     return add_flags(table, "season", SEASON_FLAG, levels(table, "season")["season"])
 
 
+@query
+def flags_sparse(spark, d):
+    """The flags of both families as the default run writes them, one row per flag that is 1."""
+    table = _shop(spark, d, "category", "season").withColumn("category", F.when(F.col(ROW_KEY) % 3 == 0, "a_b %").otherwise(F.col("category")))
+    made = add_features(table, sparse=True).df
+    return made.select(ROW_KEY, F.explode(F.map_concat(*[F.coalesce(c, F.create_map().cast("map<string,int>")) for c in ("flags_category", "flags_season")])).alias("name", "flag"))
+
+
+@query
+def flag_names(spark, d):
+    table = _shop(spark, d, "category", "season")
+    parts = [flag_table(table, c).select(F.lit(c).alias("family"), "name", "value", "n") for c in ("category", "season")]
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def purchase_frequency(spark, d):
     yearly = features.purchases_per_year(F.col("frequency_of_purchases"))
@@ -572,6 +588,22 @@ def category_pref_any(spark, d):
     return _round(report.category_shares_any(_segmented(spark, d, "category")), "preference")
 
 
+@query
+def report_one_pass(spark, d):
+    """All five sections from one aggregation, in long form."""
+    made = add_features(_segmented(spark, d, *[f.name for f in RETAIL.fields]), sparse=True)
+    return summary.long_form(summary.sections(summary.facts(made.df)))
+
+
+@query
+def report_lines(spark, d):
+    """Lines of the report that the default run writes, by section."""
+    table = _shop(spark, d, *[f.name for f in RETAIL.fields])
+    paths = pipeline.run(table, work_path(spark, "run"), segments=FROZEN)
+    lines = spark.read.text(paths["report"]).select(F.rtrim(F.regexp_replace("value", "  .*", "")).alias("first"))
+    return lines.where("first <> ''").groupBy("first").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _box(df: DataFrame, value: str) -> DataFrame:
     return _round(report.box_stats(df, value), "q1", "median", "q3", "whisker_low", "whisker_high")
 

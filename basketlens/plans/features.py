@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.functions import bins, features
-from basketlens.schema import CATEGORY_FLAG, SEASON_FLAG, flag_names, has, is_numeric
+from basketlens.schema import CATEGORY_FLAG, CATEGORY_FLAGS, SEASON_FLAG, SEASON_FLAGS, flag_names, has, is_numeric
 
 
 @dataclass
@@ -54,12 +54,20 @@ def add_flags(df: DataFrame, column: str, prefix: str, values: list[str]) -> Dat
     )
 
 
+def flag_table(df: DataFrame, column: str) -> DataFrame:
+    """The names behind a family's sparse flags: (name, value, n)."""
+    known = df.where(F.col(column).isNotNull())
+    counts = known.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(features.flag_name(F.col("value")).alias("name"), "value", "n")
+
+
 def add_features(
-    df: DataFrame, categories: list[str] | None = None, seasons: list[str] | None = None
+    df: DataFrame, categories: list[str] | None = None, seasons: list[str] | None = None, sparse: bool = False
 ) -> Featured:
     """Every feature whose inputs exist; a missing column skips its feature.
 
-    The values behind the category and season flags are looked up unless given.
+    The values behind the category and season flags are looked up unless given.  ``sparse`` makes
+    one map of flags per family instead (``features.sparse_flag``), for any number of values.
     """
     groups: dict[str, list[str]] = {
         g: [] for g in ("demographic", "value", "purchase_behavior", "category", "seasonal", "preference")
@@ -94,13 +102,16 @@ def add_features(
     ]
 
     known = {"category": categories, "season": seasons}
-    unknown = [c for c, v in known.items() if v is None and has(df, c)]
+    unknown = [c for c, v in known.items() if v is None and has(df, c) and not sparse]
     known |= levels(df, *unknown) if unknown else {}
-    for column, prefix, group in (
-        ("category", CATEGORY_FLAG, "category"),
-        ("season", SEASON_FLAG, "seasonal"),
+    for column, prefix, family, group in (
+        ("category", CATEGORY_FLAG, CATEGORY_FLAGS, "category"),
+        ("season", SEASON_FLAG, SEASON_FLAGS, "seasonal"),
     ):
-        if has(df, column):
+        if has(df, column) and sparse:
+            new[family] = features.sparse_flag(F.col(column))
+            groups[group] += [family, column]
+        elif has(df, column):
             names = flag_names(prefix, known[column])
             new |= {name: features.equals_flag(F.col(column), v) for v, name in names.items()}
             groups[group] += [*names.values(), column]

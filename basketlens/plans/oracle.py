@@ -1,6 +1,7 @@
 """The registered queries as SQL over the same tables, for an independent engine."""
 
 from basketlens.operators.predict import BINS
+from basketlens.operators.report import SECTIONS
 from basketlens.plans.catalog import CATEGORICAL, FROZEN
 from basketlens.schema import DISPLAY_NAMES, RETAIL
 
@@ -278,8 +279,63 @@ SELECT CAST(sum(n) AS BIGINT) AS n, round(CAST(sum(tp) AS DOUBLE) / sum(n), {DIG
   round(sum(n * p) / sum(n), {DIGITS}) AS weighted_precision, round(sum(n * r) / sum(n), {DIGITS}) AS weighted_recall FROM with_f"""
 
 
+MEANS = {
+    "avg_age": ("age", 1), "avg_previous": ("previous_purchases", 1), "value_score": ("raw_score", 3),
+    "purchase_frequency": ("purchase_frequency_num", 1), "discount_sensitivity": ("discount_sensitivity", 2),
+}
+RATES = {
+    "discount_rate": "discount_applied", "subscription_rate": "CAST(subscription_status = 'Yes' AS INTEGER)",
+    "digital_payment": "digital_payment_pref", "fast_shipping": "fast_shipping_pref",
+}
+
+
+def _one_pass() -> str:
+    """The five sections of the report, a row per number."""
+    known = "FROM feat WHERE segment IS NOT NULL"
+
+    def rows(section: str, item: str, number: str, tail: str = f"{known} GROUP BY segment", row: str = "segment") -> str:
+        return f"""SELECT '{section}' AS section, {row} AS "row", '{item}' AS item, CAST({number} AS DOUBLE) AS number {tail}"""
+
+    parts = [
+        rows("IDENTIFIED CUSTOMER SEGMENTS", "count", "count(*)"),
+        rows("IDENTIFIED CUSTOMER SEGMENTS", "pct_of_all", "round(CAST(100 AS DOUBLE) * count(*) / (SELECT count(*) FROM feat), 1)"),
+        rows("SEGMENT CHARACTERISTICS", "count", "count(*)"),
+        rows("SEGMENT CHARACTERISTICS", "pct", f"round(CAST(100 AS DOUBLE) * count(*) / (SELECT count(*) {known}), 1)"),
+        *[rows("SEGMENT CHARACTERISTICS", m, f"round(avg({c}), {digits})") for m, (c, digits) in MEANS.items()],
+        *[rows("SEGMENT CHARACTERISTICS", m, _share(c)) for m, c in RATES.items()],
+        rows("SIZE PREFERENCES BY SEGMENT", "small", _share("size_small")),
+        rows("SIZE PREFERENCES BY SEGMENT", "large", _share("size_large")),
+        rows("SIZE PREFERENCES BY SEGMENT", "medium", _share("1 - size_small - size_large")),
+    ]
+    for title, family in (("CATEGORY PREFERENCES BY SEGMENT", "category"), ("SEASONAL PREFERENCES BY SEGMENT", "season")):
+        for i in range(1, 5):
+            whole = f"(SELECT count({family}) {known} AND cluster = {i})"
+            share = f"round(CAST(100 AS DOUBLE) * sum(CASE WHEN cluster = {i} THEN 1 ELSE 0 END) / {whole}, 1)"
+            parts.append(rows(title, f"Segment {i}", share, f"{known} AND {family} IS NOT NULL GROUP BY {family}", family))
+    return " UNION ALL ".join(parts)
+
+
+def _report_lines() -> str:
+    titles = " UNION ALL ".join(f"SELECT '{t}:' AS first, 1 AS n" for t in SECTIONS.values())
+    return f"""SELECT first, CAST(sum(n) AS BIGINT) AS n FROM ({titles}
+  UNION ALL SELECT 'segment', 3 UNION ALL SELECT 'category', 1 UNION ALL SELECT 'season', 1
+  UNION ALL SELECT 'Segment ' || i, 3 FROM range(1, 5) AS r(i)
+  UNION ALL SELECT DISTINCT category, 1 FROM seg WHERE segment IS NOT NULL AND category IS NOT NULL
+  UNION ALL SELECT DISTINCT season, 1 FROM seg WHERE segment IS NOT NULL) GROUP BY first"""
+
+
 def oracle_sql() -> dict[str, str]:
     sql = {
+        "flags_sparse": _over_shop(
+            """SELECT row_key, CASE WHEN row_key % 3 = 0 THEN 'a%5Fb_%25' ELSE replace(category, ' ', '_') END AS name, CAST(1 AS INTEGER) AS flag
+  FROM shop WHERE row_key % 3 = 0 OR category IS NOT NULL UNION ALL SELECT row_key, season, CAST(1 AS INTEGER) FROM shop"""
+        ),
+        "flag_names": _over_shop(
+            """SELECT 'category' AS family, replace(category, ' ', '_') AS name, category AS value, count(*) AS n FROM shop
+  WHERE category IS NOT NULL GROUP BY category UNION ALL SELECT 'season', season, season, count(*) FROM shop GROUP BY season"""
+        ),
+        "report_one_pass": _over_feat(_one_pass()),
+        "report_lines": _over_seg(_report_lines()),
         "src_csv_roundtrip": _over_shop("SELECT * FROM shop"),
         "row_id_generated": _over_shop(
             "SELECT count(*) AS n, count(*) AS n_distinct, CAST(1 AS BIGINT) AS min_id, count(*) AS max_id FROM shop"

@@ -2,9 +2,10 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+from basketlens.operators import summary
 from basketlens.operators.report import report_text, segment_report, shares_any
 from basketlens.operators.segment import Segments, fit_segments
-from basketlens.plans.features import add_features
+from basketlens.plans.features import add_features, flag_table
 from basketlens.schema import has
 from basketlens.sources.files import save_feature_sets, to_display_names, write_table
 
@@ -23,26 +24,31 @@ def run(
 
     The segmented base table is written first and everything later reads it back, so
     the joins behind ``df`` run once for the model and once for the table.  The input
-    is never written over.  Shares of categories and seasons per segment are tables in long
-    form, for any number of values.  ``flags`` makes one column per value instead, for callers
-    who name the values: ``values`` has a list each for ``category`` and ``season``.
+    is never written over.  For any number of categories and seasons, their flags are one map per
+    family (``{family}_flag_names`` lists the names), their shares are tables in long form, and the
+    report has all five sections, with a line per value.  ``flags`` makes one column per value
+    instead, for callers who name the values: ``values`` has a list each for ``category`` and ``season``.
     """
     spark: SparkSession = df.sparkSession
     named = values or {}
     if flags and (unnamed := [c for c in ("category", "season") if has(df, c) and c not in named]):
         raise ValueError(f"flags need the values of {', '.join(unnamed)}")
     model = segments or fit_segments(df, k=k, restarts=restarts)
+    groups = len(model.centres)
     base_path = write_table(model.assign(df), f"{out_dir}/segmented")
     base = spark.read.parquet(base_path)
-    wide = {c: named.get(c, []) if flags else [] for c in ("category", "season")}
-    featured = add_features(base, categories=wide["category"], seasons=wide["season"])
+    featured = add_features(base, named.get("category"), named.get("season"), sparse=not flags)
     paths = save_feature_sets(featured.df, featured.groups, f"{out_dir}/features", fmt)
-    for column in [c for c in ("category", "season") if not flags and has(base, c)]:
-        shares = shares_any(base, column, len(model.centres))
-        paths[f"{column}_preferences"] = write_table(shares, f"{out_dir}/{column}_preferences", fmt)
     if fmt == "csv":
         paths["segmented_csv"] = write_table(to_display_names(base), f"{out_dir}/segmented_csv", "csv")
-    report = segment_report(featured.df, len(model.centres))
-    text = spark.createDataFrame([(report_text(report),)], "value string")
-    text.coalesce(1).write.mode("overwrite").text(f"{out_dir}/segment_summary")
-    return paths | {"segmented": base_path, "report": f"{out_dir}/segment_summary"}
+    summary_path = f"{out_dir}/segment_summary"
+    if flags:
+        text = report_text(segment_report(featured.df, groups))
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(summary_path)
+        return paths | {"segmented": base_path, "report": summary_path}
+    found = summary.facts(featured.df)
+    for column in [c for c in ("category", "season") if has(base, c)]:
+        paths[f"{column}_preferences"] = write_table(shares_any(base, column, groups), f"{out_dir}/{column}_preferences", fmt)
+        paths[f"{column}_flag_names"] = write_table(flag_table(base, column), f"{out_dir}/{column}_flag_names", fmt)
+    summary.lines(summary.sections(found, groups)).select("value").write.mode("overwrite").text(summary_path)
+    return paths | {"segmented": base_path, "report": summary_path}

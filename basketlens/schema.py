@@ -71,8 +71,14 @@ DISPLAY_NAMES = {
     "fast_shipping_pref": "Fast_Shipping_Pref",
     "size_small": "Prefers_Small",
     "size_large": "Prefers_Large",
+    "flags_category": "Prefers",
+    "flags_season": "Shops",
 }
 
+# One map per family with its flags; ``CATEGORY_FLAG`` and ``SEASON_FLAG`` begin the names of flags in columns of their own.
+CATEGORY_FLAGS = "flags_category"
+SEASON_FLAGS = "flags_season"
+
 # A category may itself be called "Small", so each family of 0/1 flags has a
 # prefix of its own; both map to the same display prefix.
 CATEGORY_FLAG = "category_"

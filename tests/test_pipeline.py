@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketlens.operators import predict
+from basketlens.operators.report import SECTIONS
 from basketlens.plans import catalog, pipeline
 from basketlens.plans.features import add_features
 from basketlens.schema import RETAIL
@@ -23,7 +24,12 @@ def test_everything_is_written_and_the_source_is_not_touched(spark, data, tmp_pa
     assert value.columns == ["Customer ID", "Segment", "Cluster", "Value_Score", "Purchase Amount (USD)", "Previous Purchases"]
     assert value.where(F.col("Value_Score").isNull()).count() == 0
     report = "\n".join(r.value for r in spark.read.text(paths["report"]).collect())
-    assert "IDENTIFIED CUSTOMER SEGMENTS" in report and "Segment 4" in report
+    assert all(f"{title}:" in report for title in SECTIONS.values()) and "Segment 4" in report
+    for name, flags, shown in (("category", "Prefers", "Category"), ("seasonal", "Shops", "Season")):
+        flagged = spark.read.parquet(paths[name])
+        known = flagged.where(F.col(shown).isNotNull())
+        assert flagged.where(F.col(shown).isNull() & F.col(flags).isNotNull()).count() == 0
+        assert known.where((F.size(flags) == 1) & (F.element_at(flags, F.replace(shown, F.lit(" "), F.lit("_"))) == 1)).count() == known.count() > 0
 
 
 def test_thousands_of_categories_go_through(spark, data, tmp_path):
@@ -33,6 +39,12 @@ def test_thousands_of_categories_go_through(spark, data, tmp_path):
     assert shares.select("category").distinct().count() == table.where("review_rating is not null").select("category").distinct().count()
     sums = shares.groupBy("segment").agg(F.sum("preference").alias("s")).collect()
     assert len(sums) == 4 and all(abs(r.s - 1) < 1e-9 for r in sums)
+    names = spark.read.parquet(paths["category_flag_names"])
+    flags = spark.read.parquet(paths["category"]).select(F.explode("Prefers").alias("name", "flag"))
+    assert names.count() == names.select("name").distinct().count() == flags.select("name").distinct().count() > 1000
+    lines = [r.value for r in spark.read.text(paths["report"]).collect()]
+    assert all(f"{title}:" in lines for title in SECTIONS.values())
+    assert sum(x.startswith("c.") for x in lines) == shares.select("category").distinct().count()
 
 
 def test_flags_are_for_named_values_only(spark, data, tmp_path, monkeypatch):
@@ -43,7 +55,7 @@ def test_flags_are_for_named_values_only(spark, data, tmp_path, monkeypatch):
     with pytest.raises(ValueError, match="season"):
         pipeline.run(table, str(tmp_path / "none"), segments=catalog.FROZEN, flags=True, values={"category": ["a"]})
     paths = pipeline.run(table, str(tmp_path / "wide"), segments=catalog.FROZEN, flags=True, values={"category": ["a", "b"], "season": ["Fall"]})
-    assert len(spark.read.parquet(paths["category"]).columns) == len(spark.read.parquet(f"{tmp_path}/long/features/category_features").columns) + 2
+    assert len(spark.read.parquet(paths["category"]).columns) == len(spark.read.parquet(f"{tmp_path}/long/features/category_features").columns) + 1
 
 
 def test_csv_output_and_fitted_segments(spark, data, tmp_path):
