@@ -4,13 +4,11 @@ Every table groups by the few segments, so partial aggregation reduces the input
 k rows per task before anything is shuffled.
 """
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.functions.features import percentage, rounder
-from basketlens.operators.profile import missing
+from basketlens.operators.quantile import exact_quantiles
 from basketlens.operators.segment import segment_names
 from basketlens.schema import (
     CATEGORY_FLAG,
@@ -31,7 +29,6 @@ SECTIONS = {
     "size": "SIZE PREFERENCES BY SEGMENT",
 }
 QUARTILES = [0.25, 0.5, 0.75]
-SKETCH_ACCURACY = 10_000
 
 
 def _known(df: DataFrame) -> DataFrame:
@@ -199,72 +196,26 @@ def shares_any(df: DataFrame, column: str, k: int = 4) -> DataFrame:
 
 
 def box_stats(df: DataFrame, value: str) -> DataFrame:
-    """Box-plot data per segment: quartiles (linear interpolation), whiskers, outliers.
+    """Box-plot data per segment: exact quartiles (linear interpolation), whiskers, outliers.
 
-    The quartiles are exact, yet no task sorts a whole segment.  A sketch proposes a
-    narrow interval around each quartile; exact counts tell which interval holds the
-    wanted ranks; only the values inside are ordered.  The sketch steers the amount of
-    work, never the result.  Equal values travel as one row with a count.
+    Quartiles are selected by counting (``quantile.exact_quantiles``); one more scan counts
+    what lies beyond the whiskers.  No task holds or sorts a segment.
     """
-    rows = _known(df).where(~missing(df, value)).select(
-        SEGMENT, F.col(value).cast("double").alias("v")
-    )
-    margin = 2.0 / SKETCH_ACCURACY
-    cuts = [p + side for p in QUARTILES for side in (-margin, margin)]
-    edges = rows.groupBy(SEGMENT).agg(
-        F.percentile_approx("v", cuts, SKETCH_ACCURACY).alias("_edges")
-    )
-    counts = rows.groupBy(SEGMENT, "v").agg(F.count(F.lit(1)).alias("n"))
-
-    above = [(F.col("v") > F.col("_edges")[i]).cast("int") for i in range(len(cuts))]
-    # Broadcast sides below have a few rows per segment, and segments are as many as centres.
-    placed = counts.join(F.broadcast(edges), SEGMENT).select(
-        SEGMENT, "v", "n", reduce(lambda a, b: a + b, above).alias("_bucket")
-    )
-    in_segment = Window.partitionBy(SEGMENT)
-    buckets = (
-        placed.groupBy(SEGMENT, "_bucket")
-        .agg(F.sum("n").alias("_m"))
-        .withColumn("_end", F.sum("_m").over(in_segment.orderBy("_bucket")))
-        .withColumn("_total", F.sum("_m").over(in_segment))
-        .withColumn("_start", F.col("_end") - F.col("_m"))
-    )
-    place = [F.lit(p) * (F.col("_total") - 1) for p in QUARTILES]
-    ranks = {}
-    for i, h in enumerate(place):
-        ranks[f"_lo{i}"], ranks[f"_hi{i}"] = F.floor(h), F.ceil(h)
-    wanted = buckets.withColumns(ranks).where(
-        reduce(
-            lambda a, b: a | b,
-            [(F.col(r) >= F.col("_start")) & (F.col(r) < F.col("_end")) for r in ranks],
-        )
-    )
-    running = F.sum("n").over(Window.partitionBy(SEGMENT, "_bucket").orderBy("v"))
-    inside = placed.join(
-        F.broadcast(wanted.select(SEGMENT, "_bucket", "_start", "_total", *ranks)), [SEGMENT, "_bucket"]
-    ).withColumn("_to", F.col("_start") + running)
-    hit = {r: (F.col(r) < F.col("_to")) & (F.col(r) >= F.col("_to") - F.col("n")) for r in ranks}
-    found = inside.groupBy(SEGMENT).agg(
-        F.max("_total").alias("_total"),
-        *[F.max(F.when(h, F.col("v"))).alias(r) for r, h in hit.items()],
-    )
-    quartiles = found.select(
-        SEGMENT,
-        *[
-            (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (h - F.floor(h))).alias(q)
-            for i, (h, q) in enumerate(zip(place, ("q1", "median", "q3")))
-        ],
+    rows, found = exact_quantiles(df, SEGMENT, value, QUARTILES)
+    boxes = df.sparkSession.createDataFrame(
+        [(s, *quartiles) for s, (_, quartiles) in found.items()], f"{SEGMENT} string, q1 double, median double, q3 double"
     )
     v, reach = F.col("v"), F.lit(1.5) * (F.col("q3") - F.col("q1"))
     low, high = F.col("q1") - reach, F.col("q3") + reach
     return (
-        counts.join(F.broadcast(quartiles), SEGMENT)
+        rows.withColumnRenamed("g", SEGMENT)
+        .join(boxes, SEGMENT)
         .groupBy(SEGMENT, "q1", "median", "q3")
         .agg(
+            F.count(F.lit(1)).alias("n"),
             F.min(F.when(v >= low, v)).alias("whisker_low"),
             F.max(F.when(v <= high, v)).alias("whisker_high"),
-            F.sum(F.when((v < low) | (v > high), F.col("n")).otherwise(0)).alias("outliers"),
-            F.sum("n").alias("n"),
+            F.count_if((v < low) | (v > high)).alias("outliers"),
         )
         .select(SEGMENT, "n", "q1", "median", "q3", "whisker_low", "whisker_high", "outliers")
     )

@@ -1,13 +1,14 @@
 """Customer segments: distributed k-means and nearest-centre scoring."""
 
-from collections.abc import Callable
+import random
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,50 +94,104 @@ def fit_segments(
     include_id: bool = False,
     tolerance: float = 1e-4,
     max_iter: int = 10_000,
-    parallel: int = 4,
 ) -> Segments:
-    """k-means on all standardised numeric columns of the complete rows.
-
-    One fit per seed on rows written once (only the columns used, so a fit neither
-    repeats the joins behind ``df`` nor depends on a cache surviving); the least cost
-    wins.  Every fit runs until no centre moves by more than ``tolerance``; one that
-    has not come to rest after ``max_iter`` steps is an error, never a result.
-    ``parallel`` fits share the cluster: lower it when one alone fills it.  Centres are
-    sorted, so that segment numbers do not depend on the order the solver found them.
+    """k-means on all standardised numeric columns of the complete rows; the least cost of all restarts wins.
+
+    All restarts go together: a step is one scan and one aggregation for all sets of centres (a
+    task sends k rows for each), and a restart leaves when no centre of it moves by
+    more than ``tolerance``.  One that has not come to rest after ``max_iter`` steps is an error, never a
+    result.  Every restart begins at k different rows, chosen by digests of the rows, so
+    neither partitioning nor order matters.  Centres are sorted, so that segment numbers do not
+    depend on the order they were found in.
     """
     if columns is None:
         skip = (ROW_KEY,) if include_id else (ROW_KEY, CUSTOMER_ID)
         columns = numeric_columns(df, exclude=skip)
     kept = materialised(complete_cases(df.select(*[f"`{c}`" for c in columns]), columns), "complete")
     standard = fit_standardizer(kept, columns)
-    scaled = kept.select(*[standard.scaled(c).alias(f"z{i}") for i, c in enumerate(columns)])
-    vectors = VectorAssembler(inputCols=scaled.columns, outputCol="features").transform(scaled).select("features")
-    # One spillable copy for all restarts, instead of one for each.
-    vectors.persist(StorageLevel.MEMORY_AND_DISK)
-
-    def fit(s: int):
-        model = KMeans(k=k, seed=s, maxIter=max_iter, tol=tolerance, featuresCol="features").fit(vectors)
-        steps = model.summary.numIter
-        if steps >= max_iter:
-            raise RuntimeError(f"k-means with seed {s} has not come to rest after {max_iter} steps")
-        return model.summary.trainingCost, [list(map(float, c)) for c in model.clusterCenters()], steps
-
-    seeds = range(seed, seed + restarts)
+    scaled = kept.select(*[standard.scaled(c).cast("double").alias(f"z{i}") for i, c in enumerate(columns)])
+    # One spillable copy for all steps.
+    scaled.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        results = run_parallel(df.sparkSession, [lambda s=s: fit(s) for s in seeds], parallel)
+        pool = _starting_rows(scaled, restarts * k, seed)
+        starts = [random.Random(seed + r).sample(pool, min(k, len(pool))) for r in range(restarts)]
+        centres, steps = _at_rest(scaled, np.array(starts, float), tolerance, max_iter)
+        costs = _step(scaled, centres)[2]
     finally:
-        vectors.unpersist()
-    cost, centres, _ = min(results, key=lambda r: r[0])
+        scaled.unpersist()
+    best = int(np.argmin(costs))
     return Segments(
         columns,
         [standard.means[c] for c in columns],
         [standard.deviations[c] for c in columns],
-        sorted(centres),
-        cost,
-        [steps for _, _, steps in results],
+        sorted(centres[best].tolist()),
+        float(costs[best]),
+        steps,
     )
 
 
+def _starting_rows(scaled: DataFrame, wanted: int, seed: int) -> list[tuple[float, ...]]:
+    """Up to ``wanted`` different rows, those with the smallest digests."""
+    digest = F.xxhash64(F.lit(seed), *scaled.columns)
+    found = dict.fromkeys(map(tuple, scaled.orderBy(digest, *scaled.columns).limit(4 * wanted).collect()))
+    if len(found) < wanted:  # many equal rows came first
+        found = dict.fromkeys(map(tuple, scaled.distinct().orderBy(digest, *scaled.columns).limit(wanted).collect()))
+    if not found:
+        raise ValueError("no complete row to find segments in")
+    return list(found)[:wanted]
+
+
+def _at_rest(scaled: DataFrame, centres: np.ndarray, tolerance: float, max_iter: int) -> tuple[np.ndarray, list[int]]:
+    """Centres (restart, centre, column) once none moves any more, and the steps each restart took."""
+    steps, moving = [0] * len(centres), list(range(len(centres)))
+    while moving:
+        sums, counts, _ = _step(scaled, centres[moving])
+        # A centre without rows stays where it is.
+        means = np.where(counts[..., None] > 0, sums / np.maximum(counts, 1)[..., None], centres[moving])
+        moved = np.sqrt(((means - centres[moving]) ** 2).sum(axis=2)).max(axis=1)
+        centres[moving] = means
+        for r in moving:
+            steps[r] += 1
+        moving = [r for r, far in zip(moving, moved) if far > tolerance]
+        if moving and steps[moving[0]] >= max_iter:
+            raise RuntimeError(f"{len(moving)} restarts of k-means have not come to rest after {max_iter} steps")
+    return centres, steps
+
+
+def _step(scaled: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums and counts of the rows nearest to each centre, and the cost, for all sets of centres in one scan."""
+    sets, k, width = centres.shape
+    squares = (centres**2).sum(axis=2)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, counts, cost = np.zeros((sets, k, width)), np.zeros((sets, k)), np.zeros(sets)
+        for batch in batches:
+            z = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(width)])
+            far = squares[:, :, None] - 2 * (centres @ z.T)
+            label = far.argmin(axis=1)
+            cost += np.maximum(np.take_along_axis(far, label[:, None, :], 1)[:, 0] + (z**2).sum(axis=1), 0).sum(axis=1)
+            for r in range(sets):
+                counts[r] += np.bincount(label[r], minlength=k)
+                for i in range(width):
+                    sums[r, :, i] += np.bincount(label[r], z[:, i], k)
+        yield pa.record_batch(
+            {
+                "at": pa.array(np.arange(sets * k), pa.int32()),
+                "n": pa.array(counts.ravel()),
+                "cost": pa.array(np.repeat(cost / k, k)),
+                **{f"s{i}": pa.array(sums[:, :, i].ravel()) for i in range(width)},
+            }
+        )
+
+    columns = ["n", "cost", *[f"s{i}" for i in range(width)]]
+    parts = scaled.mapInArrow(nearest, ", ".join(["at int", *[f"{c} double" for c in columns]]))
+    total = np.zeros((sets * k, len(columns)))
+    for row in parts.groupBy("at").agg(*[F.sum(c).alias(c) for c in columns]).collect():  # k rows a restart
+        total[row["at"]] = row[1:]
+    total = total.reshape(sets, k, len(columns))
+    return total[..., 2:], total[..., 0], total[..., 1].sum(axis=1)
+
+
 def run_parallel(spark: SparkSession, jobs: list[Callable], threads: int) -> list:
     """Submit Spark jobs from a few driver threads, so that small stages overlap."""
     if threads <= 1 or len(jobs) <= 1:

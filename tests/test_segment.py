@@ -87,3 +87,35 @@ def test_knowing_the_segment_is_only_a_null_check(spark):
     plan = model.assign(df).where("segment is not null").select("row_key")
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert "isnotnull(x" in text and "concat" not in text
+
+
+def test_a_step_equals_plain_arithmetic_for_all_sets_of_centres(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    points, centres = r.normal(size=(300, 3)), r.normal(size=(5, 4, 3))
+    df = spark.createDataFrame([tuple(map(float, p)) for p in points], "z0 double, z1 double, z2 double").repartition(3)
+    sums, counts, cost = segment._step(df, centres)
+    far = ((points[None, :, None] - centres[:, None]) ** 2).sum(axis=3)
+    for i in range(5):
+        label = far[i].argmin(axis=1)
+        assert counts[i].tolist() == [(label == j).sum() for j in range(4)]
+        assert np.allclose(sums[i], [points[label == j].sum(axis=0) for j in range(4)])
+        assert cost[i] == pytest.approx(far[i].min(axis=1).sum())
+
+
+def test_starts_are_different_rows_whatever_the_order(spark):
+    df = spark.createDataFrame([(float(i % 3),) for i in range(1000)], "z0 double")
+    assert sorted(segment._starting_rows(df, 50, 1)) == [(0.0,), (1.0,), (2.0,)]
+    many = spark.range(5000).selectExpr("double(id) AS z0")
+    assert segment._starting_rows(many.repartition(7), 20, 1) == segment._starting_rows(many.coalesce(1), 20, 1)
+    # More segments than different rows: as many as there are.
+    assert len(segment.fit_segments(df.withColumnRenamed("z0", "x"), k=5, restarts=2).centres) == 3
+
+
+def test_a_centre_without_rows_stays(spark):
+    import numpy as np
+
+    df = spark.createDataFrame([(0.0,), (1.0,)], "z0 double")
+    centres, steps = segment._at_rest(df, np.array([[[0.4], [99.0]]]), 1e-4, 10)
+    assert centres.tolist() == [[[0.5], [99.0]]] and steps == [2]
