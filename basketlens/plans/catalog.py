@@ -29,6 +29,7 @@ from basketlens.sources.files import (
     with_row_id,
     write_table,
 )
+from basketlens.sources.infer import read_inferred
 from basketlens.sources.shop import shop
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +85,21 @@ def src_csv_roundtrip(spark, d):
     return read_csv(spark, path, table.schema, null_text="NA")
 
 
+@query
+def src_csv_inferred(spark, d):
+    """A CSV without a given schema: the types come from its cells."""
+    path = write_table(_shop(spark, d), work_path(spark, "csv"), "csv", null_text="NA")
+    return read_inferred(spark, path, null_text="NA")[0]
+
+
+@query
+def csv_types(spark, d):
+    """The types found, where one cell in a hundred may not fit; the age has some."""
+    odd = F.when(F.col(ROW_KEY) % 211 == 0, F.lit("n. a.")).otherwise(F.col("age").cast("string"))
+    path = write_table(_shop(spark, d).withColumn("age", odd), work_path(spark, "csv"), "csv", null_text="NA")
+    return read_inferred(spark, path, null_text="NA", most_unfit=0.01)[1].drop("place")
+
+
 @query
 def row_id_generated(spark, d):
     no_id = shop(spark, d, [f.name for f in RETAIL.fields if f.name != "customer_id"])
@@ -351,10 +367,10 @@ def size_flags(spark, d):
 # --- encoding, split, scaling ---------------------------------------------------------
 
 
-def _fitted(spark: SparkSession, d: str) -> tuple[DataFrame, encode.CategoryDictionary]:
+def _fitted(spark: SparkSession, d: str, null_slot: bool = False) -> tuple[DataFrame, encode.CategoryDictionary]:
     table = materialised(predict.bin_columns(_shop(spark, d, *CATEGORICAL)), "binned")
     train, _ = encode.split(table, ROW_KEY)
-    return table, encode.fit_dictionary(train, CATEGORICAL)
+    return table, encode.fit_dictionary(train, CATEGORICAL, null_slot)
 
 
 @query
@@ -363,6 +379,13 @@ def encode_index(spark, d):
     return dictionary.index_int(table).drop(*CATEGORICAL)
 
 
+@query
+def encode_index_with_null(spark, d):
+    """Null as the last category of every column, in the training rows or not."""
+    table, dictionary = _fitted(spark, d, null_slot=True)
+    return dictionary.index_int(table).drop(*CATEGORICAL)
+
+
 @query
 def encode_onehot(spark, d):
     table, dictionary = _fitted(spark, d)

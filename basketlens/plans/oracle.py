@@ -226,6 +226,16 @@ def _schema() -> str:
     )
 
 
+def _csv_types() -> str:
+    kinds = {"row_key": "int"} | {f.name: f.dataType.simpleString() for f in RETAIL.fields} | {"customer_id": "int"}
+    unfit = "count(*) FILTER (row_key % 211 = 0)"
+    counted = {"age": f"count(age) + count(*) FILTER (age IS NULL AND row_key % 211 = 0) AS n, {unfit} AS n_unfit"}
+    return " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", '{t}' AS type, {counted.get(c, f'count({c}) AS n, CAST(0 AS BIGINT) AS n_unfit')} FROM shop"""
+        for c, t in kinds.items()
+    )
+
+
 def _clean_names() -> str:
     rows = []
     for c in COLUMNS:
@@ -337,6 +347,10 @@ def oracle_sql() -> dict[str, str]:
         "report_one_pass": _over_feat(_one_pass()),
         "report_lines": _over_seg(_report_lines()),
         "src_csv_roundtrip": _over_shop("SELECT * FROM shop"),
+        "src_csv_inferred": _over_shop(
+            "SELECT * REPLACE (CAST(row_key AS INTEGER) AS row_key, CAST(customer_id AS INTEGER) AS customer_id) FROM shop"
+        ),
+        "csv_types": _over_shop(_csv_types()),
         "row_id_generated": _over_shop(
             "SELECT count(*) AS n, count(*) AS n_distinct, CAST(1 AS BIGINT) AS min_id, count(*) AS max_id FROM shop"
         ),
@@ -402,6 +416,9 @@ SELECT row_key, category, {_flag("category", "a b", "category_a%20b")}, {_flag("
         "shipping_pref": _over_shop(f"SELECT row_key, shipping_type, {FAST} FROM shop"),
         "size_flags": _over_shop(f"SELECT row_key, size_label, {SMALL}, {LARGE} FROM shop"),
         "encode_index": _encoded("CAST(coalesce(dict_{c}.slot, -1) AS INTEGER) AS {c}_index"),
+        "encode_index_with_null": _encoded(
+            "CAST(CASE WHEN binned.{c} IS NULL THEN (SELECT count(*) FROM dict_{c}) ELSE coalesce(dict_{c}.slot, -1) END AS INTEGER) AS {c}_index"
+        ),
         "encode_onehot": _encoded(VECTOR),
         "first_slot": _encoded(
             "CASE WHEN dict_{c}.slot = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS {c}"

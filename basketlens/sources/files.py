@@ -108,6 +108,7 @@ def clean_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 
 # part-<task>-<job id>-c<file of the task>: ordered by number, past five digits too.
+FILE_BLOCK = 1000
 _FILE_NAME = r"^part-(\d+)-.*?-c(\d+)"
 
 
@@ -116,8 +117,8 @@ def written_positions(spark: SparkSession, path: str, name: str = "position") ->
 
     Place = rows in the files before + row number in the file.  Both come from the
     files themselves, so a lost executor or another split of the scan changes nothing.
-    The rows before each file are a running sum over a table of one row per file; a file
-    whose name does not tell its place is an error.
+    The rows before each file are summed in two levels: within blocks of ``FILE_BLOCK`` tasks' files, and over the
+    blocks, of which the driver holds one number each.  A file whose name does not tell its place is an error.
     """
     table = spark.read.parquet(path)
     columns = table.columns
@@ -130,8 +131,16 @@ def written_positions(spark: SparkSession, path: str, name: str = "position") ->
     place = [F.regexp_extract("_file", _FILE_NAME, i).cast("long") for i in (1, 2)]
     known = F.when(F.col("_file").rlike(_FILE_NAME), F.struct(*place)).otherwise(unknown)
     counts = table.groupBy("_file").agg(F.count(F.lit(1)).alias("_n")).withColumn("_place", known)
-    before = Window.orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    block = F.floor(F.col("_place.col1") / FILE_BLOCK).alias("_block")
+    files = materialised(counts.select("_file", "_n", "_place", block), "file-sizes")
+    start, starts = 0, []
+    for row in files.groupBy("_block").agg(F.sum("_n").alias("n")).orderBy("_block").collect():
+        starts.append((row["_block"], start))
+        start += row["n"]
+    blocks = spark.createDataFrame(starts, "_block long, _first long")
+    before = Window.partitionBy("_block").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.col("_first") + F.coalesce(F.sum("_n").over(before), F.lit(0))
+    offsets = files.join(blocks, "_block").select("_file", ahead.alias("_start"))
     return table.join(offsets, "_file").select(
         *[f"`{c}`" for c in columns], (F.col("_start") + F.col("_row")).alias(name)
     )

@@ -110,3 +110,14 @@ def test_work_folder_is_named_by_the_session():
 def test_no_local_folder_on_a_cluster():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.work_path(Cluster(), "t")
+
+
+def test_positions_over_thousands_of_files_in_blocks(spark, tmp_path, monkeypatch):
+    """Blocks of tasks are summed apart, so no window runs over all files."""
+    monkeypatch.setattr(files, "FILE_BLOCK", 100)
+    path = str(tmp_path / "many")
+    spark.range(0, 4000, 1, 2000).write.option("maxRecordsPerFile", 1).parquet(path)
+    got = files.written_positions(spark, path)
+    assert got.where("position != id").count() == 0 and got.count() == 4000
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(_block" in plan and "windowspecdefinition(_place" not in plan
