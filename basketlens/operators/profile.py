@@ -104,20 +104,36 @@ def distinct_counts(df: DataFrame) -> DataFrame:
     )
 
 
-def distinct_counts_approx(df: DataFrame, precision: int = 12) -> DataFrame:
-    """As ``distinct_counts`` from one sketch per column: one pass, no wide shuffle.
+#: Slots of a distinct sketch as a power of two, and the share of the true number by which an estimate
+#: may be off: three standard errors of 1.04 / sqrt(slots), rounded up.
+SKETCH_PRECISION, SKETCH_ERROR = 12, 0.05
 
-    A sketch is one small binary value (2**precision slots, 1.6 % error at 12).
+
+def distinct_sketches(df: DataFrame, *parts: Column, precision: int = SKETCH_PRECISION) -> DataFrame:
+    """A sketch of the distinct values of every column, for each part of the rows: one small binary cell each.
+
+    Sketches of parts are kept and united later (``united_counts``): a new part is
+    sketched alone, and rows that were sketched are never read again.
     """
 
-    def estimate(c: str) -> Column:
+    def sketch(c: str) -> Column:
         col = F.col(f"`{c}`")
         if is_floating(df, c):
             col = (col + F.lit(0.0)).cast("string")
-        known = F.hll_sketch_estimate(F.hll_sketch_agg(col, F.lit(precision)))
-        return F.coalesce(known, F.lit(0)).alias(f"{c}_unique")
+        return F.hll_sketch_agg(col, F.lit(precision)).alias(c)
+
+    return df.groupBy(*parts).agg(*[sketch(c) for c in df.columns])
+
+
+def united_counts(sketches: DataFrame, columns: list[str]) -> DataFrame:
+    """Approximate number of distinct values per column, as ``{column}_unique``, over all parts that were sketched."""
+    united = [F.hll_sketch_estimate(F.hll_union_agg(f"`{c}`")) for c in columns]
+    return sketches.agg(*[F.coalesce(x, F.lit(0)).alias(f"{c}_unique") for c, x in zip(columns, united)])
+
 
-    return df.agg(*[estimate(c) for c in df.columns])
+def distinct_counts_approx(df: DataFrame, precision: int = SKETCH_PRECISION) -> DataFrame:
+    """As ``distinct_counts`` from one sketch per column: one pass, no wide shuffle (1.6 % standard error at 12)."""
+    return united_counts(distinct_sketches(df, precision=precision), df.columns)
 
 
 def missing_counts(df: DataFrame) -> DataFrame:

@@ -368,6 +368,7 @@ def oracle_sql() -> dict[str, str]:
         "profile_distinct": _over_shop(
             f"SELECT {', '.join(f'count(DISTINCT {c}) AS {c}_unique' for c in ALL)} FROM shop"
         ),
+        "profile_distinct_within": " UNION ALL ".join(f"""SELECT '{c}' AS "column", true AS within_error""" for c in ALL),
         "profile_nulls": _over_shop(
             f"SELECT {', '.join(f'count(*) - count({c}) AS {c}' for c in ALL)} FROM shop"
         ),

@@ -70,3 +70,14 @@ def test_schema_and_values(spark):
         (0, "s", "string", 4), (1, "i", "int", 4), (2, "x", "double", 4),
     ]
     assert {tuple(r) for r in profile.value_counts(df, "s").collect()} == {("a", 2), ("b", 2)}
+
+
+def test_united_sketches_equal_one_over_the_whole(spark):
+    df = spark.range(20_000).selectExpr("id", "id % 37 AS few", "cast(null AS string) AS `no.ne`", "double(id % 5) AS x")
+    parts = profile.distinct_sketches(df, (F.col("id") % 11).alias("part"))
+    united = profile.united_counts(parts, df.columns).first()
+    whole = profile.distinct_counts_approx(df).first()
+    exact = profile.distinct_counts(df).first()
+    for c in ("id_unique", "few_unique", "no.ne_unique", "x_unique"):
+        assert abs(united[c] - exact[c]) <= profile.SKETCH_ERROR * exact[c] >= abs(whole[c] - exact[c])
+    assert united["few_unique"] == 37 and united["no.ne_unique"] == 0
