@@ -120,16 +120,19 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_edited_changes", F.size("edited_changes").cast("long")).drop("edited_changes")
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Rates by the domains of the labelled table: toxic, good and plain; mostly toxic text gives way; every other document, and any that is labelled clean, stays."""
+def mixing_rates(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = (), keep_others: bool = True) -> DataFrame:
+    """Rates by the domains of the labelled table: toxic, good and plain; toxic text gives way.
+
+    With ``keep_others`` every document that is not mostly toxic, and any that is labelled clean, stays.
+    """
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "plain")
     domains = mixing.fit_domains(docs, labels.select("doc_id", domain.alias("domain")))
     clean = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter("toxic = 0").select("doc_id")
-    return mixing.mix(docs, domains, less={"toxic": 0.1}, carry=carry, keep_others=True, spared=clean)
+    return mixing.mix(docs, domains, less={"toxic": 0.1}, carry=carry, keep_others=keep_others, spared=clean if keep_others else None)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ("source",))
+    return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ("source",), keep_others=False)
 
 
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:

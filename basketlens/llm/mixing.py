@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.llm.common import SPACE, saved, text_of
+from basketlens.llm.common import SPACE, discard, saved, text_of
 
 #: Buckets of the hashed words (the bound of the broadcast table) and labelled rows that fit the weights (at most).
 BUCKETS, TRAIN_ROWS, DOMAINS = 1 << 14, 20_000, 32
@@ -30,6 +30,8 @@ BUCKETS, TRAIN_ROWS, DOMAINS = 1 << 14, 20_000, 32
 RARE, EVIDENCE, RIDGE = 5.0, 100.0, 1e-3
 #: Change of the domain shares at which the rates stand still, and steps after which the fit is an error.
 STILL, STEPS = 1e-6, 300
+#: Steps that are evaluated from written rates.
+WRITE_EVERY = 10
 
 
 def _words(text: Column) -> Column:
@@ -95,9 +97,8 @@ def memberships(docs: DataFrame, domains: Domains, key: str = "doc_id", text: st
     return shifted.select(*kept, "tokens", *[F.round(F.col(f"e_{i}") / whole, 9).alias(f"p_{i}") for i in range(k)])
 
 
-def _rate(steps: list[tuple[float, list[float]]], ridge: float, low: str = "0.0D") -> Column:
+def _rate(steps: list[tuple[float, list[float]]], ridge: float, low: str = "0.0D", start: str = "named_struct('r', 1.0D, 'q', 1.0D)") -> Column:
     """(r now, r before) of a row after the steps (length, gradient of the domains); ``low`` is the least rate of the row."""
-    start = "named_struct('r', 1.0D, 'q', 1.0D)"
     if not steps:
         return F.expr(start)
     k = len(steps[0][1])
@@ -107,24 +108,40 @@ def _rate(steps: list[tuple[float, list[float]]], ridge: float, low: str = "0.0D
 
 
 def fit_rates(members: DataFrame, targets: list[float], ridge: float = RIDGE, low: str = "0.0D") -> tuple[list[tuple[float, list[float]]], list[float]]:
-    """Steps of the projected gradient until the domain shares stand still, and the shares reached."""
+    """Steps of the projected gradient until the domain shares stand still, and the shares reached.
+
+    Every ``WRITE_EVERY`` steps the rates are written and the next ones go on from there, so that the
+    work grows with the number of steps and not with its square.
+    """
     k = len(targets)
     whole = members.agg(F.sum("tokens")).first()[0] or 0
     steps: list[tuple[float, list[float]]] = []
     if not whole:
         return steps, [0.0] * k
     before: list[float] | None = None
+    at = members.withColumns({"_r": F.lit(1.0), "_q": F.lit(1.0)})
+    written: DataFrame | None = None
+    since: list[tuple[float, list[float]]] = []
     for _ in range(STEPS):
-        moved = members.select("tokens", *[f"p_{i}" for i in range(k)], _rate(steps, ridge, low).alias("z"))
+        z = _rate(since, ridge, low, "named_struct('r', _r, 'q', _q)")
+        if len(since) == WRITE_EVERY:
+            at = saved(at.withColumn("_z", z).select(*members.columns, F.col("_z.r").alias("_r"), F.col("_z.q").alias("_q")), "mix-rates")
+            if written is not None:
+                discard(written)
+            written, since, z = at, [], _rate([], ridge, low, "named_struct('r', _r, 'q', _q)")
+        moved = at.select("tokens", *[f"p_{i}" for i in range(k)], z.alias("z"))
         weight = F.col("tokens") / float(whole)
         got = moved.agg(*[F.sum(weight * F.col("z.r") * F.col(f"p_{i}")) for i in range(k)], F.sum(weight * F.pow(F.col("z.r") - F.col("z.q"), 2))).first()
         shares, change = [float(x) for x in got[:k]], float(got[k])
         if before is not None and (change < STILL**2 or max(abs(a - b) for a, b in zip(shares, before, strict=True)) < STILL):
+            if written is not None:
+                discard(written)
             return steps, shares
         length = 1.0 / (1.0 + ridge)
         if before is not None:
             length = change / (sum((a - b) ** 2 for a, b in zip(shares, before, strict=True)) + ridge * change)
         steps.append((length, [s - t for s, t in zip(shares, targets, strict=True)]))
+        since.append(steps[-1])
         before = shares
     raise RuntimeError(f"the rates did not stand still within {STEPS} steps")
 

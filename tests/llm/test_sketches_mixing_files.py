@@ -110,6 +110,29 @@ def test_rates_against_a_dense_solver(spark, sorted_texts):
     assert loss(p.T @ (t * got), got) == pytest.approx(loss(p.T @ (t * rate), rate), abs=1e-6)
 
 
+@pytest.mark.parametrize("every", [3, 1000])
+def test_written_rates_change_nothing(spark, sorted_texts, every, monkeypatch):
+    monkeypatch.setattr(mixing, "WRITE_EVERY", every)
+    members = saved(mixing.memberships(sorted_texts, mixing.fit_domains(sorted_texts, labels_of(spark))), "t")
+    steps, shares = mixing.fit_rates(members, [0.1, 0.5, 0.4])
+    monkeypatch.setattr(mixing, "WRITE_EVERY", 7)
+    again, same = mixing.fit_rates(members, [0.1, 0.5, 0.4])
+    assert len(steps) > 3 and shares == pytest.approx(same, abs=1e-5) and members.count() == sorted_texts.count()
+
+
+def test_the_registered_query_reaches_its_targets(spark, data):
+    """Toxic tokens fall to about a tenth of their share and the other domains keep their proportion."""
+    rows = catalog.queries()["op10_mixing"](spark, data).collect()
+    share = {}
+    for d in ("toxic", "good", "plain"):
+        before = sum(r.n_tokens * r[f"p_{d}"] for r in rows) / sum(r.n_tokens for r in rows)
+        share[d] = (before, sum(r.n_tokens * r.rate * r[f"p_{d}"] for r in rows) / sum(r.n_tokens * r.rate for r in rows))
+    target = {"toxic": share["toxic"][0] / 10}
+    for d in ("good", "plain"):
+        target[d] = share[d][0] * (1 - target["toxic"]) / (1 - share["toxic"][0])
+    assert all(abs(share[d][1] - target[d]) < 0.01 for d in target) and all(r.rate >= 0 for r in rows)
+
+
 def test_mixing_of_edges(spark, edges, nothing):
     none = spark.createDataFrame([], "doc_id long, domain string")
     out = mixing.mix(edges, mixing.fit_domains(edges, none)).collect()
