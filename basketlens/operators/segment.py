@@ -18,6 +18,12 @@ from basketlens.schema import CLUSTER, CUSTOMER_ID, ROW_KEY, SEGMENT, numeric_co
 from basketlens.sources.files import materialised
 
 
+#: Centres that get a distance column each; beyond that they stand in an array.
+MOST_COLUMNS = 32
+#: What rounding may take from a bound on distances.
+SLACK = 1e-9
+
+
 @dataclass
 class Segments:
     """Centres in standardised space, how to standardise, and the steps each fit took to come to rest."""
@@ -47,6 +53,8 @@ class Segments:
         z = [f"_z{i}" for i in range(len(self.columns))]
         d = [f"_d{j}" for j in range(1, k + 1)]
         out = df.withColumns({name: self.z(i) for i, name in enumerate(z)})
+        if k > MOST_COLUMNS:
+            return self._assign_pruned(out, z, keep_distance)
         out = out.withColumns(
             {
                 name: reduce(
@@ -71,6 +79,67 @@ class Segments:
         return out.withColumns(added).drop("_best", "_least", *z, *d)
 
 
+    def _assign_pruned(self, out: DataFrame, z: list[str], keep_distance: bool) -> DataFrame:
+        """``assign`` for many centres: they stand in groups around pivots, and a row looks into few of them.
+
+        By the triangle inequality the nearest centre is no farther than the farthest one of any
+        group, so a group whose nearest possible centre is beyond that is left out.  The number of
+        expressions does not grow with the centres.
+        """
+        point = F.array(*z)
+        near = F.transform(
+            F.expr(self._groups()),
+            lambda g: F.struct(_distance(point, g["pivot"]).alias("far"), g["radius"].alias("radius"), g["members"].alias("members")),
+        )
+        out = out.withColumn("_near", near).withColumn(
+            "_reach", F.array_min(F.transform("_near", lambda g: g["far"] + g["radius"])) * (1 + SLACK) + SLACK
+        )
+        kept = F.filter("_near", lambda g: g["far"] - g["radius"] <= F.col("_reach"))
+        measured = F.transform(
+            F.flatten(F.transform(kept, lambda g: g["members"])),
+            lambda m: F.struct(_squared(point, m["centre"]).alias("least"), m["id"].alias("id")),
+        )
+        known = reduce(lambda a, b: a & b, [~missing(out, c) for c in self.columns])
+        out = out.withColumn("_best", F.array_min(measured))
+        added = {
+            CLUSTER: F.when(known, F.col("_best.id")),
+            SEGMENT: F.when(known, F.concat(F.lit("Segment "), F.col("_best.id").cast("string"))),
+        }
+        if keep_distance:
+            added["distance"] = F.when(known, F.col("_best.least"))
+        return out.withColumns(added).drop("_best", "_near", "_reach", *z)
+
+    def _groups(self) -> str:
+        """SQL of the groups: every centre with the nearest of about sqrt(k) pivots, which lie far apart."""
+        centres = np.array(self.centres, float)
+        pivots, far = [0], np.linalg.norm(centres - centres[0], axis=1)
+        while len(pivots) < round(len(centres) ** 0.5):
+            pivots.append(int(far.argmax()))
+            far = np.minimum(far, np.linalg.norm(centres - centres[pivots[-1]], axis=1))
+        gaps = np.linalg.norm(centres[:, None] - centres[pivots][None], axis=2)
+        home = gaps.argmin(axis=1)
+
+        def listed(row: np.ndarray) -> str:
+            return f"array({', '.join(f'{x!r}D' for x in row.tolist())})"
+
+        groups = []
+        for g, pivot in enumerate(pivots):
+            inside = np.flatnonzero(home == g)
+            if len(inside):
+                members = ", ".join(f"named_struct('centre', {listed(centres[j])}, 'id', {j + 1})" for j in inside.tolist())
+                radius = float(gaps[inside, g].max())
+                groups.append(f"named_struct('pivot', {listed(centres[pivot])}, 'radius', {radius!r}D, 'members', array({members}))")
+        return f"array({', '.join(groups)})"
+
+
+def _squared(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)
+
+
+def _distance(a: Column, b: Column) -> Column:
+    return F.sqrt(_squared(a, b))
+
+
 def segment_names(k: int) -> list[str]:
     return [f"Segment {i}" for i in range(1, k + 1)]
 

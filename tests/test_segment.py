@@ -119,3 +119,23 @@ def test_a_centre_without_rows_stays(spark):
     df = spark.createDataFrame([(0.0,), (1.0,)], "z0 double")
     centres, steps = segment._at_rest(df, np.array([[[0.4], [99.0]]]), 1e-4, 10)
     assert centres.tolist() == [[[0.5], [99.0]]] and steps == [2]
+
+
+@pytest.mark.parametrize("k", [33, 1000])
+def test_many_centres_equal_brute_force(spark, k):
+    import numpy as np
+
+    r = np.random.default_rng(k)
+    centres = r.normal(size=(k, 2)).round(2)
+    centres[7] = centres[3]  # a tie, which the lower id takes
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(np.vstack([r.normal(size=(150, 2)) * 2, centres[:8]]))] + [(999, None, 1.0)]
+    df = spark.createDataFrame(rows, "row_key long, x double, y double")
+    model = segment.Segments(["x", "y"], [0.5, -0.25], [2.0, 0.5], centres.tolist())
+    got = model.assign(df, keep_distance=True)
+    assert got.columns == ["row_key", "x", "y", "cluster", "segment", "distance"]
+    found = {r.row_key: r for r in got.collect()}
+    assert found[999].cluster is None and found[999].segment is None and found[999].distance is None
+    for i, x, y in rows[:-1]:
+        z = ((x - 0.5) / 2.0, (y + 0.25) / 0.5)
+        far = (z[0] - centres[:, 0]) ** 2 + (z[1] - centres[:, 1]) ** 2
+        assert found[i].cluster == int(far.argmin()) + 1 and found[i].distance == pytest.approx(far.min(), abs=1e-12)
