@@ -1,8 +1,9 @@
-"""End to end: a flat table in, segments, feature sets and a report out."""
+"""End to end, from a flat table: segments with features and a report (``run``), encoded training and test rows
+(``preprocess``), and forests for every attribute (``model``)."""
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketlens.operators import summary
+from basketlens.operators import predict, profile, summary
 from basketlens.operators.report import report_text, segment_report, shares_any
 from basketlens.operators.segment import Segments, fit_segments
 from basketlens.plans.features import add_features, flag_table
@@ -52,3 +53,35 @@ def run(
         paths[f"{column}_flag_names"] = write_table(flag_table(base, column), f"{out_dir}/{column}_flag_names", fmt)
     summary.lines(summary.sections(found, groups)).select("value").write.mode("overwrite").text(summary_path)
     return paths | {"segmented": base_path, "report": summary_path}
+
+
+def preprocess(df: DataFrame, out_dir: str, key: str, fmt: str = "csv", preview: int = 10) -> dict[str, str]:
+    """Profile the table, then bin, split, encode and standardise it; writes everything, returns the paths.
+
+    ``key`` is the column whose value decides between training and test rows.  The profile has the shape, first
+    rows, schema, description, distinct and missing counts, a table each.
+    """
+    tables = {
+        "shape": profile.shape(df),
+        "head": profile.head(df, preview, df.columns),
+        "schema": profile.schema_listing(df),
+        "describe": profile.describe(df),
+        "distinct": profile.distinct_counts(df),
+        "missing": profile.missing_counts(df),
+    }
+    paths = {name: write_table(table, f"{out_dir}/profile/{name}", fmt) for name, table in tables.items()}
+    made = predict.prepare(df, key)
+    parts = {"train": made.train, "test": made.test}
+    return paths | {name: write_table(part, f"{out_dir}/{name}", fmt) for name, part in parts.items()}
+
+
+def model(
+    df: DataFrame, out_dir: str, key: str, targets: list[str] | None = None, flatten: bool = True, fmt: str = "csv", **forest
+) -> dict[str, str]:
+    """One forest per attribute on all others, scored on the test rows; writes (target, metric, value).
+
+    By default an attribute stands for its first slot ("is it category 0?"), as a feature and as
+    a label; ``flatten=False`` predicts the category itself from whole vectors.
+    """
+    scores = predict.predict_all_targets(df, targets, key, flatten, **forest)
+    return {"metrics": write_table(scores, f"{out_dir}/metrics", fmt)}

@@ -78,3 +78,20 @@ def test_a_csv_with_display_names_goes_through_everything(spark, data, tmp_path)
     assert made.df.where("age_group is not null and value_score is not null").count() > 0
     got = predict.predict_all_targets(back, targets=["gender"], key="customer_id", trees=3, depth=3)
     assert {r.metric for r in got.collect()} >= {"accuracy", "f1"}
+
+
+def test_a_csv_is_preprocessed_and_modelled(spark, data, tmp_path):
+    table = shop(spark, data, [f.name for f in RETAIL.fields])
+    path = write_table(to_display_names(table), str(tmp_path / "in"), "csv", null_text="NA")
+    back = from_display_names(read_csv(spark, path, null_text="NA"))
+    paths = pipeline.preprocess(back, str(tmp_path / "pre"), "customer_id")
+    assert set(paths) == {"shape", "head", "schema", "describe", "distinct", "missing", "train", "test"}
+    counts = {name: read_csv(spark, paths[name]).count() for name in ("train", "test", "head", "schema")}
+    assert counts["train"] + counts["test"] == table.count() and counts["train"] > 2 * counts["test"] > 0
+    assert (counts["head"], counts["schema"]) == (10, len(RETAIL.fields))
+    train = read_csv(spark, paths["train"])
+    assert "review_rating_scaled" in train.columns and "review_rating" not in train.columns
+    scores = pipeline.model(back, str(tmp_path / "model"), "customer_id", targets=["gender", "review_rating_scaled"], trees=3, depth=3)
+    got = {(r.target, r.metric): r.value for r in read_csv(spark, scores["metrics"]).collect()}
+    assert 0 <= got["gender", "accuracy"] <= 1 and got["review_rating_scaled", "rmse"] > 0
+    assert got["gender", "n"] == counts["test"]
