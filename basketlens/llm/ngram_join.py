@@ -4,21 +4,24 @@ A text's set of shingles has a name (a digest of the set); equal sets are one cl
 1. Counts of hashed shingles over all texts give an order from rare to common.
 2. Each set yields its size, a token bitmap, four smallest hashes, and its rarest shingles: two sets
    that are similar share one of those (prefix filter), so no link is lost.
-3. Stars: sets with an equal smallest hash are compared with the first of them.  What that links needs
-   no further search, so that thousands of near copies cost a few comparisons each: those near their
-   first hub, yet not linked to it, meet some more hubs.
+3. Stars: sets with an equal smallest hash are compared with the first of them, and what that links
+   needs no further search.
 4. Blocks: sets of different stars that share a rare shingle.  In a block, signature trees are
-   traversed against each other; node pairs whose largest possible overlap is too small, or that lie
-   in one star, are pruned.  Large blocks are dealt out as pairs of chunks.
-5. Every pair left is compared by its whole sets, and links make components.
+   traversed against each other; node pairs whose largest possible overlap is too small, or whose
+   groups are together, are pruned.  Large blocks are dealt out as pairs of chunks.
+5. That is done twice.  First a block gives only pairs that would put its stars together, likely ones
+   before others, so that a group of thousands of near copies gives no more pairs than members.  When
+   those are compared by their whole sets and linked, all pairs of stars still apart follow, each from
+   the first block that holds it.
+6. Every pair is compared by its whole sets, and links make components.
 
 Defined results: a null text is empty; a text without words has no shingles, is linked with nothing
 and is its own component; ties are exact (100 * intersection >= 80 * union); repeated rows share a class.
 A row without an id takes part, but never names a component.
 """
 
-from collections.abc import Iterator
-from itertools import groupby
+from collections.abc import Callable, Iterator
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +31,13 @@ from pyspark.sql import functions as F
 from basketlens.llm.common import discard, saved, tidy_shuffles
 from basketlens.llm.components import components
 from basketlens.llm.shingles import bitmap, digest, shingle_set
-from basketlens.llm.signature_tree import block_pairs, linked
+from basketlens.llm.signature_tree import block_pairs, linked, spanning_pairs
 
 WORDS = 5
 #: Buckets of the shingle counts, smallest hashes per set, and members of a block that meet in one task.
 BUCKETS, MINIMA, CHUNK = 1 << 16, 4, 1_500
-#: Further hubs that a near copy is compared with when the first does not link it.
-HUBS = 8
+#: Smallest tokens of a class that travel with it, by which a block leaves a pair to an earlier one (what it misses is a repeated pair).
+FIRST = 64
 #: Bits of the map of live shingles that thins out postings before the exact join.
 LIVE_BITS = 24
 _SEEDS = np.array([0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25], np.uint64)
@@ -153,32 +156,6 @@ def stars(profile: DataFrame) -> DataFrame:
     return possible(profile, pairs)
 
 
-def more_stars(profile: DataFrame, pairs: DataFrame, star: DataFrame) -> DataFrame:
-    """Pairs of classes that were near their first hub, but not linked to it, with several other hubs of their groups.
-
-    In a large group of near copies two of them may differ too much though a third links both; with
-    ``HUBS`` more to compare with, few are left to the search in blocks.
-    """
-    near = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    near = near.join(star.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("star"))
-    keys = profile.filter("cls is not null").select("cls", "n", "minima").dropDuplicates(["cls"]).join(near, "cls")
-    keys = saved(keys.select("cls", "n", "star", F.posexplode("minima").alias("pos", "low")), "near-keys")
-    hubs = [F.min(F.struct(F.xxhash64("cls", F.lit(i)).alias("h"), "cls", "n", "star")).alias(f"hub_{i}") for i in range(HUBS)]
-    groups = keys.groupBy("pos", "low").agg(*hubs, F.min("star").alias("lo"), F.max("star").alias("hi")).filter("lo <> hi")
-    others = groups.select("pos", "low", F.explode(F.array_distinct(F.array(*[f"hub_{i}" for i in range(HUBS)]))).alias("hub"))
-    lone = keys.filter("cls = star")
-    found = (
-        lone.join(others, ["pos", "low"])
-        .filter("star <> hub.star and 100 * least(n, hub.n) >= 80 * greatest(n, hub.n)")
-        .select(F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b"))
-        .distinct()
-        .join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    )
-    out = possible(profile, found)
-    discard(keys)
-    return out
-
-
 def possible(profile: DataFrame, pairs: DataFrame) -> DataFrame:
     maps = profile.filter("cls is not null").select("cls", "n", "bits").dropDuplicates(["cls"])
     for side in "ab":
@@ -202,37 +179,51 @@ def _thinned(live: np.ndarray, docs: DataFrame):
     return run
 
 
-def _traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks stand together; each is searched by its trees."""
+def _blocks(batches: Iterator[pa.RecordBatch], pairs_of: Callable) -> Iterator[tuple[int, list[dict], Iterator[tuple[int, int]]]]:
+    """Token, members and pairs of each block; the rows of a block stand together."""
 
     def rows() -> Iterator[dict]:
         for batch in batches:
             yield from batch.to_pylist()
 
-    found: set[tuple[str, str]] = set()
-    for (_, i, j), block in groupby(rows(), key=lambda r: (r["token"], r["i"], r["j"])):
+    for (token, i, j), block in groupby(rows(), key=lambda r: (r["token"], r["i"], r["j"])):
         members = list(block)
         names = {s: k for k, s in enumerate(sorted({m["star"] for m in members}))}
+        if len(names) < 2:
+            continue
         groups = np.array([names[m["star"]] for m in members])
         sides = np.array([0 if i == j or m["chunk"] == i else 1 for m in members])
-        pairs = block_pairs([np.frombuffer(m["bits"], np.uint64) for m in members], np.array([m["n"] for m in members]), groups, sides)
-        for one, two in pairs:
-            a, b = members[one]["cls"], members[two]["cls"]
-            found.add((a, b) if a < b else (b, a))
-            if len(found) >= 20_000:
-                yield _pairs(found)
-                found = set()
-    if found:
-        yield _pairs(found)
+        yield token, members, pairs_of([np.frombuffer(m["bits"], np.uint64) for m in members], np.array([m["n"] for m in members]), groups, sides)
 
 
-def _pairs(found: set[tuple[str, str]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], names=["a", "b"])
+def _spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In each block, pairs that would put its stars together."""
+    found = ((members[one]["cls"], members[two]["cls"]) for _, members, pairs in _blocks(batches, spanning_pairs) for one, two in pairs)
+    yield from _pairs(found)
+
+
+def _traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In each block, all pairs of different stars, but for those that an earlier block has as well."""
 
+    def found() -> Iterator[tuple[str, str]]:
+        for token, members, pairs in _blocks(batches, block_pairs):
+            earlier = [{t for t in m["first"] if t < token} for m in members]
+            for one, two in pairs:
+                if earlier[one].isdisjoint(earlier[two]):
+                    yield members[one]["cls"], members[two]["cls"]
 
-def block_candidates(profile: DataFrame, star: DataFrame) -> DataFrame:
-    """Pairs of classes of different stars that share a rare shingle and that the trees leave."""
-    spark = profile.sparkSession
+    yield from _pairs(found())
+
+
+def _pairs(found: Iterator[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
+    """The pairs, smaller class first, in batches without repetition."""
+    while some := set(islice(found, 20_000)):
+        rows = sorted({(a, b) if a < b else (b, a) for a, b in some})
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["a", "b"])
+
+
+def block_postings(profile: DataFrame, star: DataFrame) -> DataFrame:
+    """(cls, token) of blocks: rare shingles that classes of different stars share; of blocks with the same members, one."""
     named = profile.filter("cls is not null").select("cls", "rare").dropDuplicates(["cls"]).join(star.withColumnRenamed("node", "cls"), "cls", "left")
     named = saved(named.select("cls", F.xxhash64(F.coalesce("root", "cls")).alias("star"), "rare"), "rare")
     tokens = named.select("star", F.explode("rare").alias("token")).groupBy("token").agg(F.min("star").alias("lo"), F.max("star").alias("hi"))
@@ -243,23 +234,45 @@ def block_candidates(profile: DataFrame, star: DataFrame) -> DataFrame:
     on = np.zeros(1 << LIVE_BITS, bool)
     for r in marks.collect():
         on[r.part * 32768 : (r.part + 1) * 32768] = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little")
-    postings = saved(named.mapInArrow(_thinned(on, profile), "cls string, star bigint, token bigint").join(live, "token"), "postings")
+    postings = saved(named.mapInArrow(_thinned(on, profile), "cls string, star bigint, token bigint").join(live, "token").select("cls", "token"), "postings")
+    discard(named, live)
     sets = postings.groupBy("token").agg(F.count("*").alias("size"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("cls")).alias("xor"))
-    blocks = saved(sets.groupBy("size", "sum", "xor").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")), "blocks")
+    blocks = sets.groupBy("size", "sum", "xor").agg(F.min("token").alias("token")).select("token")
+    out = saved(postings.join(blocks, "token"), "block-postings")
+    discard(postings)
+    return out
+
+
+def block_candidates(profile: DataFrame, postings: DataFrame, star: DataFrame, spanning: bool) -> DataFrame:
+    """Pairs of classes of different stars that share a rare shingle and that the trees leave.
+
+    With ``spanning`` only as many in each block as put its stars together, else all.
+    """
+    named = postings.join(star.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "token", F.xxhash64(F.coalesce("root", "cls")).alias("star"))
+    named = saved(named, "named-postings")
+    stars_of = named.groupBy("token").agg(F.count("*").alias("size"), F.min("star").alias("lo"), F.max("star").alias("hi")).filter("lo <> hi")
+    live = saved(named.join(stars_of.select("token", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")), "token"), "live-postings")
     dealt = (
-        postings.join(blocks, "token")
-        .withColumn("chunk", F.pmod(F.xxhash64("cls"), "chunks").cast("int"))
+        live.withColumn("chunk", F.pmod(F.xxhash64("cls"), "chunks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select("cls", "star", "token", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
     )
     maps = profile.filter("cls is not null").select("cls", "n", "bits").dropDuplicates(["cls"])
+    if not spanning:
+        # A class has no more postings than its prefix has shingles.
+        maps = maps.join(live.groupBy("cls").agg(F.slice(F.array_sort(F.collect_list("token")), 1, FIRST).alias("first")), "cls")
     place = ["token", "i", "j"]
     members = dealt.join(maps, "cls").repartition(*place).sortWithinPartitions(*place)
-    out = saved(members.mapInArrow(_traverse, "a string, b string").distinct(), "block-pairs")
-    discard(named, live, postings, blocks)
+    out = saved(members.mapInArrow(_spanning if spanning else _traverse, "a string, b string").distinct(), "block-pairs")
+    discard(named, live)
     return out
 
 
+def united(star: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after further links."""
+    return components(star.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
+
+
 def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: key, n_shingles, component_id (smallest key reachable by links)."""
     profile = saved(profiles(docs, key, text), "profiles")
@@ -267,16 +280,19 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     pairs = stars(profile)
     first = verified(docs, members, pairs, key, text)
     star = components(first)
-    second = verified(docs, members, more_stars(profile, pairs, star), key, text)
-    star = components(star.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second))
-    rest = verified(docs, members, block_candidates(profile, star), key, text)
-    roots = components(star.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest)).withColumnRenamed("node", "cls")
+    postings = block_postings(profile, star)
+    spanning = block_candidates(profile, postings, star, spanning=True)
+    second = verified(docs, members, spanning, key, text)
+    star = united(star, second)
+    others = block_candidates(profile, postings, star, spanning=False)
+    rest = verified(docs, members, others, key, text)
+    roots = united(star, rest).withColumnRenamed("node", "cls")
     named = members.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("low")).join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     named = saved(named, "classes")
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
     component = saved(named.join(lows, "root").select("cls", "component_id"), "component-of")
     rows = saved(members, "members")
-    discard(profile, named, pairs, first, second, rest)
+    discard(profile, named, pairs, first, postings, spanning, second, others, rest)
     out = rows.filter("cls is not null").join(component, "cls").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
     return out.union(rows.filter("cls is null").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
 

@@ -49,14 +49,22 @@ def digest(shingles: np.ndarray) -> str:
     return xxhash.xxh3_128_hexdigest(shingles.tobytes())
 
 
-def bitmap(shingles: np.ndarray, per: int = 2, least: int = 64) -> np.ndarray:
-    """Token bitmap with at least ``per`` bits a shingle; its length is a power of two, so that it can be folded."""
-    bits = max(least, 1 << int(per * max(1, len(shingles)) - 1).bit_length())
+def bitmap(shingles: np.ndarray, per: int = 2, sharp: int = 8, least: int = 64, long: int = 4096) -> np.ndarray:
+    """Token bitmap with at least ``per`` bits a shingle, and ``sharp`` as long as that takes no more than ``long`` bits.
+
+    Its length is a power of two, so that it can be folded, and at most doubles when a set grows by a quarter.
+    """
+    n = max(1, len(shingles))
+    bits = max(least, min(long, _power(sharp * n)), _power(per * n))
     out = np.zeros(bits, bool)
     out[(shingles & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").view(np.uint64)
 
 
+def _power(n: int) -> int:
+    return 1 << (n - 1).bit_length()
+
+
 def folded(bits: np.ndarray, length: int) -> np.ndarray:
     """The bitmap over fewer bits: the last axis is halved until it has ``length`` words."""
     while bits.shape[-1] > length:

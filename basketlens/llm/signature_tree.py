@@ -12,6 +12,8 @@ import numpy as np
 from basketlens.llm.shingles import folded
 
 FANOUT = 8
+#: Bits outside that stand for one more shingle outside than they show, among likely pairs.
+LIKELY = 1.15
 
 
 def linked(inter, left, right):
@@ -56,25 +58,44 @@ def _joined(nodes: list[Node]) -> Node:
     )
 
 
-def may_link(a: Node, b: Node) -> bool:
+def may_link(a: Node, b: Node, doubt: float = 1.0) -> bool:
     """Whether members of two nodes can be similar: sizes within four fifths, and the largest possible overlap.
 
     Every member of ``a`` has the bits of ``a.all``; those that no member of ``b`` has stand for
     shingles outside.  So an overlap is at most the larger size less those bits, from either side.
+    With a ``doubt`` above 1 as many more bits count as outside, which leaves the likely pairs only.
     """
     if 100 * min(a.high, b.high) < 80 * max(a.low, b.low):
         return False
-    out_a, out_b = int(np.bitwise_count(a.all & ~b.any).sum()), int(np.bitwise_count(b.all & ~a.any).sum())
+    out_a, out_b = doubt * int(np.bitwise_count(a.all & ~b.any).sum()), doubt * int(np.bitwise_count(b.all & ~a.any).sum())
     # Sizes x, y with overlap at most x - out_a: the rule 180 * overlap >= 80 * (x + y) is easiest for large x, small y.
     return 180 * (a.high - out_a) >= 80 * (a.high + b.low) and 180 * (b.high - out_b) >= 80 * (b.high + a.low)
 
 
-def close_pairs(root_a: Node, root_b: Node) -> Iterator[tuple[int, int]]:
-    """Member pairs of different groups that the bounds leave, each once."""
+class Joined:
+    """Groups that have been put together, by their smallest member."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def find(self, group: int) -> int:
+        while (up := self.parent.get(group, group)) != group:
+            self.parent[group] = group = self.parent.get(up, up)
+        return group
+
+    def put(self, one: int, two: int) -> bool:
+        """Whether the groups were apart until now."""
+        one, two = self.find(one), self.find(two)
+        self.parent[max(one, two)] = min(one, two)
+        return one != two
+
+
+def close_pairs(root_a: Node, root_b: Node, joined: Joined, doubt: float = 1.0) -> Iterator[tuple[int, int]]:
+    """Member pairs of groups apart that the bounds leave, each once; ``joined`` may grow meanwhile."""
     stack = [(root_a, root_b)]
     while stack:
         a, b = stack.pop()
-        if a.group == b.group != -1 or not may_link(a, b):
+        if a.group != -1 != b.group and joined.find(a.group) == joined.find(b.group) or not may_link(a, b, doubt):
             continue
         if a is b:
             kids = a.children
@@ -87,8 +108,8 @@ def close_pairs(root_a: Node, root_b: Node) -> Iterator[tuple[int, int]]:
             stack.extend((a, kid) for kid in b.children)
 
 
-def block_pairs(bitmaps: list[np.ndarray], sizes: np.ndarray, groups: np.ndarray, sides: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Close pairs of a block: one tree per side and bitmap length.
+def _meetings(bitmaps: list[np.ndarray], sizes: np.ndarray, groups: np.ndarray, sides: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, Node, Node]]:
+    """Trees that have to meet, and whose members stand in them: one tree per side and bitmap length.
 
     Similar sets differ by at most one step of length, so trees of neighbouring lengths meet at the
     shorter one.  With one side all pairs are wanted, with two sides only those across.
@@ -110,4 +131,21 @@ def block_pairs(bitmaps: list[np.ndarray], sizes: np.ndarray, groups: np.ndarray
             a = tree(one, length)
             b = a if two is one else tree(two, length)
             if a is not None and b is not None:
-                yield from ((int(one[i]), int(two[j])) for i, j in close_pairs(a, b))
+                yield one, two, a, b
+
+
+def block_pairs(bitmaps: list[np.ndarray], sizes: np.ndarray, groups: np.ndarray, sides: np.ndarray) -> Iterator[tuple[int, int]]:
+    """All close pairs of a block."""
+    for one, two, a, b in _meetings(bitmaps, sizes, groups, sides):
+        yield from ((int(one[i]), int(two[j])) for i, j in close_pairs(a, b, Joined()))
+
+
+def spanning_pairs(bitmaps: list[np.ndarray], sizes: np.ndarray, groups: np.ndarray, sides: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Close pairs of a block that put its groups together, fewer than it has groups: likely pairs first, then any other."""
+    joined, meetings = Joined(), list(_meetings(bitmaps, sizes, groups, sides))
+    for doubt in (LIKELY, 1.0):
+        for one, two, a, b in meetings:
+            for i, j in close_pairs(a, b, joined, doubt):
+                x, y = int(one[i]), int(two[j])
+                if joined.put(int(groups[x]), int(groups[y])):
+                    yield x, y

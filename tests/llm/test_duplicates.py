@@ -135,6 +135,51 @@ def test_trees_lose_no_pair(sets):
                 assert sides[a] == sides[b] or frozenset((a, b)) in across
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 30), min_size=1, max_size=25), min_size=2, max_size=25), st.integers(2, 25))
+def test_spanning_pairs_reach_what_all_pairs_reach(sets, n_groups):
+    hashed = [np.unique(shingles._mix(np.array(sorted(s), np.uint64))) for s in sets]
+    bits, sizes = [shingles.bitmap(h) for h in hashed], np.array([len(h) for h in hashed])
+    groups = np.arange(len(sets)) % n_groups
+    for sides in (np.zeros(len(sets), int), np.arange(len(sets)) // 2 % 2):
+        some = list(signature_tree.spanning_pairs(bits, sizes, groups, sides))
+        every = list(signature_tree.block_pairs(bits, sizes, groups, sides))
+        assert len(some) < len(set(groups.tolist()))
+
+        def reached(pairs):
+            joined = signature_tree.Joined()
+            for a, b in pairs:
+                joined.put(int(groups[a]), int(groups[b]))
+            return [joined.find(int(g)) for g in groups]
+
+        assert reached(some) == reached(every)
+
+
+def test_a_group_of_near_copies_gives_few_pairs(spark, make):
+    """Copies with edits of their own, nearly all linked with each other: pairs grow with the copies, not with their square."""
+    base, r = words(77, 110).split(" "), random.Random(6)
+    pairs = []
+    for k in range(150):
+        text = list(base)
+        for _ in range(2 if k % 5 == 0 else 1):
+            text[r.randrange(len(text))] = f"edit{k}"
+        pairs.append((k, " ".join(text)))
+    docs = make(pairs)
+    profile = ngram_join.profiles(docs, "doc_id", "text")
+    alone = spark.createDataFrame([], "node string, root string")
+    postings = ngram_join.block_postings(profile, alone)
+    blocks = postings.select("token").distinct().count()
+    some = ngram_join.block_candidates(profile, postings, alone, spanning=True)
+    links = ngram_join.verified(docs, profile.select("id", "cls", "n"), some, "doc_id", "text")
+    star = components(links)
+    rest = ngram_join.block_candidates(profile, postings, star, spanning=False)
+    every = ngram_join.block_candidates(profile, postings, alone, spanning=False)
+    assert some.count() <= postings.count() - blocks
+    assert some.count() + rest.count() < every.count() / 4
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_components(docs).collect())
+    assert got == sorted(brute_components(pairs))
+
+
 def test_shingle_sets_count_as_tuples_do():
     for seed in range(40):
         text = words(seed, seed) + ("\n\tA B a" if seed % 2 else "")
