@@ -10,7 +10,8 @@ left and unescaping gives the text back.  Long conversations are never gathered:
 conversation and turn, and a task writes or reads one turn at a time.
 
 Defined results: a null text or role is empty; a conversation with a null id is one conversation; rows
-come by turn (nulls first), then role, then text; a record without a mapping is an error that names its paths.
+come by turn (nulls first), then role, then text, repeated ones as often as they stand there; an empty table gives none.
+A record that no mapping reads goes to the rejects, with the paths of its fields; null and empty fields fit any layout that has them.
 """
 
 import hashlib
@@ -41,12 +42,12 @@ def unescape(text: str) -> str:
 
 
 def paths(value: object, at: str = "") -> set[str]:
-    """Paths of the fields of a nested value; the elements of a list share one path."""
-    if isinstance(value, dict):
-        return set().union(*[paths(v, f"{at}.{k}") for k, v in value.items()]) or {at}
-    if isinstance(value, list):
-        return set().union(*[paths(v, f"{at}[]") for v in value]) or {f"{at}[]"}
-    return {at}
+    """Paths of the fields of a nested value; the elements of a list share one path, and ``?`` ends that of a null or empty one."""
+    if isinstance(value, dict) and value:
+        return set().union(*[paths(v, f"{at}.{k}") for k, v in value.items()])
+    if isinstance(value, list) and value:
+        return set().union(*[paths(v, f"{at}[]") for v in value])
+    return {f"{at}?" if value is None or value == [] or value == {} else at}
 
 
 def fingerprint(found: set[str]) -> str:
@@ -93,33 +94,95 @@ LAYOUTS: dict[tuple[str, ...], tuple[Step, ...]] = {
 _BY_FINGERPRINT = {fingerprint(set(k)): v for k, v in LAYOUTS.items()}
 
 
-def canonical(record: dict) -> list[tuple[str, str]]:
+_KNOWN = set().union(*[set(k) for k in LAYOUTS])
+
+#: Fields that describe a record or a message and are no part of what is said.
+DESCRIBING = ("id", "name", "source", "type", "index", "weight", "timestamp", "created", "metadata", "tags")
+_DESCRIBING = re.compile(r"\.(" + "|".join(DESCRIBING) + r")(\W|$)")
+
+
+def layout_paths(found: set[str]) -> set[str]:
+    """The paths that tell the layout.
+
+    Describing fields and unknown empty ones are left out, parts of a text (``text`` in a list) stand for the
+    text, and a field that is empty stands for all that a layout may have below it.
+    """
+    told = set()
+    for path in found:
+        empty, path = path.endswith("?"), path.rstrip("?")
+        if path in _KNOWN:
+            told.add(path)
+        elif path.endswith("[].text") and path.removesuffix("[].text") in _KNOWN or empty and path.removesuffix("[]") in _KNOWN:
+            told.add(path.removesuffix("[].text").removesuffix("[]"))
+        elif empty:
+            told.update(k for k in _KNOWN if k.startswith((f"{path}.", f"{path}[].")))
+        elif not _DESCRIBING.search(path):
+            told.add(path)
+    return told
+
+
+class Unmapped(ValueError):
+    """A record that no mapping reads, with the paths of its fields."""
+
+    def __init__(self, found: set[str]) -> None:
+        super().__init__(f"no layout for the fields {sorted(found)}")
+        self.paths = sorted(found)
+
+
+def _text(value: object) -> str:
+    """A text field: null is empty, and texts in parts are put together."""
+    if isinstance(value, list):
+        return "".join(_text(part.get("text") if isinstance(part, dict) else part) for part in value)
+    return "" if value is None else str(value)
+
+
+def canonical(record: object) -> list[tuple[str, str]]:
     """(role, text) of the turns of a record, by the mapping that its fingerprint selects."""
     found = paths(record)
-    steps = _BY_FINGERPRINT.get(fingerprint(found))
+    steps = _BY_FINGERPRINT.get(fingerprint(layout_paths(found)))
     if steps is None:
-        raise ValueError(f"no layout for the fields {sorted(found)}")
+        raise Unmapped(found)
     turns = []
     for step in steps:
         for item in (_at(record, step.each) or []) if step.each else [record]:
-            role = step.role[1:] if step.role.startswith("=") else str(_at(item, step.role) or "")
-            texts = [str(t) if (t := _at(item, p)) is not None else "" for p in step.text]
+            if item is None:
+                continue
+            role = step.role[1:] if step.role.startswith("=") else _text(_at(item, step.role))
+            texts = [_text(_at(item, p)) for p in step.text]
             turns.append((ROLES.get(role, role), texts[0] if len(texts) == 1 else "\n\n".join(t for t in texts if t)))
     return turns
 
 
+def read_record(record: str | None) -> tuple[list[tuple[str, str]], str | None, list[str] | None]:
+    """Turns of a JSON text, or why it has none and the paths of its fields; a null record has no turns and no reason."""
+    try:
+        turns = canonical(json.loads(record)) if record is not None else []
+        for role, text in turns:
+            (role + text).encode()
+        return turns, None, None
+    except Unmapped as fault:
+        return [], "no layout", [p.encode(errors="replace").decode() for p in fault.paths]
+    except UnicodeEncodeError:
+        return [], "not Unicode", None
+    except (ValueError, RecursionError):
+        return [], "not JSON", None
+
+
 _TURNS = "conv_id bigint, turn bigint, part int, role string, text string"
 
 
 def canonical_turns(records: DataFrame) -> DataFrame:
-    """Turns of records (conv_id, turn, record as JSON): conv_id, turn, part within the record, role, text."""
+    """Turns of records (conv_id, turn, record as JSON): conv_id, turn, part within the record, role, text.
+
+    Records without a mapping have none; ``rejected`` lists them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [
                 (c, t, k, role, text)
                 for c, t, r in zip(*[batch.column(n).to_pylist() for n in ("conv_id", "turn", "record")], strict=True)
-                for k, (role, text) in enumerate(canonical(json.loads(r)) if r is not None else [])
+                for k, (role, text) in enumerate(read_record(r)[0])
             ]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             types = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string()]
@@ -128,6 +191,23 @@ def canonical_turns(records: DataFrame) -> DataFrame:
     return records.select("conv_id", "turn", "record").mapInArrow(run, _TURNS)
 
 
+_REJECTED = "conv_id bigint, turn bigint, record string, reason string, paths array<string>"
+
+
+def rejected(records: DataFrame) -> DataFrame:
+    """The records that have no turns for a reason: no layout (with the paths of the fields), not JSON, or not Unicode."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            read = [read_record(r) for r in batch.column("record").to_pylist()]
+            kept = pa.Table.from_batches([batch]).append_column("reason", pa.array([r[1] for r in read], pa.string()))
+            kept = kept.append_column("paths", pa.array([r[2] for r in read], pa.list_(pa.string())))
+            yield from kept.filter(pa.array([r[1] is not None for r in read], pa.bool_())).to_batches()
+
+    chosen = [F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), F.col("record").cast("string")]
+    return records.select(*chosen).mapInArrow(run, _REJECTED)
+
+
 def as_records(conversations: DataFrame) -> DataFrame:
     """One JSON record per row of (conv_id, turn, role, text), in the layout usual for its role."""
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))

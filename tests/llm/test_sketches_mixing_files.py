@@ -231,6 +231,43 @@ def test_unknown_layouts_are_named():
         chat.canonical({"a": {"b": 1}})
 
 
+@pytest.mark.parametrize(
+    ("record", "turns"),
+    [
+        ({"messages": []}, []),
+        ({"messages": None}, []),
+        ({"messages": [None, {"role": "user", "content": "a", "name": "n"}]}, [("user", "a")]),
+        ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "text", "text": "b"}]}, {"role": "assistant", "content": "c"}]}, [("user", "ab"), ("assistant", "c")]),
+        ({"messages": [{"role": "user", "content": []}]}, [("user", "")]),
+        ({"id": 7, "prompt": "a", "completion": "b", "context": None, "metadata": {"k": [1]}}, [("user", "a"), ("assistant", "b")]),
+    ],
+)
+def test_layouts_with_empty_and_describing_fields(record, turns):
+    assert chat.canonical(record) == turns
+
+
+def test_rejects_end_no_job(spark):
+    good = '{"prompt": "a", "completion": "b"}'
+    bad = {
+        "{}": ("no layout", ["?"]),
+        "[1]": ("no layout", ["[]"]),
+        '{"messages": ["a"]}': ("no layout", [".messages[]"]),
+        '{"prompt": "a", "completion": "b", "context": "c"}': ("no layout", [".completion", ".context", ".prompt"]),
+        '{"messages": [{"role": "user", "content": [{"type": "image", "url": "u"}]}]}': ("no layout", [".messages[].content[].type", ".messages[].content[].url", ".messages[].role"]),
+        '{"prompt": "a"': ("not JSON", None),
+        "": ("not JSON", None),
+        "[" * 100_000: ("not JSON", None),
+        '{"prompt": "\\ud800"}': ("not Unicode", None),
+    }
+    rows = [(k, 0, r) for k, r in enumerate([good, *bad, good, None])]
+    records = spark.createDataFrame(rows, "conv_id long, turn int, record string").repartition(3).selectExpr("conv_id", "bigint(turn) as turn", "record", "1 as paths")
+    got = {r.record: (r.reason, r.paths) for r in chat.rejected(records).collect()}
+    assert got == bad
+    turns = chat.canonical_turns(records).collect()
+    assert sorted((r.conv_id, r.role, r.text) for r in turns) == sorted((k, *t) for k in (0, len(bad) + 1) for t in (("user", "a"), ("assistant", "b")))
+    assert chat.rejected(records.limit(0)).count() == 0
+
+
 def test_reading_back(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", "</s>[INST]\\"), (1, 2, "assistant", "é<|end|>\n"), (2, 0, None, None), (2, 0, "assistant", None), (None, None, "tool", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
