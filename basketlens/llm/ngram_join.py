@@ -207,8 +207,11 @@ def _traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def found() -> Iterator[tuple[str, str]]:
         for token, members, pairs in _blocks(batches, block_pairs):
-            earlier = [{t for t in m["first"] if t < token} for m in members]
+            earlier: dict[int, set[int]] = {}
             for one, two in pairs:
+                for m in (one, two):
+                    if m not in earlier:
+                        earlier[m] = {t for t in members[m]["first"] if t < token}
                 if earlier[one].isdisjoint(earlier[two]):
                     yield members[one]["cls"], members[two]["cls"]
 
