@@ -1,14 +1,21 @@
 """Personal data: base rules for four kinds, and a character model that finds more of each kind.
 
 The model is a bidirectional LSTM over character classes with a CRF on top, trained in numpy from
-labelled spans.  Texts are cut into overlapping windows; each window is decoded on its own, then
-every character takes the label of the window whose centre is nearest, and spans are read off the
-whole text.  A span of the model counts when it holds a digit or an at sign, passes the checks of
-its kind (checksum, range or number of digits), its mean certainty reaches ``SURE`` and it meets no base span.  Since every span must hold a digit or an at sign, a
-window without either is all "outside" by definition and is not run through the network.
-
-Defined results: a null text is empty and has no spans; without training windows the model adds nothing.
-Rows are handled one by one, so repeated rows agree.
+labelled spans: the base spans of a sample of texts, and the same texts with each span written in
+another way that the base rules do not read (spelled or spaced signs, other separators, phones without
+plus, a card beside another number) or put in place of it something that only looks alike (dates, amounts,
+versions, book numbers), labelled as outside.
+
+Texts are cut into overlapping windows; each window is decoded on its own, then every character takes
+the label of the window whose centre is nearest, and spans are read off the whole text.  A span of the
+model counts when it passes the checks of its kind (``plausible``), the mean of its marginals under the
+CRF reaches ``SURE`` and it meets no base span.  Every span that passes those checks holds a digit, an
+at sign or a spelled sign, so a window without any of them (``marks``) cannot add one and is not run
+through the network.
+
+Defined results: a null or empty text has no spans; without training windows (an empty table, or no base
+span in the sample) the model adds nothing.  Rows are handled one by one, so repeated rows agree; among
+spans that meet, base spans stay.  A text of any length is read whole, at most ``TOGETHER`` windows at a time.
 """
 
 import re
@@ -21,13 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from basketlens.llm.common import discard, saved
+
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window and between the starts of two windows.
 WINDOW, STRIDE = 96, 48
 #: Units per direction; windows at a time; mean certainty of a span that the model adds.
-HIDDEN, TOGETHER, SURE = 12, 2_048, 0.6
-#: Rows (about) and windows (at most) of the training sample, and steps of the descent.
-TRAIN_ROWS, TRAIN_WINDOWS, STEPS = 4_000, 1_500, 360
+HIDDEN, TOGETHER, SURE = 24, 2_048, 0.6
+#: Rows (about) and windows (at most, of each sort) of the training sample, and steps of the descent.
+TRAIN_ROWS, TRAIN_WINDOWS, STEPS = 4_000, 3_000, 400
+#: Other ways of writing each text of the sample that has spans.
+WAYS = 20
 
 # Fixed patterns: the base rules.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -86,17 +97,89 @@ def base_spans(text: str) -> list[Span]:
     return spans
 
 
+# Signs of an address in words or brackets, and the forms in which the model's spans are accepted.
+_AT_SIGN = re.compile(r"\s*[\[({]\s*(?:at|@)\s*[\])}]\s*|\s+at\s+|\s*@\s*", re.IGNORECASE)
+_DOT_SIGN = re.compile(r"\s*[\[({]\s*(?:dot|\.)\s*[\])}]\s*|\s+dot\s+|\s*\.\s*", re.IGNORECASE)
+_SPELLED = re.compile(r"[\[({]\s*(?:at|dot)\s*[\])}]|\bdot\b", re.IGNORECASE)
+_MAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+_FOUR = re.compile(r"([0-9]{1,3})([^0-9]{1,7})([0-9]{1,3})\2([0-9]{1,3})\2([0-9]{1,3})")
+_GROUPS = re.compile(r"[0-9](?:[^A-Za-z0-9\n]{0,3}[0-9])+")
+_DIALLED = re.compile(r"\+?\(?[0-9]+(?:[\x20()./-]{1,2}[0-9]+)+")
+
+
 def plausible(kind: str, found: str) -> bool:
-    """The checks of a kind, without the pattern of its base rule."""
+    """The checks of a kind, on whatever way it is written."""
     digits = _digits(found)
     if kind == "card":
-        return 13 <= len(digits) <= 19 and luhn(digits)
+        return 13 <= len(digits) <= 19 and _GROUPS.fullmatch(found) is not None and luhn(digits)
     if kind == "phone":
-        return 9 <= len(digits) <= 15
+        return 9 <= len(digits) <= 15 and _DIALLED.fullmatch(found) is not None
     if kind == "ip":
-        parts = [p.lstrip("0") for p in _RUN.findall(found)]
-        return len(parts) == 4 and all(len(p) <= 3 and int(p or 0) <= 255 for p in parts)
-    return "@" in found.strip("@")
+        four = _FOUR.fullmatch(found)
+        return bool(four) and _DOT_SIGN.fullmatch(four[2]) is not None and all(int(p) <= 255 for p in four.group(1, 3, 4, 5))
+    return _MAIL.fullmatch(_DOT_SIGN.sub(".", _AT_SIGN.sub("@", found))) is not None
+
+
+def _another_way(kind: str, found: str, r: np.random.Generator) -> list[tuple[str, bool]]:
+    """The data in pieces of text, each with whether it is of the kind: a way that the base rules do not read."""
+    pick = lambda *ways: ways[int(r.integers(len(ways)))]
+    if kind == "email":
+        local, host = found.rsplit("@", 1)
+        at = pick(" at ", " [at] ", " (at) ", "[at]", "(at)", " @ ", " AT ")
+        dots = (" dot ", " DOT ", " [dot] ", "(dot)") if at.strip().lower() == "at" else (".", ".", " dot ", " [dot] ", "[dot]", "(dot)")
+        return [(local + at + host.replace(".", pick(*dots)), True)]
+    if kind == "ip":
+        return [(pick(" . ", "[.]", "(.)", " dot ", "[dot]", "(dot)", ". ").join(found.split(".")), True)]
+    digits = _digits(found)
+    if kind == "card":
+        if r.random() < 0.3:
+            other = "".join(map(str, r.integers(0, 10, 16)))
+            pair = [(digits, True), (" ", False), (other, True)]
+            return pair if r.random() < 0.5 else pair[::-1]
+        return [(pick("  ", ".", "/", "_", " - ", "\u00a0", "\u2013", " / ").join(digits[i : i + 4] for i in range(0, len(digits), 4)), True)]
+    country, a, b, c = digits[:-10], digits[-10:-7], digits[-7:-4], digits[-4:]
+    if len(digits) < 10:
+        return [(pick("-", ".", " ", "/").join(digits[i : i + 3] for i in range(0, len(digits), 3)), True)]
+    return [(pick(f"({a}) {b}-{c}", f"{country or 1}-{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{country or 1} {a} {b} {c}", f"{a} {b} {c}", f"{a}/{b}-{c}", f"{a}-{b}-{c}"), True)]
+
+
+def _look_alike(r: np.random.Generator) -> str:
+    """Something with digits or spelled signs that is nobody's data."""
+    n = [int(x) for x in r.integers(0, 10_000, 4)]
+    return (
+        f"{1900 + n[0] % 150}-{1 + n[1] % 12:02d}-{1 + n[2] % 28:02d} {n[3] % 24:02d}:{n[0] % 60:02d}",
+        f"{1 + n[0] % 999},{n[1] % 1000:03d},{n[2] % 1000:03d}.{n[3] % 100:02d}",
+        f"{n[0] % 20}.{n[1] % 20}.{n[2] % 40}",
+        f"978-{n[0] % 10}-{n[1] % 100:02d}-{n[2]:04d}{n[3] % 100:02d}-{n[0] % 7}",
+        f"{n[0]:04d}{n[1]:04d}{n[2]:04d}{n[3]:04d}{n[0]:04d}",
+        f"at {n[0] % 24}:{n[1] % 60:02d}, dot by dot",
+        f"{n[0]} - {n[1]}",
+    )[int(r.integers(7))]
+
+
+def rewritten(text: str, spans: list[Span], r: np.random.Generator) -> tuple[str, list[Span]]:
+    """The text with each span written in another way (three in four) or replaced by something alike, and its spans then."""
+    out, found, at, size = [], [], 0, 0
+
+    def put(piece: str, kind: str | None = None) -> None:
+        nonlocal size
+        if kind:
+            found.append((kind, size, size + len(piece)))
+        out.append(piece)
+        size += len(piece)
+
+    for kind, a, b in sorted(spans, key=lambda s: s[1:]):
+        if a < at:
+            continue
+        put(text[at:a])
+        at = b
+        if r.random() < 0.25:
+            put(_look_alike(r))
+        else:
+            for piece, of_kind in _another_way(kind, text[a:b], r):
+                put(piece, kind if of_kind else None)
+    put(text[at:])
+    return "".join(out), found
 
 
 def written(spans: list[Span]) -> str:
@@ -144,7 +227,7 @@ class Tagger:
         steps, batch = x.shape
         h, c = np.zeros((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32)
         table, deep = self.weights[f"table_{d}"], self.weights[f"deep_{d}"]
-        out, kept = np.empty((steps, batch, HIDDEN), np.float32), []
+        out, kept = np.empty((steps, batch, HIDDEN), table.dtype), []
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             before = (h, c)
             i, f, o, g, c, tc, h = _gates(table[x[t]] + h @ deep, c)
@@ -159,7 +242,7 @@ class Tagger:
         return both @ self.weights["out"] + self.weights["shift"]
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best labels under the CRF (step, batch), and the certainty of each."""
+        """Best labels under the CRF (step, batch), and the marginal of each (of windows that are all outside: 1)."""
         e, turn = self.scores(x), self.weights["turn"]
         steps, batch, labels = e.shape
         top, back = e[0], np.empty((steps, batch, labels), np.uint8)
@@ -171,9 +254,26 @@ class Tagger:
         path[-1] = top.argmax(1)
         for t in range(steps - 1, 0, -1):
             path[t - 1] = back[t, rows, path[t]]
-        p = np.exp(e - e.max(2, keepdims=True))
-        p /= p.sum(2, keepdims=True)
-        return path, np.take_along_axis(p, path[:, :, None], 2)[:, :, 0]
+        sure, some = np.ones((steps, batch), np.float32), path.any(0)
+        if some.any():
+            p = self.marginals(e[:, some])
+            sure[:, some] = np.take_along_axis(p, path[:, some, None], 2)[:, :, 0]
+        return path, sure
+
+    def marginals(self, e: np.ndarray) -> np.ndarray:
+        """Probability of each label at each step under the CRF, from emission scores."""
+        ahead, behind = self._sums(e)
+        return np.exp(ahead + behind - np.logaddexp.reduce(ahead[-1], axis=1)[None, :, None])
+
+    def _sums(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log sums over all paths up to each label and from it on."""
+        ahead, behind, turn = np.empty_like(e), np.zeros_like(e), self.weights["turn"]
+        ahead[0] = e[0]
+        for t in range(1, len(e)):
+            ahead[t] = np.logaddexp.reduce(ahead[t - 1][:, :, None] + turn, axis=1) + e[t]
+        for t in range(len(e) - 2, -1, -1):
+            behind[t] = np.logaddexp.reduce(turn + (e[t + 1] + behind[t + 1])[:, None, :], axis=2)
+        return ahead, behind
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log-likelihood of the labels and its gradients."""
@@ -181,13 +281,8 @@ class Tagger:
         runs = {d: self._direction(x, d, True) for d in "fb"}
         both = np.concatenate([runs["f"][0], runs["b"][0]], axis=2)
         e, turn = both @ w["out"] + w["shift"], w["turn"]
-        labels, rows = e.shape[2], np.arange(batch)
-        ahead, behind = np.empty_like(e), np.zeros_like(e)
-        ahead[0] = e[0]
-        for t in range(1, steps):
-            ahead[t] = np.logaddexp.reduce(ahead[t - 1][:, :, None] + turn, axis=1) + e[t]
-        for t in range(steps - 2, -1, -1):
-            behind[t] = np.logaddexp.reduce(turn + (e[t + 1] + behind[t + 1])[:, None, :], axis=2)
+        rows = np.arange(batch)
+        ahead, behind = self._sums(e)
         whole = np.logaddexp.reduce(ahead[-1], axis=1)
         gold = sum(e[t, rows, y[t]] for t in range(steps)) + sum(turn[y[t - 1], y[t]] for t in range(1, steps))
         de = np.exp(ahead + behind - whole[None, :, None])
@@ -198,22 +293,22 @@ class Tagger:
             np.subtract.at(dturn, (y[t - 1], y[t]), 1.0)
         de /= batch
         grads = {"turn": dturn / batch, "out": np.einsum("tbh,tbl->hl", both, de), "shift": de.sum((0, 1))}
-        dboth = de @ w["out"].T
+        dboth, picked = de @ w["out"].T, np.eye(CLASSES, dtype=np.float32)[x.ravel()].T
         for n, d in enumerate("fb"):
-            table, deep = np.zeros_like(w[f"table_{d}"]), np.zeros_like(w[f"deep_{d}"])
+            deep, entered = np.zeros_like(w[f"deep_{d}"]), np.empty((steps, batch, 4 * HIDDEN), de.dtype)
             dh, dc = np.zeros((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32)
             for t, h0, c0, i, f, o, g, tc in reversed(runs[d][1]):
                 dh = dh + dboth[t, :, n * HIDDEN : (n + 1) * HIDDEN]
                 dc = dc + dh * o * (1 - tc * tc)
                 dz = np.concatenate([dc * g * i * (1 - i), dc * c0 * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], axis=1)
-                np.add.at(table, x[t], dz)
+                entered[t] = dz
                 deep += h0.T @ dz
                 dh, dc = dz @ w[f"deep_{d}"].T, dc * f
-            grads[f"table_{d}"], grads[f"deep_{d}"] = table, deep
+            grads[f"table_{d}"], grads[f"deep_{d}"] = picked @ entered.reshape(-1, 4 * HIDDEN), deep
         return float((whole - gold).mean()), grads
 
 
-def train(windows: np.ndarray, labels: np.ndarray, steps: int = STEPS, batch: int = 48, rate: float = 0.03) -> Tagger | None:
+def train(windows: np.ndarray, labels: np.ndarray, steps: int = STEPS, batch: int = 128, rate: float = 0.03) -> Tagger | None:
     """Fit a tagger on windows (n, step) of classes and labels by Adam with a falling rate; None without windows."""
     if not len(windows):
         return None
@@ -241,17 +336,45 @@ _DIGIT_OR_AT = np.zeros(CLASSES, bool)
 _DIGIT_OR_AT[[*range(48, 58), 64]] = True
 
 
+def marks(text: str, x: np.ndarray) -> np.ndarray:
+    """Places, in order, of digits, at signs and spelled signs; ``x`` are the classes of the text."""
+    plain = np.flatnonzero(_DIGIT_OR_AT[x])
+    spelled = [m.start() for m in _SPELLED.finditer(text)]
+    return np.union1d(plain, np.array(spelled, np.int64)) if spelled else plain
+
+
+def busy_starts(text: str, x: np.ndarray) -> np.ndarray:
+    """Starts of the windows that hold a mark."""
+    hits = marks(text, x)
+    if not len(hits):
+        return np.zeros(0, np.int64)
+    starts = _starts(len(x))
+    first = np.searchsorted(hits, starts)
+    return starts[(first < len(hits)) & (hits[np.minimum(first, len(hits) - 1)] < starts + WINDOW)]
+
+
 def _labelled(text: str, spans: list[Span]) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of a text that hold a digit or an at sign, and their labels."""
-    x = np.pad(classes(text), (0, WINDOW))
+    """Windows of a text that hold a mark, and their labels."""
+    x = classes(text)
     y = np.zeros(len(x), np.uint8)
     for kind, a, b in spans:
         y[a:b] = KINDS.index(kind) + 1
-    at = _starts(len(text))[:, None] + np.arange(WINDOW)
-    x = np.concatenate([x, np.zeros(max(0, at.max() + 1 - len(x)), np.uint8)])
-    y = np.concatenate([y, np.zeros(len(x) - len(y), np.uint8)])
-    hit = _DIGIT_OR_AT[x[at]].any(1)
-    return x[at][hit], y[at][hit]
+    starts = busy_starts(text, x)
+    at = starts[:, None] + np.arange(WINDOW)
+    x, y = np.pad(x, (0, WINDOW)), np.pad(y, (0, WINDOW))
+    return x[at], y[at]
+
+
+def training_windows(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and labels of a text, and of ``WAYS`` rewritings of it where it has spans."""
+    base = base_spans(text)
+    both = [_labelled(text, base)]
+    for n in range(WAYS if base else 0):
+        other, found = rewritten(text, base, np.random.default_rng([n, len(text), *(a for _, a, _ in base[:4])]))
+        clear = [s for s in base_spans(other) if all(s[2] <= f[1] or f[2] <= s[1] for f in found)]
+        both.append(_labelled(other, found + clear))
+    xs, ys = zip(*both, strict=True)
+    return np.concatenate(xs), np.concatenate(ys)
 
 
 def model_spans(texts: list[str], tagger: Tagger) -> list[list[Span]]:
@@ -270,12 +393,7 @@ def model_spans(texts: list[str], tagger: Tagger) -> list[list[Span]]:
 
     for n, text in enumerate(texts):
         x = classes(text)
-        hits = np.flatnonzero(_DIGIT_OR_AT[x])
-        if not len(hits):
-            continue
-        starts = _starts(len(x))
-        first = np.searchsorted(hits, starts)
-        for start in starts[(first < len(hits)) & (hits[np.minimum(first, len(hits) - 1)] < starts + WINDOW)]:
+        for start in busy_starts(text, x):
             window = x[start : start + WINDOW]
             rows.append(np.pad(window, (0, WINDOW - len(window))))
             waiting.append((n, int(start)))
@@ -286,6 +404,10 @@ def model_spans(texts: list[str], tagger: Tagger) -> list[list[Span]]:
     return [_reconciled(texts[n], found.get(n, [])) for n in range(len(texts))]
 
 
+#: Characters that a span of the model neither starts nor ends with.
+_EDGES = frozenset(" \t\n,;:.!?\"'/-")
+
+
 def _reconciled(text: str, decoded: list[tuple[int, np.ndarray, np.ndarray]]) -> list[Span]:
     """Each character takes the label of the window whose centre is nearest; spans are runs of one label."""
     side = (WINDOW - STRIDE) // 2
@@ -303,8 +425,19 @@ def _reconciled(text: str, decoded: list[tuple[int, np.ndarray, np.ndarray]]) ->
         while j + 1 < len(at) and at[j + 1] == at[j] + 1 and labels[at[j + 1]][0] == labels[at[i]][0]:
             j += 1
         a, b = at[i], at[j] + 1
-        if b - a >= 7 and sum(labels[k][1] for k in range(a, b)) / (b - a) >= SURE and plausible(KINDS[labels[a][0] - 1], text[a:b]):
-            spans.append((KINDS[labels[a][0] - 1], a, b))
+        kind, sure = KINDS[labels[a][0] - 1], sum(labels[k][1] for k in range(a, b)) / (b - a)
+        while a < b and text[a] in _EDGES:
+            a += 1
+        while a < b and text[b - 1] in _EDGES:
+            b -= 1
+        # A word is taken whole; one that goes on for more than a window fails the checks.
+        low, high = max(0, a - WINDOW), min(len(text), b + WINDOW)
+        while low < a < b and text[a].isalnum() and text[a - 1].isalnum():
+            a -= 1
+        while a < b < high and text[b - 1].isalnum() and text[b].isalnum():
+            b += 1
+        if b - a >= 7 and sure >= SURE and plausible(kind, text[a:b]):
+            spans.append((kind, a, b))
         i = j + 1
     return spans
 
@@ -318,31 +451,30 @@ def all_spans(texts: list[str], tagger: Tagger | None) -> Iterator[tuple[list[Sp
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS, train_windows: int = TRAIN_WINDOWS) -> Tagger | None:
-    """Train on the base spans of a sample: about ``train_rows`` rows by a hash of key and length, and of
-    their windows at most ``train_windows``, half of them without a span."""
+    """Train on the spans of a sample: about ``train_rows`` rows by a hash of key and length, and of their
+    windows (``training_windows``) at most ``train_windows`` with a span and half as many without, by a hash of the window."""
     size = docs.count()
     if not size:
         return None
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            xs, ys = [], []
-            for t in batch.column("_text").to_pylist():
-                x, y = _labelled(t, base_spans(t)) if t else (np.zeros((0, WINDOW), np.uint8),) * 2
-                hit = np.flatnonzero(y.any(1))[:4]
-                clean = np.flatnonzero(~y.any(1))[: max(1, len(hit))]
-                xs += [v.tobytes() for v in x[[*hit, *clean]]]
-                ys += [v.tobytes() for v in y[[*hit, *clean]]]
-            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), pa.array(ys, pa.binary())], names=["x", "y"])
+            for t in filter(None, batch.column("_text").to_pylist()):
+                x, y = training_windows(t)
+                columns = [pa.array([v.tobytes() for v in x], pa.binary()), pa.array([v.tobytes() for v in y], pa.binary()), pa.array(y.any(1))]
+                yield pa.RecordBatch.from_arrays(columns, names=["x", "y", "some"])
 
     share = min(1.0, train_rows / size)
     rows = (
         docs.select(F.col(f"`{text}`").alias("_text"), F.xxhash64(F.col(f"`{key}`"), F.length(F.col(f"`{text}`"))).alias("_h"))
         .filter(F.col("_text").isNotNull() & (F.pmod(F.col("_h"), F.lit(1 << 30)) < share * (1 << 30)))
         .select("_text")
-        .mapInArrow(windows, "x binary, y binary")
+        .mapInArrow(windows, "x binary, y binary, some boolean")
     )
-    found = sorted(rows.distinct().orderBy(F.xxhash64("x")).limit(train_windows).collect())
+    rows = saved(rows.distinct(), "personal-windows")
+    least = lambda some, n: rows.filter(F.col("some") == some).orderBy(F.xxhash64("x"), "x", "y").limit(n).select("x", "y").collect()
+    found = sorted(least(True, train_windows) + least(False, train_windows // 2))
+    discard(rows)
     if not found:
         return None
     stack = lambda name: np.array([np.frombuffer(bytes(r[name]), np.uint8) for r in found])

@@ -1,5 +1,6 @@
 """Languages, personal data and pieces against brute force, round trips and held-out accuracy."""
 
+import itertools
 import random
 import re
 
@@ -101,10 +102,94 @@ def test_a_trained_tagger_finds_what_it_was_taught():
     assert [personal_data.model_spans([t], tagger)[0] for t in texts[:5]] == found[:5]
 
 
-def test_personal_data_of_edges(edges, nothing):
+@pytest.fixture(scope="module")
+def taught(spark):
+    """A model of three quarters of the documents (enough to fill the sample), and the texts of the other quarter."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    return personal_data.fit(docs.filter("doc_id % 4 <> 0")), [r.text for r in docs.filter("doc_id % 4 = 0 and text is not null").orderBy("doc_id").collect()]
+
+
+def test_data_written_in_other_ways_is_found(taught):
+    tagger, texts = taught
+    found = wanted = wrong = 0
+    for seed in range(3):
+        r = np.random.default_rng([2024, seed])
+        made = [personal_data.rewritten(t, personal_data.base_spans(t), r) for t in texts]
+        got = personal_data.all_spans([t for t, _ in made], tagger)
+        for (text, planted_spans), (base, both) in zip(made, got, strict=True):
+            clear = {s for s in planted_spans if personal_data.plausible(s[0], text[s[1] : s[2]]) and all(s[2] <= b[1] or b[2] <= s[1] for b in base)}
+            added = set(both) - set(base)
+            assert set(base) <= set(both)
+            found, wanted, wrong = found + len(clear & added), wanted + len(clear), wrong + len(added - clear)
+    assert wanted > 200 and found >= 0.8 * wanted and wrong <= 0.05 * found
+
+
+def test_texts_without_data_get_no_spans(taught):
+    tagger, texts = taught
+    clean = [t for t in texts if not personal_data.base_spans(t)]
+    alike = ["on 2024-05-17 08:30 it cost 1,234,567.89 in version 10.4.2", "ISBN 978-3-16-148410-1, dot by dot, at 10:30", "", "x" * 100_000]
+    assert len(clean) > 500 and not any(both for _, both in personal_data.all_spans(clean + alike, tagger))
+
+
+@pytest.mark.parametrize(
+    ("kind", "text", "good"),
+    [
+        ("email", "ann [at] post (dot) example DOT org", True),
+        ("email", "ann at the post", False),
+        ("ip", "10 . 0 . 0 . 7", True),
+        ("ip", "10 . 0 , 0 . 7", False),
+        ("ip", "10[.]0[.]0[.]300", False),
+        ("card", "4111  1111  1111  1111", True),
+        ("card", "4111  1111  1111  1112", False),
+        ("phone", "(030) 555-0199", True),
+        ("phone", "2024123456", False),
+        ("phone", "2024-05-17 08:30", False),
+    ],
+)
+def test_checks_of_other_ways(kind, text, good):
+    assert personal_data.plausible(kind, text) is good
+
+
+def test_marginals_against_all_paths():
+    tagger, r = personal_data.Tagger.fresh(), np.random.default_rng(3)
+    tagger.weights["turn"] = r.normal(0, 1, (5, 5)).astype(np.float32)
+    e = r.normal(0, 1, (4, 1, 5))
+    want = np.zeros((4, 5))
+    for path in itertools.product(range(5), repeat=4):
+        weight = np.exp(sum(e[t, 0, path[t]] for t in range(4)) + sum(tagger.weights["turn"][path[t - 1], path[t]] for t in range(1, 4)))
+        for t in range(4):
+            want[t, path[t]] += weight
+    assert np.allclose(tagger.marginals(e)[:, 0], want / want.sum(1, keepdims=True), atol=1e-5)
+
+
+def plain_spans(text):
+    """The base rules by their patterns alone."""
+    digits = lambda s: "".join(c for c in s if c in "0123456789")
+    rules = [
+        ("email", EMAIL, lambda m: True),
+        ("ip", IP, lambda m: all(int(p) <= 255 for p in m.split("."))),
+        ("card", re.compile(r"[0-9]([\x20-]?[0-9])+"), lambda m: 13 <= len(digits(m)) <= 19 and personal_data.luhn(digits(m))),
+        ("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"), lambda m: 9 <= len(digits(m)) <= 15),
+    ]
+    return [(k, *m.span()) for k, p, good in rules for m in p.finditer(text) if good(m[0])]
+
+
+def test_base_columns_of_all_documents(spark, taught):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = personal_data.find(docs, taught[0]).select("row.doc_id", "row.text", personal_data.spans_text("base").alias("base"), personal_data.spans_text("spans").alias("spans")).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        want = plain_spans(r.text or "")
+        assert r.base == personal_data.written(want)
+        assert set(filter(None, r.base.split(","))) <= set(r.spans.split(","))
+
+
+def test_personal_data_of_edges(edges, nothing, taught):
     assert personal_data.fit(nothing) is None
-    rows = personal_data.find(edges, None).select("row.doc_id", personal_data.spans_text("spans").alias("s")).collect()
-    assert len(rows) == edges.count() and {r.s for r in rows} == {""}
+    for tagger in (None, taught[0]):
+        rows = personal_data.find(edges, tagger).select("row.doc_id", personal_data.spans_text("spans").alias("s")).collect()
+        assert len(rows) == edges.count() and {r.s for r in rows} == {""}
+        assert personal_data.find(nothing, tagger).count() == 0
 
 
 # --- pieces ---
