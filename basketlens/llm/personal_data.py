@@ -36,7 +36,7 @@ WINDOW, STRIDE = 96, 48
 #: Units per direction; windows at a time; mean certainty of a span that the model adds.
 HIDDEN, TOGETHER, SURE = 24, 2_048, 0.6
 #: Rows (about) and windows (at most, of each sort) of the training sample, and steps of the descent.
-TRAIN_ROWS, TRAIN_WINDOWS, STEPS = 4_000, 3_000, 400
+TRAIN_ROWS, TRAIN_WINDOWS, STEPS = 4_000, 3_000, 220
 #: Other ways of writing each text of the sample that has spans.
 WAYS = 20
 
