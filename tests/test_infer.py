@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from basketlens.sources import files
+from basketlens.sources import files, infer
 from basketlens.sources.infer import column_types, read_inferred
 
 CASES = {
@@ -50,3 +50,30 @@ def test_types_need_one_scan(spark):
 
 def test_no_rows(spark):
     assert {r.type for r in column_types(texts(spark).limit(0)).collect()} == {"string"}
+
+
+def test_the_types_that_were_found_are_not_searched_for_again(spark, tmp_path):
+    """The table of types is read off the rows that typed the table, without another scan of the files."""
+    path = files.write_table(texts(spark), str(tmp_path / "x"), "csv")
+    found = read_inferred(spark, path)[1]
+    assert "csv" not in found._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_odd_cells_fit_as_their_own_tests_say(spark):
+    """Counts of the cells each type holds, one type at a time, beside the class of each cell."""
+    cells = ["", " 1", "1 ", "1\n", "+", "-1", "1.", ".", ".5", "1e5", "Infinity", "-Infinity", "NaN", "nan", "0x1", "2147483648", "9" * 19, "9" * 18,
+             "2024-01-01", "2024-13-01", "2024-01-01 10:00", "2024-01-01T25:00", "0000-01-01", "10000-01-01", "TRUE", "tRue", "t", "false ", "Fall", "Next", "٣", None]
+    df = spark.createDataFrame([(c,) for c in cells], "cell string")
+    c = F.col("cell")
+    whole = c.rlike(r"^[+-]?\d+$")
+    fits = {
+        "int": whole & c.try_cast("int").isNotNull(),
+        "bigint": whole & c.try_cast("bigint").isNotNull(),
+        "double": c.rlike(infer._NUMBER),
+        "date": c.rlike(infer._DAY) & c.try_cast("date").isNotNull(),
+        "timestamp": (c.rlike(infer._DAY) | c.rlike(infer._MOMENT)) & c.try_cast("timestamp").isNotNull(),
+        "boolean": F.lower(c).isin("true", "false"),
+    }
+    for r in df.where("cell is not null").select("cell", infer._narrowest(c).alias("kind"), *[x.alias(k) for k, x in fits.items()]).collect():
+        kind = infer._KINDS[r.kind] if r.kind < len(infer._KINDS) else None
+        assert {k for k in fits if r[k]} == {k for k, held in infer._HOLDS.items() if kind in held}, r.cell
