@@ -8,7 +8,7 @@ from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import RDD, StorageLevel, inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +22,8 @@ from basketlens.sources.files import materialised
 MOST_COLUMNS = 32
 #: What rounding may take from a bound on distances.
 SLACK = 1e-9
+#: Rows that are handed over, and measured against all centres, as one array.
+PACK = 2_000
 
 
 @dataclass
@@ -179,15 +181,15 @@ def fit_segments(
     kept = materialised(complete_cases(df.select(*[f"`{c}`" for c in columns]), columns), "complete")
     standard = fit_standardizer(kept, columns)
     scaled = kept.select(*[standard.scaled(c).cast("double").alias(f"z{i}") for i, c in enumerate(columns)])
+    pool = _starting_rows(scaled, restarts * k, seed)
+    starts = [random.Random(seed + r).sample(pool, min(k, len(pool))) for r in range(restarts)]
     # One spillable copy for all steps.
-    scaled.persist(StorageLevel.MEMORY_AND_DISK)
+    points = _packed(scaled).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        pool = _starting_rows(scaled, restarts * k, seed)
-        starts = [random.Random(seed + r).sample(pool, min(k, len(pool))) for r in range(restarts)]
-        centres, steps = _at_rest(scaled, np.array(starts, float), tolerance, max_iter)
-        costs = _step(scaled, centres)[2]
+        centres, steps = _at_rest(points, np.array(starts, float), tolerance, max_iter)
+        costs = _step(points, centres)[2]
     finally:
-        scaled.unpersist()
+        points.unpersist()
     best = int(np.argmin(costs))
     return Segments(
         columns,
@@ -210,11 +212,24 @@ def _starting_rows(scaled: DataFrame, wanted: int, seed: int) -> list[tuple[floa
     return list(found)[:wanted]
 
 
-def _at_rest(scaled: DataFrame, centres: np.ndarray, tolerance: float, max_iter: int) -> tuple[np.ndarray, list[int]]:
+def _packed(scaled: DataFrame) -> RDD:
+    """Many rows as one string of bytes, ``PACK`` rows at most in each, so that a step hands them to numpy as they are."""
+    width = len(scaled.columns)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(width)])
+            for start in range(0, len(z), PACK):
+                yield pa.record_batch({"points": pa.array([z[start : start + PACK].tobytes()], pa.binary())})
+
+    return scaled.mapInArrow(pack, "points binary").rdd.map(lambda row: bytes(row.points))
+
+
+def _at_rest(points: DataFrame | RDD, centres: np.ndarray, tolerance: float, max_iter: int) -> tuple[np.ndarray, list[int]]:
     """Centres (restart, centre, column) once none moves any more, and the steps each restart took."""
     steps, moving = [0] * len(centres), list(range(len(centres)))
     while moving:
-        sums, counts, _ = _step(scaled, centres[moving])
+        sums, counts, _ = _step(points, centres[moving])
         # A centre without rows stays where it is.
         means = np.where(counts[..., None] > 0, sums / np.maximum(counts, 1)[..., None], centres[moving])
         moved = np.sqrt(((means - centres[moving]) ** 2).sum(axis=2)).max(axis=1)
@@ -227,38 +242,37 @@ def _at_rest(scaled: DataFrame, centres: np.ndarray, tolerance: float, max_iter:
     return centres, steps
 
 
-def _step(scaled: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums and counts of the rows nearest to each centre, and the cost, for all sets of centres in one scan."""
+def _step(points: DataFrame | RDD, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums and counts of the rows nearest to each centre, and the cost, for all sets of centres in one scan.
+
+    ``points`` are rows, or packed rows where several steps need them.  A row is nearest to the first
+    centre of a set at the least distance.
+    """
+    if isinstance(points, DataFrame):
+        points = _packed(points)
     sets, k, width = centres.shape
     squares = (centres**2).sum(axis=2)
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, counts, cost = np.zeros((sets, k, width)), np.zeros((sets, k)), np.zeros(sets)
-        for batch in batches:
-            z = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(width)])
-            far = squares[:, :, None] - 2 * (centres @ z.T)
-            label = far.argmin(axis=1)
-            cost += np.maximum(np.take_along_axis(far, label[:, None, :], 1)[:, 0] + (z**2).sum(axis=1), 0).sum(axis=1)
-            for r in range(sets):
-                counts[r] += np.bincount(label[r], minlength=k)
-                for i in range(width):
-                    sums[r, :, i] += np.bincount(label[r], z[:, i], k)
-        yield pa.record_batch(
-            {
-                "at": pa.array(np.arange(sets * k), pa.int32()),
-                "n": pa.array(counts.ravel()),
-                "cost": pa.array(np.repeat(cost / k, k)),
-                **{f"s{i}": pa.array(sums[:, :, i].ravel()) for i in range(width)},
-            }
-        )
-
-    columns = ["n", "cost", *[f"s{i}" for i in range(width)]]
-    parts = scaled.mapInArrow(nearest, ", ".join(["at int", *[f"{c} double" for c in columns]]))
-    total = np.zeros((sets * k, len(columns)))
-    for row in parts.groupBy("at").agg(*[F.sum(c).alias(c) for c in columns]).collect():  # k rows a restart
-        total[row["at"]] = row[1:]
-    total = total.reshape(sets, k, len(columns))
-    return total[..., 2:], total[..., 0], total[..., 1].sum(axis=1)
+    # Distances less the row's own square, as one product with (row, 1).
+    forms = np.concatenate([-2 * centres, squares[:, :, None]], axis=2).reshape(sets * k, width + 1)
+
+    def nearest(packs: Iterator[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        found, cost = np.zeros((sets * k, width + 1)), np.zeros(sets)
+        for pack in packs:
+            z = np.frombuffer(pack).reshape(-1, width)
+            ones = np.concatenate([z, np.ones((len(z), 1))], axis=1)
+            far = (forms @ ones.T).reshape(sets, k, len(z))
+            least = far.min(axis=1)
+            mine = far <= least[:, None]
+            if np.count_nonzero(mine) != sets * len(z):  # ties
+                mine &= mine.cumsum(axis=1) == 1
+            cost += np.maximum(least + (z**2).sum(axis=1), 0).sum(axis=1)
+            found += mine.reshape(sets * k, len(z)).astype(float) @ ones
+        yield found, cost
+
+    # k rows a restart from each task, added up in two stages.
+    total, cost = points.mapPartitions(nearest).treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1]))
+    total = total.reshape(sets, k, width + 1)
+    return total[..., :width], total[..., width], cost
 
 
 def run_parallel(spark: SparkSession, jobs: list[Callable], threads: int) -> list:

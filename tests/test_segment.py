@@ -139,3 +139,16 @@ def test_many_centres_equal_brute_force(spark, k):
         z = ((x - 0.5) / 2.0, (y + 0.25) / 0.5)
         far = (z[0] - centres[:, 0]) ** 2 + (z[1] - centres[:, 1]) ** 2
         assert found[i].cluster == int(far.argmin()) + 1 and found[i].distance == pytest.approx(far.min(), abs=1e-12)
+
+
+def test_a_tie_counts_for_the_first_centre_alone_and_steps_read_packed_rows(spark):
+    import numpy as np
+
+    df = spark.createDataFrame([(0.0, 1.0), (1.0, 1.0), (0.5, 1.0)] * 1_000, "z0 double, z1 double").coalesce(1)
+    packed = segment._packed(df)
+    assert sorted(map(len, packed.collect())) == [1_000 * 16, segment.PACK * 16]
+    centres = np.array([[[0.0, 1.0], [1.0, 1.0]], [[1.0, 1.0], [1.0, 1.0]]])
+    sums, counts, cost = segment._step(packed, centres)
+    assert counts.tolist() == [[2_000, 1_000], [3_000, 0]]
+    assert sums.tolist() == [[[500.0, 2_000.0], [1_000.0, 1_000.0]], [[1_500.0, 3_000.0], [0.0, 0.0]]]
+    assert cost.tolist() == [250.0, 1_250.0]
