@@ -165,7 +165,7 @@ def split_export(spark, d):
     made = predict.prepare(_shop(spark, d))
     out = None
     for name, part in (("train", made.train), ("test", made.test)):
-        path = write_table(part, work_path(spark, name), "csv")
+        path = write_table(part, work_path(spark, name), "csv", compression="gzip")
         back = read_csv(spark, path, stringify_nested(part).schema)
         hot = sum(
             (F.when(F.col(c).contains("[1.0]"), 1).otherwise(0) for c in CATEGORICAL), F.lit(0)

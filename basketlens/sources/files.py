@@ -54,15 +54,21 @@ def stringify_nested(df: DataFrame) -> DataFrame:
     return df.withColumns(exprs) if exprs else df
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", null_text: str | None = None) -> str:
-    """Write with one task per partition; ``fmt`` is parquet or csv."""
+def write_table(
+    df: DataFrame, path: str, fmt: str = "parquet", null_text: str | None = None, compression: str | None = None
+) -> str:
+    """Write with one task per partition; ``fmt`` is parquet or csv.
+
+    ``compression`` is a codec of the format.  Encoded rows are long texts that say little, so their CSV is
+    best written with one; a compressed file is read by one task.
+    """
     if fmt == "csv":
         writer = stringify_nested(df).write.mode("overwrite").option("header", True)
         if null_text is not None:
             writer = writer.option("nullValue", null_text)
-        writer.csv(path)
+        writer.csv(path, compression=compression)
     elif fmt == "parquet":
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(path, compression=compression)
     else:
         raise ValueError(f"unknown format {fmt!r}")
     return path

@@ -121,3 +121,15 @@ def test_positions_over_thousands_of_files_in_blocks(spark, tmp_path, monkeypatc
     assert got.where("position != id").count() == 0 and got.count() == 4000
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "windowspecdefinition(_block" in plan and "windowspecdefinition(_place" not in plan
+
+
+def test_encoded_rows_take_little_room_as_csv(spark, tmp_path):
+    """One-hot vectors repeat the same text in every row: compressed, they are read back as they were."""
+    hot = spark.range(0, 4_000, 1, 2).select("id", F.array(F.lit(5.0), (F.col("id") % 7).cast("double")).alias("v"))
+    size = {}
+    for codec in (None, "gzip"):
+        path = tmp_path / str(codec)
+        back = files.read_csv(spark, files.write_table(hot, str(path), "csv", compression=codec), files.stringify_nested(hot).schema)
+        assert back.exceptAll(files.stringify_nested(hot)).count() == 0 and back.count() == 4_000
+        size[codec] = sum(f.stat().st_size for f in path.iterdir())
+    assert size["gzip"] * 3 < size[None]
