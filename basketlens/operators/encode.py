@@ -87,14 +87,15 @@ class CategoryDictionary:
         the index stays beside it under that suffix.
         """
         suffix = keep_index or "_index"
-        indexes = [c + suffix for c in self.columns]
-        vectors = [f"{c}_onehot" for c in self.columns]
-        indexed = self.index(df, suffix).drop(*self.columns)
-        encoder = OneHotEncoder(inputCols=indexes, outputCols=vectors, dropLast=True)
+        encoded = self.vectors(self.index(df, suffix).drop(*self.columns), suffix)
+        return encoded if keep_index else encoded.drop(*[c + suffix for c in self.columns])
+
+    def vectors(self, indexed: DataFrame, suffix: str = "_index") -> DataFrame:
+        """Add each column's one-hot vector to the indexes that ``index`` made."""
+        names = [f"{c}_onehot" for c in self.columns]
+        encoder = OneHotEncoder(inputCols=[c + suffix for c in self.columns], outputCols=names, dropLast=True)
         encoded = encoder.fit(indexed).transform(indexed)
-        if keep_index is None:
-            encoded = encoded.drop(*indexes)
-        return encoded.withColumnsRenamed(dict(zip(vectors, self.columns)))
+        return encoded.withColumnsRenamed(dict(zip(names, self.columns)))
 
 
 def fit_dictionary(

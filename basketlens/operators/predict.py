@@ -1,6 +1,7 @@
 """Random forests that predict any column from the others, and their metrics."""
 
-from dataclasses import dataclass
+from collections.abc import Iterable
+from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml import Model
@@ -25,8 +26,10 @@ from basketlens.schema import CUSTOMER_ID, ROW_KEY, has, is_floating
 from basketlens.sources.files import materialised
 
 RATING = "review_rating"
-# Pieces that the rows of a forest are dealt into; its bootstrap depends on them, so they depend on nothing else.
+# Pieces that the rows of a forest are dealt into, and rows from which there are more; its bootstrap depends on them,
+# so they depend on the number of rows and nothing else.
 FOREST_PARTITIONS = 32
+FOREST_ROWS = 250_000
 BINS = {
     "age": age_bin,
     "purchase_amount": purchase_amount_bin,
@@ -68,17 +71,20 @@ def prepare(
     return Prepared(encode(train), encode(test), dictionary, standardizer)
 
 
-def cached(df: DataFrame, partitions: int = FOREST_PARTITIONS) -> DataFrame:
+def cached(df: DataFrame, partitions: int | None = None, without: Iterable[str] = ()) -> DataFrame:
     """Fill a spillable cache for iterative work, dealt and ordered by a hash of the rows.
 
     A forest's bootstrap follows the order of the rows in their partitions.  By a hash they
-    are the same for any number of cores and any split of the input; set ``partitions``
-    for the cluster, and keep it for results to be compared.
+    are the same for any number of cores and any split of the input; unless ``partitions`` is given,
+    there are as many as the number of rows asks for.  The columns ``without`` count for the hash only.
     """
+    if partitions is None:
+        partitions = max(FOREST_PARTITIONS, -(-df.count() // FOREST_ROWS))
     # Fractions are rounded: the last digits of a fitted mean follow the order in which it was summed.
     cells = [F.round(f"`{c}`", 6) if is_floating(df, c) else F.col(f"`{c}`") for c in df.columns]
     place = F.xxhash64(*cells)
-    spread = df.withColumn("_place", place).repartition(partitions, "_place").sortWithinPartitions("_place").drop("_place")
+    spread = df.withColumn("_place", place).drop(*without)
+    spread = spread.repartition(partitions, "_place").sortWithinPartitions("_place").drop("_place")
     spread = spread.persist(StorageLevel.MEMORY_AND_DISK)
     spread.count()
     return spread
@@ -92,21 +98,23 @@ class ModelFrame:
     test: DataFrame
     categorical: list[str]
     rating: str = f"{RATING}_scaled"
+    stored: list[DataFrame] = field(default_factory=list)
 
     @property
     def targets(self) -> list[str]:
         return [*self.categorical, self.rating]
 
     def release(self) -> None:
-        self.train.unpersist()
-        self.test.unpersist()
+        for part in self.stored:
+            part.unpersist()
 
 
 def model_frame(df: DataFrame, key: str = ROW_KEY, flatten: bool = False) -> ModelFrame:
     """Encode once and cache once, for every target.
 
     Null is a category of its own.  ``flatten`` reduces each attribute to its first
-    slot ("is it category 0?"), as a feature and as a label.
+    slot ("is it category 0?"), as a feature and as a label.  Whole vectors are neither shuffled nor
+    cached: they are made of the indexes beside them whenever rows are read.
     """
     made = prepare(df, key, null_slot=True, keep_index="_y")
     frame = ModelFrame(made.train, made.test, made.dictionary.columns)
@@ -130,7 +138,13 @@ def model_frame(df: DataFrame, key: str = ROW_KEY, flatten: bool = False) -> Mod
             out = out.withMetadata(f"{c}_y", {"ml_attr": {"type": "nominal", "num_vals": 2}})
         return out
 
-    frame.train, frame.test = cached(shape(frame.train)), cached(shape(frame.test))
+    vectors = [] if flatten else frame.categorical
+    shaped = [shape(frame.train), shape(frame.test)]
+    frame.stored = [cached(part, without=vectors) for part in shaped]
+    if vectors:
+        frame.train, frame.test = [made.dictionary.vectors(part, "_y").select(*shaped[0].columns) for part in frame.stored]
+    else:
+        frame.train, frame.test = frame.stored
     return frame
 
 

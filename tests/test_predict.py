@@ -101,3 +101,20 @@ def test_metrics_do_not_depend_on_how_the_input_is_cut(spark):
 def test_caches_are_released(spark):
     predict.predict_all_targets(purchases(spark, 300), targets=["gender"], trees=2, depth=2)
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+
+
+def test_rows_of_a_forest_lie_in_as_many_pieces_as_they_need_and_without_vectors(spark, monkeypatch):
+    """Neither the rows of a piece nor what is cached of a row grows with the table or with the width of its vectors."""
+    monkeypatch.setattr(predict, "FOREST_ROWS", 20)
+    frame = predict.model_frame(purchases(spark))
+    try:
+        n = frame.stored[0].count()
+        assert frame.stored[0].rdd.getNumPartitions() == -(-n // 20) > predict.FOREST_PARTITIONS
+        assert frame.stored[1].rdd.getNumPartitions() == max(32, -(-(1_500 - n) // 20))
+        assert not any(t.startswith("vector") for _, t in frame.stored[0].dtypes)
+        assert sum(t.startswith("vector") for _, t in frame.train.dtypes) == len(frame.categorical)
+        slots = frame.train.select(F.array_position(vector_to_array("color"), 1.0) - 1, "color_y").distinct().collect()
+        assert len(slots) == 3 and all(a == b for a, b in slots)
+    finally:
+        frame.release()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
