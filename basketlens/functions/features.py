@@ -77,6 +77,15 @@ def first_slot(encoded: Column) -> Column:
     )
 
 
+def vector_head(vector: Column) -> Column:
+    """An ML vector's first entry as an array of one (or none), at no cost for its width."""
+    parts = F.unwrap_udt(vector)
+    values, at = parts["values"], F.array_position(parts["indices"], F.lit(0)).cast("int")
+    sparse = F.when(parts["size"] > 0, F.array(F.when(at > 0, F.try_element_at(values, at)).otherwise(F.lit(0.0))))
+    known = F.when(parts["type"] == 1, F.slice(values, 1, 1)).otherwise(F.coalesce(sparse, F.array().cast("array<double>")))
+    return F.when(vector.isNotNull(), known)
+
+
 def rounder(half_even: bool = False):
     """``round`` as Spark does it (half up), or half to even."""
     return F.bround if half_even else F.round

@@ -4,6 +4,7 @@ Everything is fitted on the training rows only and applied to any frame.
 """
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.feature import OneHotEncoder
@@ -52,22 +53,31 @@ class CategoryDictionary:
 
         The column carries its number of categories, so the ML stages need no extra pass.
         """
+        return self._looked_up(df, suffix, self._values)
+
+    def _values(self, c: str) -> DataFrame:
+        """The dictionary of a column as (text, slot), under the names that ``_looked_up`` joins by."""
+        return self.tables[c].select(F.col("value").alias(f"_t_{c}"), F.col("slot").alias(f"_s_{c}"))
+
+    def _looked_up(self, df: DataFrame, suffix: str, values: Callable[[str], DataFrame]) -> DataFrame:
+        """Join each column's ``values`` to the rows and make its index; what else ``values`` holds stays."""
         texts = {f"_t_{c}": F.col(f"`{c}`").cast("string") for c in self.columns}
         out = df.withColumns(texts)
-        for c, table in self.tables.items():
+        for c in self.columns:
             # No hint: Spark's own threshold decides.  A hot value makes a hot partition of
             # the left side only, which adaptive execution splits.
-            values = table.select(F.col("value").alias(f"_t_{c}"), F.col("slot").alias(f"_s_{c}"))
-            out = out.join(values, f"_t_{c}", "left")
+            out = out.join(values(c), f"_t_{c}", "left")
             slot = F.coalesce(F.col(f"_s_{c}"), F.lit(self.widths[c]))
             if self.null_slot:
                 slot = F.when(F.col(f"_t_{c}").isNull(), F.lit(self.widths[c] - 1)).otherwise(slot)
             out = out.withColumn(c + suffix, slot.cast("double")).drop(f"_s_{c}")
         for c in self.columns:
-            attribute = {"type": "nominal", "name": c + suffix, "num_vals": self.widths[c] + 1}
-            out = out.withMetadata(c + suffix, {"ml_attr": attribute})
+            out = out.withMetadata(c + suffix, self._attribute(c, suffix))
         return out.drop(*texts)
 
+    def _attribute(self, c: str, suffix: str) -> dict:
+        return {"ml_attr": {"type": "nominal", "name": c + suffix, "num_vals": self.widths[c] + 1}}
+
     def index_int(self, df: DataFrame, suffix: str = "_index") -> DataFrame:
         """As ``index``, with an int and -1 for unseen or null."""
         out = self.index(df, suffix)
@@ -79,23 +89,60 @@ class CategoryDictionary:
             }
         )
 
-    def one_hot(self, df: DataFrame, keep_index: str | None = None) -> DataFrame:
+    def one_hot(
+        self, df: DataFrame, keep_index: str | None = None, then: Callable[[DataFrame], DataFrame] | None = None
+    ) -> DataFrame:
         """Replace each column by its one-hot vector, one slot per known value.
 
         The index of unseen values is one past the known ones, and the encoder drops
         the last slot, so unseen and null become the zero vector.  With ``keep_index``
-        the index stays beside it under that suffix.
+        the index stays beside it under that suffix.  A vector is made once per value of the
+        dictionary and joined to the rows.  ``then`` changes vector columns of any frame row by row
+        (to text, say) and is likewise done once per value.
         """
         suffix = keep_index or "_index"
-        encoded = self.vectors(self.index(df, suffix).drop(*self.columns), suffix)
-        return encoded if keep_index else encoded.drop(*[c + suffix for c in self.columns])
+        hot: dict[str, DataFrame] = {}
+
+        def encoded(frame: DataFrame, columns: list[str]) -> DataFrame:
+            frame = frame.withColumns({c + suffix: F.col(c + suffix).cast("double") for c in columns})
+            for c in columns:
+                frame = frame.withMetadata(c + suffix, self._attribute(c, suffix))
+            frame = self.vectors(frame, suffix, columns)
+            return then(frame) if then else frame
+
+        def values(c: str) -> DataFrame:
+            known = self._values(c)
+            hot[c] = encoded(known.withColumn(c + suffix, F.col(f"_s_{c}")), [c])
+            return hot[c].select(*known.columns, F.col(f"`{c}`").alias(f"_v_{c}"))
+
+        def constant(below: int) -> Column:
+            """What the rows get that the dictionary has no value for: one row, the encoding of width - ``below``."""
+            one = df.sparkSession.range(1).select(*[F.lit(self.widths[c] - below).alias(c + suffix) for c in self.columns])
+            return encoded(one, self.columns).select(F.struct(*[F.col(f"`{c}`") for c in self.columns])).scalar()
+
+        if not self.columns:
+            return df
+        out = self._looked_up(df, suffix, values)
+        unseen, null = constant(0), constant(1) if self.null_slot else None
+
+        def vector(c: str) -> Column:
+            found = F.coalesce(F.col(f"_v_{c}"), unseen.getField(c))
+            return F.when(F.col(f"`{c}`").isNull(), null.getField(c)).otherwise(found) if self.null_slot else found
+
+        rest = [f"`{c}`" for c in df.columns if c not in self.columns]
+        indexes = [c + suffix for c in self.columns] if keep_index else []
+        made = {c: vector(c) for c in self.columns}
+        return out.select(
+            *rest, *[f"`{c}`" for c in indexes], *[x.alias(c, metadata=hot[c].schema[c].metadata) for c, x in made.items()]
+        )
 
-    def vectors(self, indexed: DataFrame, suffix: str = "_index") -> DataFrame:
-        """Add each column's one-hot vector to the indexes that ``index`` made."""
-        names = [f"{c}_onehot" for c in self.columns]
-        encoder = OneHotEncoder(inputCols=[c + suffix for c in self.columns], outputCols=names, dropLast=True)
+    def vectors(self, indexed: DataFrame, suffix: str = "_index", columns: list[str] | None = None) -> DataFrame:
+        """Add the one-hot vectors of ``columns`` (default: all) to the indexes that ``index`` made."""
+        columns = self.columns if columns is None else columns
+        names = [f"{c}_onehot" for c in columns]
+        encoder = OneHotEncoder(inputCols=[c + suffix for c in columns], outputCols=names, dropLast=True)
         encoded = encoder.fit(indexed).transform(indexed)
-        return encoded.withColumnsRenamed(dict(zip(names, self.columns)))
+        return encoded.withColumnsRenamed(dict(zip(names, columns)))
 
 
 def fit_dictionary(

@@ -1,19 +1,19 @@
 """Random forests that predict any column from the others, and their metrics."""
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml import Model
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.functions.bins import age_bin, previous_purchases_bin, purchase_amount_bin
-from basketlens.functions.features import first_slot
+from basketlens.functions.features import first_slot, vector_head
 from basketlens.operators.encode import (
     CategoryDictionary,
     Standardizer,
@@ -57,8 +57,12 @@ def prepare(
     key: str = ROW_KEY,
     null_slot: bool = False,
     keep_index: str | None = None,
+    then: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Prepared:
-    """Bin, split, one-hot encode, standardise the rating; both parts get the same columns."""
+    """Bin, split, one-hot encode, standardise the rating; both parts get the same columns.
+
+    ``then`` goes to ``CategoryDictionary.one_hot``.
+    """
     binned = materialised(bin_columns(df), "binned")
     train, test = split(binned, key)
     categorical = [c for c in binned.columns if c not in (key, CUSTOMER_ID, RATING)]
@@ -66,11 +70,17 @@ def prepare(
     standardizer = fit_standardizer(train, [RATING])
 
     def encode(part: DataFrame) -> DataFrame:
-        return standardizer.replace(dictionary.one_hot(part.drop(CUSTOMER_ID), keep_index))
+        return standardizer.replace(dictionary.one_hot(part.drop(CUSTOMER_ID), keep_index, then))
 
     return Prepared(encode(train), encode(test), dictionary, standardizer)
 
 
+def first_slots(df: DataFrame) -> DataFrame:
+    """Every vector column reduced to its first slot."""
+    vectors = [f.name for f in df.schema.fields if isinstance(f.dataType, VectorUDT)]
+    return df.withColumns({c: first_slot(vector_head(F.col(f"`{c}`"))) for c in vectors})
+
+
 def cached(df: DataFrame, partitions: int | None = None, without: Iterable[str] = ()) -> DataFrame:
     """Fill a spillable cache for iterative work, dealt and ordered by a hash of the rows.
 
@@ -116,7 +126,7 @@ def model_frame(df: DataFrame, key: str = ROW_KEY, flatten: bool = False) -> Mod
     slot ("is it category 0?"), as a feature and as a label.  Whole vectors are neither shuffled nor
     cached: they are made of the indexes beside them whenever rows are read.
     """
-    made = prepare(df, key, null_slot=True, keep_index="_y")
+    made = prepare(df, key, null_slot=True, keep_index="_y", then=first_slots if flatten else None)
     frame = ModelFrame(made.train, made.test, made.dictionary.columns)
 
     def shape(part: DataFrame) -> DataFrame:
@@ -128,10 +138,9 @@ def model_frame(df: DataFrame, key: str = ROW_KEY, flatten: bool = False) -> Mod
         if not flatten:
             labels = [F.col(f"{c}_y") for c in frame.categorical]
             return part.select(*frame.categorical, *labels, *rating)
-        slots = {c: first_slot(vector_to_array(c)) for c in frame.categorical}
         out = part.select(
-            *[x.alias(c) for c, x in slots.items()],
-            *[x.alias(f"{c}_y") for c, x in slots.items()],
+            *frame.categorical,
+            *[F.col(f"`{c}`").alias(f"{c}_y") for c in frame.categorical],
             *rating,
         )
         for c in frame.categorical:

@@ -2,7 +2,6 @@
 
 from collections.abc import Callable
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -162,7 +161,7 @@ def features_missing_cols(spark, d):
 @query
 def split_export(spark, d):
     """Encoded train and test rows written as CSV, then counted from the files."""
-    made = predict.prepare(_shop(spark, d))
+    made = predict.prepare(_shop(spark, d), then=stringify_nested)
     out = None
     for name, part in (("train", made.train), ("test", made.test)):
         path = write_table(part, work_path(spark, name), "csv", compression="gzip")
@@ -402,15 +401,13 @@ def encode_index_with_null(spark, d):
 @query
 def encode_onehot(spark, d):
     table, dictionary = _fitted(spark, d)
-    return stringify_nested(dictionary.one_hot(table))
+    return dictionary.one_hot(table, then=stringify_nested)
 
 
 @query
 def first_slot(spark, d):
     table, dictionary = _fitted(spark, d)
-    return dictionary.one_hot(table).select(
-        ROW_KEY, *[features.first_slot(vector_to_array(c)).alias(c) for c in CATEGORICAL]
-    )
+    return dictionary.one_hot(table, then=predict.first_slots).select(ROW_KEY, *CATEGORICAL)
 
 
 @query

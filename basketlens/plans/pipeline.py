@@ -8,7 +8,7 @@ from basketlens.operators.report import report_text, segment_report, shares_any
 from basketlens.operators.segment import Segments, fit_segments
 from basketlens.plans.features import add_features, flag_table
 from basketlens.schema import has
-from basketlens.sources.files import save_feature_sets, to_display_names, write_table
+from basketlens.sources.files import save_feature_sets, stringify_nested, to_display_names, write_table
 
 
 def run(
@@ -70,7 +70,7 @@ def preprocess(df: DataFrame, out_dir: str, key: str, fmt: str = "csv", preview:
         "missing": profile.missing_counts(df),
     }
     paths = {name: write_table(table, f"{out_dir}/profile/{name}", fmt) for name, table in tables.items()}
-    made = predict.prepare(df, key)
+    made = predict.prepare(df, key, then=stringify_nested if fmt == "csv" else None)
     parts = {"train": made.train, "test": made.test}
     return paths | {name: write_table(part, f"{out_dir}/{name}", fmt) for name, part in parts.items()}
 

@@ -3,9 +3,13 @@ import math
 import pytest
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from basketlens.operators import encode
+from basketlens.functions import features
+from basketlens.operators import encode, predict
+from basketlens.sources.files import stringify_nested
 
 
 def words(spark, n=300):
@@ -114,3 +118,36 @@ def test_standardizer_is_fitted_on_train_only_and_skips_nan(spark):
     assert standard.means["x"] == 2.0 and standard.deviations["x"] == pytest.approx(math.sqrt(2))
     test = spark.createDataFrame([(2.0,), (None,)], "x double")
     assert [r[0] for r in standard.replace(test).collect()] == [0.0, None]
+
+
+def test_vectors_are_made_once_per_value_and_not_once_per_row(spark):
+    """No vector is made or turned into text on the rows themselves, and each row still gets its own."""
+    df = words(spark)
+    train = df.where("id < 90")
+    for null_slot in (False, True):
+        dictionary = encode.fit_dictionary(train, ["w", "g"], null_slot)
+        plain = dictionary.one_hot(df, "_y").collect()
+        text = dictionary.one_hot(df, "_y", then=stringify_nested)
+        assert [f.name for f in text.schema.fields] == ["id", "w_y", "g_y", "w", "g"]
+        assert {r.id: (r.w_y, r.g_y, r.w, r.g) for r in text.collect()} == {
+            r.id: (r.w_y, r.g_y, *[json_text(v) for v in (r.w, r.g)]) for r in plain
+        }
+        slots = dictionary.one_hot(df, then=predict.first_slots).collect()
+        want = {r.id: tuple(float(v.toArray()[0]) if v.size else 0.0 for v in (r.w, r.g)) for r in plain}
+        assert {r.id: (r.w, r.g) for r in slots} == want
+        plan = text._jdf.queryExecution().optimizedPlan().toString()
+        first_join = next(i for i, line in enumerate(plan.splitlines()) if "Join" in line)
+        on_rows = "\n".join(line for line in plan.splitlines()[:first_join] if not line.lstrip().startswith(":"))
+        assert "coalesce" in on_rows and "UDF" not in on_rows and "json" not in on_rows.lower()
+
+
+def json_text(v):
+    hot = ",".join(str(i) for i in v.indices), ",".join(str(float(x)) for x in v.values)
+    return '{"type":0,"size":%d,"indices":[%s],"values":[%s]}' % (v.size, *hot)
+
+
+def test_vector_head_of_sparse_dense_empty_and_null(spark):
+    some = [Vectors.sparse(3, [0], [2.0]), Vectors.sparse(3, [2], [1.0]), Vectors.sparse(0, [], []), Vectors.dense([5.0, 6.0]), Vectors.dense([]), None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(some)], T.StructType([T.StructField("i", T.IntegerType()), T.StructField("v", VectorUDT())]))
+    got = {r.i: r.h for r in df.select("i", features.vector_head(F.col("v")).alias("h")).collect()}
+    assert got == {0: [2.0], 1: [0.0], 2: [], 3: [5.0], 4: [], 5: None}
