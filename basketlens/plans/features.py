@@ -2,7 +2,7 @@
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.functions import bins, features
@@ -31,19 +31,31 @@ def levels(df: DataFrame, *columns: str) -> dict[str, list[str]]:
     return {c: sorted(v) for c, v in values.items()}
 
 
-def add_value_score(df: DataFrame) -> DataFrame:
-    """Value score; both maxima come from one one-row subquery and skip null and NaN."""
-    inputs = ("purchase_amount", "previous_purchases")
-    maxima = [
-        F.max(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(c) for c in inputs
-    ]
-    top = df.agg(F.struct(*maxima).alias("top")).scalar()
-    amount, previous = inputs
+SCORED = ("purchase_amount", "previous_purchases")
+
+
+def _maxima() -> list[Column]:
+    """The inputs of the value score at their greatest; null and NaN are skipped."""
+    return [F.max(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(c) for c in SCORED]
+
+
+def levels_and_maxima(df: DataFrame, *columns: str) -> tuple[dict[str, list[str]], dict[str, Column]]:
+    """``levels`` and the maxima behind the value score, both from one pass over ``df``."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).alias("_v")) for c in columns])
+    found = df.select(*SCORED, F.inline(pairs)).groupBy("_c", "_v").agg(*_maxima()).collect()
+    values = {c: sorted(r["_v"] for r in found if r["_c"] == c and r["_v"] is not None) for c in columns}
+    top = {c: max((r[c] for r in found if r[c] is not None), default=None) for c in SCORED}
+    return values, {c: F.lit(x).cast("double") for c, x in top.items()}
+
+
+def add_value_score(df: DataFrame, top: dict[str, Column] | None = None) -> DataFrame:
+    """Value score; unless ``top`` has them, both maxima come from one one-row subquery."""
+    if top is None:
+        row = df.agg(F.struct(*_maxima()).alias("top")).scalar()
+        top = {c: row.getField(c) for c in SCORED}
+    amount, previous = SCORED
     return df.withColumn(
-        "value_score",
-        features.value_score(
-            F.col(amount), F.col(previous), top.getField(amount), top.getField(previous)
-        ),
+        "value_score", features.value_score(F.col(amount), F.col(previous), top[amount], top[previous])
     )
 
 
@@ -66,7 +78,8 @@ def add_features(
 ) -> Featured:
     """Every feature whose inputs exist; a missing column skips its feature.
 
-    The values behind the category and season flags are looked up unless given.  ``sparse`` makes
+    The values behind the category and season flags are looked up unless given, in the pass that
+    finds the maxima of the value score.  ``sparse`` makes
     one map of flags per family instead (``features.sparse_flag``), for any number of values.
     """
     groups: dict[str, list[str]] = {
@@ -74,14 +87,22 @@ def add_features(
     }
     new = {}
     out = df
+    known = {"category": categories, "season": seasons}
+    unknown = [c for c, v in known.items() if v is None and has(df, c) and not sparse]
+    top = None
+    if unknown and has(df, *SCORED):
+        found, top = levels_and_maxima(df, *unknown)
+        known |= found
+    elif unknown:
+        known |= levels(df, *unknown)
 
     if has(df, "age"):
         new["age_group"] = bins.age_group(F.col("age"))
         groups["demographic"] += ["age", "age_group"]
     groups["demographic"] += [c for c in ("gender", "location") if has(df, c)]
 
-    if has(df, "purchase_amount", "previous_purchases"):
-        out = add_value_score(out)
+    if has(df, *SCORED):
+        out = add_value_score(out, top)
         groups["value"] += ["value_score", "purchase_amount", "previous_purchases"]
 
     if has(df, "frequency_of_purchases"):
@@ -101,9 +122,6 @@ def add_features(
         if has(df, c)
     ]
 
-    known = {"category": categories, "season": seasons}
-    unknown = [c for c, v in known.items() if v is None and has(df, c) and not sparse]
-    known |= levels(df, *unknown) if unknown else {}
     for column, prefix, family, group in (
         ("category", CATEGORY_FLAG, CATEGORY_FLAGS, "category"),
         ("season", SEASON_FLAG, SEASON_FLAGS, "seasonal"),

@@ -93,3 +93,19 @@ def test_similar_values_keep_their_own_flags(spark):
     rows = made.df.select("category", *[f"`{n}`" for n in names]).collect()
     assert [sum(r[1:]) for r in rows] == [1] * len(similar)
     assert sorted(flag_label(n, "category_") for n in names) == sorted(similar)
+
+
+def test_values_and_maxima_come_from_one_pass(spark):
+    """Rows without a value count for the maxima; all null is null; nothing but that pass reads the table again."""
+    rows = [("b", "Fall", 1.0, 7), (None, None, 90.0, 50), ("a", None, float("nan"), None), ("a", "Fall", None, 2)]
+    df = spark.createDataFrame(rows, "category string, season string, purchase_amount double, previous_purchases int")
+    made = add_features(df)
+    assert made.groups["category"] == ["category_a", "category_b", "category"]
+    assert made.groups["seasonal"] == ["season_Fall", "season"]
+    assert "ubquery" not in made.df._jdf.queryExecution().optimizedPlan().toString()
+    both = [made.df, add_value_score(df)]
+    got, want = (sorted((str(r.previous_purchases), str(r.value_score)) for r in x.collect()) for x in both)
+    assert got == want and got[1] == ("50", "1.0")
+    none = add_features(df.where("category = 'a'"))
+    assert values(none.df, "value_score") == [None, None]
+    assert values(add_features(df.limit(0)).df, "value_score") == []
