@@ -60,20 +60,27 @@ class CategoryDictionary:
         return self.tables[c].select(F.col("value").alias(f"_t_{c}"), F.col("slot").alias(f"_s_{c}"))
 
     def _looked_up(self, df: DataFrame, suffix: str, values: Callable[[str], DataFrame]) -> DataFrame:
-        """Join each column's ``values`` to the rows and make its index; what else ``values`` holds stays."""
-        texts = {f"_t_{c}": F.col(f"`{c}`").cast("string") for c in self.columns}
-        out = df.withColumns(texts)
+        """Join each column's ``values`` to the rows and make its index; what else ``values`` holds stays.
+
+        One projection before the joins and one after them: the plan is long enough as it is.
+        """
+        out = df.withColumns({f"_t_{c}": F.col(f"`{c}`").cast("string") for c in self.columns})
         for c in self.columns:
             # No hint: Spark's own threshold decides.  A hot value makes a hot partition of
             # the left side only, which adaptive execution splits.
             out = out.join(values(c), f"_t_{c}", "left")
-            slot = F.coalesce(F.col(f"_s_{c}"), F.lit(self.widths[c]))
+
+        def slot(c: str) -> Column:
+            found = F.coalesce(F.col(f"`_s_{c}`"), F.lit(self.widths[c]))
             if self.null_slot:
-                slot = F.when(F.col(f"_t_{c}").isNull(), F.lit(self.widths[c] - 1)).otherwise(slot)
-            out = out.withColumn(c + suffix, slot.cast("double")).drop(f"_s_{c}")
-        for c in self.columns:
-            out = out.withMetadata(c + suffix, self._attribute(c, suffix))
-        return out.drop(*texts)
+                found = F.when(F.col(f"`_t_{c}`").isNull(), F.lit(self.widths[c] - 1)).otherwise(found)
+            return found.cast("double").alias(c + suffix, metadata=self._attribute(c, suffix))
+
+        own = {f"{kind}{c}" for c in self.columns for kind in ("_t_", "_s_")}
+        found = {c + suffix for c in self.columns}
+        extra = [x for x in out.columns if x not in own and x not in found and x not in df.columns]
+        kept = [f"`{x}`" for x in df.columns if x not in found] + [f"`{x}`" for x in extra]
+        return out.select(*kept, *[slot(c) for c in self.columns])
 
     def _attribute(self, c: str, suffix: str) -> dict:
         return {"ml_attr": {"type": "nominal", "name": c + suffix, "num_vals": self.widths[c] + 1}}
@@ -104,30 +111,31 @@ class CategoryDictionary:
         hot: dict[str, DataFrame] = {}
 
         def encoded(frame: DataFrame, columns: list[str]) -> DataFrame:
-            frame = frame.withColumns({c + suffix: F.col(c + suffix).cast("double") for c in columns})
-            for c in columns:
-                frame = frame.withMetadata(c + suffix, self._attribute(c, suffix))
             frame = self.vectors(frame, suffix, columns)
             return then(frame) if then else frame
 
+        def indexed(slot: Column, c: str) -> Column:
+            return slot.cast("double").alias(c + suffix, metadata=self._attribute(c, suffix))
+
         def values(c: str) -> DataFrame:
             known = self._values(c)
-            hot[c] = encoded(known.withColumn(c + suffix, F.col(f"_s_{c}")), [c])
-            return hot[c].select(*known.columns, F.col(f"`{c}`").alias(f"_v_{c}"))
+            hot[c] = encoded(known.select("*", indexed(F.col(f"`_s_{c}`"), c)), [c])
+            return hot[c].select(*[f"`{x}`" for x in known.columns], F.col(f"`{c}`").alias(f"_v_{c}"))
 
         def constant(below: int) -> Column:
             """What the rows get that the dictionary has no value for: one row, the encoding of width - ``below``."""
-            one = df.sparkSession.range(1).select(*[F.lit(self.widths[c] - below).alias(c + suffix) for c in self.columns])
+            one = df.sparkSession.range(1).select(*[indexed(F.lit(self.widths[c] - below), c) for c in self.columns])
             return encoded(one, self.columns).select(F.struct(*[F.col(f"`{c}`") for c in self.columns])).scalar()
 
         if not self.columns:
             return df
-        out = self._looked_up(df, suffix, values)
-        unseen, null = constant(0), constant(1) if self.null_slot else None
+        # Each subquery stands in the plan once, above the joins, whatever the number of columns.
+        absent = {"_unseen": constant(0)} | ({"_none": constant(1)} if self.null_slot else {})
+        out = self._looked_up(df, suffix, values).withColumns(absent)
 
         def vector(c: str) -> Column:
-            found = F.coalesce(F.col(f"_v_{c}"), unseen.getField(c))
-            return F.when(F.col(f"`{c}`").isNull(), null.getField(c)).otherwise(found) if self.null_slot else found
+            found = F.coalesce(F.col(f"`_v_{c}`"), F.col("_unseen").getField(c))
+            return F.when(F.col(f"`{c}`").isNull(), F.col("_none").getField(c)).otherwise(found) if self.null_slot else found
 
         rest = [f"`{c}`" for c in df.columns if c not in self.columns]
         indexes = [c + suffix for c in self.columns] if keep_index else []

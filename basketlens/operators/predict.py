@@ -30,6 +30,9 @@ RATING = "review_rating"
 # so they depend on the number of rows and nothing else.
 FOREST_PARTITIONS = 32
 FOREST_ROWS = 250_000
+# Rows that forests fitted side by side may hold between them: each keeps its own bagged copy of the training
+# rows, about 300 bytes a row, and copies that do not fit in memory are written and read again at every level.
+FITTED_ROWS = 8_000_000
 BINS = {
     "age": age_bin,
     "purchase_amount": purchase_amount_bin,
@@ -138,14 +141,9 @@ def model_frame(df: DataFrame, key: str = ROW_KEY, flatten: bool = False) -> Mod
         if not flatten:
             labels = [F.col(f"{c}_y") for c in frame.categorical]
             return part.select(*frame.categorical, *labels, *rating)
-        out = part.select(
-            *frame.categorical,
-            *[F.col(f"`{c}`").alias(f"{c}_y") for c in frame.categorical],
-            *rating,
-        )
-        for c in frame.categorical:
-            out = out.withMetadata(f"{c}_y", {"ml_attr": {"type": "nominal", "num_vals": 2}})
-        return out
+        binary = {"ml_attr": {"type": "nominal", "num_vals": 2}}
+        labels = [F.col(f"`{c}`").alias(f"{c}_y", metadata=binary) for c in frame.categorical]
+        return part.select(*frame.categorical, *labels, *rating)
 
     vectors = [] if flatten else frame.categorical
     shaped = [shape(frame.train), shape(frame.test)]
@@ -223,8 +221,16 @@ def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "p
     return df.agg(F.count(error).alias("n"), F.sqrt(F.avg(error * error)).alias("rmse"))
 
 
+def side_by_side(rows: int, threads: int) -> int:
+    """How many forests to fit at a time: fewer on more rows, which keep all cores busy by themselves."""
+    return max(1, min(threads, FITTED_ROWS // max(rows, 1)))
+
+
 def fit_and_score(frame: ModelFrame, targets: list[str], threads: int = 4, **forest) -> DataFrame:
-    """One forest per target; one row per target and metric."""
+    """One forest per target; one row per target and metric.
+
+    Up to ``threads`` forests are fitted at a time, as far as ``FITTED_ROWS`` allows; the scores do not depend on it.
+    """
 
     def score(target: str) -> list[tuple[str, str, float]]:
         predicted = predict(fit_target(frame, target, **forest), frame, target)
@@ -233,7 +239,7 @@ def fit_and_score(frame: ModelFrame, targets: list[str], threads: int = 4, **for
         return [(target, m, float(v)) for m, v in row.items() if v is not None]
 
     spark = frame.train.sparkSession
-    rows = run_parallel(spark, [lambda t=t: score(t) for t in targets], threads)
+    rows = run_parallel(spark, [lambda t=t: score(t) for t in targets], side_by_side(frame.train.count(), threads))
     return spark.createDataFrame(
         [r for part in rows for r in part], "target string, metric string, value double"
     )

@@ -118,3 +118,15 @@ def test_rows_of_a_forest_lie_in_as_many_pieces_as_they_need_and_without_vectors
     finally:
         frame.release()
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+
+
+def test_fits_side_by_side_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    """Every fit keeps a copy of the rows, so large tables are fitted one at a time; the scores stay the same."""
+    assert [predict.side_by_side(n, 4) for n in (0, 10, 2_000_000, 3_000_000, 8_000_000, 30_000_000)] == [4, 4, 4, 2, 1, 1]
+    used, run = [], predict.run_parallel
+    monkeypatch.setattr(predict, "run_parallel", lambda spark, jobs, threads: (used.append(threads), run(spark, jobs, threads))[1])
+    scores = []
+    for most in (predict.FITTED_ROWS, 100):
+        monkeypatch.setattr(predict, "FITTED_ROWS", most)
+        scores.append(sorted(map(tuple, predict.predict_all_targets(purchases(spark, 400), targets=["season", "color"], flatten=True, trees=2, depth=2).collect())))
+    assert used == [4, 1] and scores[0] == scores[1]
