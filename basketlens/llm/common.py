@@ -12,6 +12,8 @@ from basketlens.session import work_path
 SPACE = r"[\x20\x09-\x0D]"
 #: Removes shuffle files once the job that needed them is over.
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows that go to Python at a time while a frame is written: whole texts travel, and a batch is held several times over on either side.
+_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +33,8 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared work folder and read it back; the lineage ends there."""
     spark = df.sparkSession
     path = work_path(spark, name)
-    with tidy_shuffles(spark):
+    given = int(spark.conf.get(_BATCH))
+    with tidy_shuffles(spark), _set(spark, _BATCH, str(min(given, BATCH_ROWS) if given > 0 else BATCH_ROWS)):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -48,13 +51,17 @@ def discard(*frames: DataFrame) -> None:
 
 
 @contextmanager
-def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(_TIDY, None)
-    spark.conf.set(_TIDY, "true")
+def _set(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         if before is None:
-            spark.conf.unset(_TIDY)
+            spark.conf.unset(name)
         else:
-            spark.conf.set(_TIDY, before)
+            spark.conf.set(name, before)
+
+
+def tidy_shuffles(spark: SparkSession):
+    return _set(spark, _TIDY, "true")

@@ -18,6 +18,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -219,17 +220,26 @@ def _joined(values: pa.Array) -> bytes:
     return values.buffers()[2][int(first) : int(last)].to_pybytes()
 
 
+def parts_of(batch: pa.RecordBatch, column: str = "_text", most: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``most`` bytes of text, or one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // most)) + 1
+    for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+        yield batch.slice(start, end - start)
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", back: bool = False) -> DataFrame:
     """Columns ``row`` (a struct of all columns of ``docs``) and ``ids``; with ``back`` also ``decoded``, the text the ids give.
 
     Encoding and decoding in one task needs half the Python workers that one after the other would.
+    Ids, decoded texts and what is sent back are held for a part of a batch at a time (``parts_of``).
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     rows = docs.select(F.struct("*").alias("row"), F.col(f"`{text}`").cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
-        for batch in batches:
+        for batch in chain.from_iterable(map(parts_of, batches)):
             texts = batch.column("_text").to_pylist()
             ids, counts = encoder.encode([t or "" for t in texts])
             offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32), mask=np.array([t is None for t in texts] + [False]))

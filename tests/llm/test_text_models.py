@@ -230,6 +230,19 @@ def test_decoding_gives_the_text_back(texts):
     assert encoder.decode(ids, counts) == texts
 
 
+def test_pieces_leave_in_parts_of_a_batch(spark, vocabulary, make):
+    import pyarrow as pa
+
+    texts = ["ab " * 50, None, "", "ünï " * 300, "x"]
+    parts = list(pieces.parts_of(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["_text"]), most=200))
+    assert len(parts) > 1 and [t for p in parts for t in p.column("_text").to_pylist()] == texts
+    assert [p.num_rows for p in pieces.parts_of(parts[0].slice(0, 0))] == [0]
+    # Texts of two blocks and more in one batch of one task.
+    docs = make([(i, f"text {i} " + "word another " * 9_000) for i in range(24)] + [(99, None)], parts=1)
+    got = pieces.encode(docs, vocabulary, back=True).select("row.doc_id", "row.text", "ids", "decoded").collect()
+    assert len(got) == 25 and all(r.decoded == r.text and (r.ids is None) == (r.text is None) for r in got)
+
+
 def test_pieces_of_edges(edges, nothing, vocabulary):
     both = pieces.decode(pieces.encode(edges, vocabulary), vocabulary).select("row.row.text", "decoded", "row.ids").collect()
     assert all(r.text == r.decoded for r in both) and len(both) == edges.count()
