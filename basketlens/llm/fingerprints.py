@@ -32,20 +32,21 @@ _PIECES = r"\n|(?<=[.!?]) "
 def digests(text: Column) -> Column:
     """Sorted distinct digests of the pieces of a text."""
     pieces = F.filter(F.split(text, _PIECES), lambda p: F.length(F.trim(p)) > 0)
-    return F.array_sort(F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p))))
+    return F.sort_array(F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p))))
 
 
 def _tagged(keys: str, level: int, side: str = "1") -> str:
     """Digests with a bit per cell they go to (``m``), their check (``c``) and their side (``s``)."""
-    cell = " | ".join(f"shiftleft(1L, cast({j * _SIDE} + shiftrightunsigned(h.h, {4 * j}) % {_SIDE} as int))" for j in range(3))
-    # The remainder of a shifted hash may be negative, so the hash is cut to 48 bits first.
+    cell = " | ".join(f"shiftleft(1L, cast({j * _SIDE} + (shiftrightunsigned(h.h, {4 * j}) & {_SIDE - 1}L) as int))" for j in range(3))
+    # The hash is cut to 48 bits, so that its check is never negative.
     hashed = f"transform({keys}, d -> named_struct('k', d, 'h', shiftrightunsigned(xxhash64(d, {level}L), 16)))"
     return f"transform({hashed}, h -> named_struct('k', h.k, 'm', {cell}, 'c', shiftrightunsigned(h.h, 12), 's', {side}))"
 
 
 def _cells(tagged: str) -> str:
     """All cells of tagged digests, which are dealt to runs of four cells first, so that a cell looks at few of them."""
-    runs = f"transform(sequence(0, {CELLS // 4 - 1}), q -> named_struct('q', 4 * q, 't', filter(t, x -> (x.m & shiftleft(15L, 4 * q)) <> 0)))"
+    masks = ", ".join(f"named_struct('q', {q}, 'm', {15 << q}L)" for q in range(0, CELLS, 4))
+    runs = f"transform(array({masks}), r -> named_struct('q', r.q, 't', filter(t, x -> (x.m & r.m) <> 0)))"
     add = "named_struct('n', z.n + x.s, 'k', z.k ^ x.k, 'c', z.c ^ x.c)"
     one = f"aggregate(r.t, named_struct('n', 0, 'k', 0L, 'c', 0L), (z, x) -> if(getbit(x.m, i) = 1, {add}, z))"
     return f"element_at(transform(array({tagged}), t -> flatten(transform({runs}, r -> transform(sequence(r.q, r.q + 3), i -> {one})))), 1)"
@@ -143,8 +144,12 @@ def _bucket(key: str, splits: list[int]) -> str:
     )
 
 
-def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Columns key, ``text`` (null as empty) and ``next_text`` of the document with the next larger id (after the last: the first)."""
+def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", made: dict[str, Column] | None = None, empty: dict[str, Column] | None = None) -> DataFrame:
+    """Columns key, ``text`` (null as empty) and ``next_text`` of the document with the next larger id (after the last: the first).
+
+    ``made`` names columns of ``text``, each of which may use those before it; they are made once a row, and
+    follow with those of the next document as ``next_{name}``.  ``empty`` has what they are for the empty text.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), text_of(text).alias("text"))
     n = 2 * partitions(spark)
@@ -160,8 +165,15 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         places = F.when(F.expr(extra).isNotNull(), F.concat(places, F.array(ghost))).otherwise(places)
     dealt = rows.select("id", "text", F.explode(places).alias("at")).select("id", "text", "at.bucket", "at.ghost")
     order = Window.partitionBy("bucket").orderBy("ghost", "id", "text")
-    following = dealt.withColumn("next_text", F.when(F.col("id").isNull(), F.lit("")).otherwise(F.lead("text").over(order)))
-    return following.filter("not ghost").select(F.col("id").alias(key), "text", F.coalesce("next_text", F.lit("")).alias("next_text"))
+    none = {"text": F.lit("")} | (empty or {})
+    if made:
+        # In order before they are made, so that the wider rows are not sorted.
+        dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", "ghost", "id", "text")
+        for name, column in made.items():
+            dealt = dealt.withColumn(name, column)
+    following = dealt.select("*", *[F.lead(name).over(order).alias(f"next_{name}") for name in none])
+    nexts = [F.when(F.col("id").isNull() | F.col(f"next_{name}").isNull(), x).otherwise(F.col(f"next_{name}")).alias(f"next_{name}") for name, x in none.items()]
+    return following.filter("not ghost").select(F.col("id").alias(key), "text", *(made or {}), *nexts)
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -170,14 +182,15 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     The edited text has its last half replaced by the first as many code points of the next document.
     ``edited_changes`` lists the piece digests in which the edited text differs, as peeled.
     """
-    rows = with_next(docs, key, text).withColumn("n_chars", F.length("text").cast("long"))
+    made = {"a": digests(F.col("text")), "cells_a": sketch("a")}
+    empty = {"a": F.expr("cast(array() as array<bigint>)"), "cells_a": sketch("cast(array() as array<bigint>)")}
+    rows = with_next(docs, key, text, made, empty).withColumn("n_chars", F.length("text").cast("long"))
     half = "cast(n_chars div 2 as int)"
     rows = rows.withColumn("edited", F.expr(f"concat(substring(text, 1, cast(n_chars as int) - {half}), substring(next_text, 1, {half}))"))
     rows = rows.select(
-        key, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("e"), digests(F.col("next_text")).alias("b")
+        key, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "a", digests(F.col("edited")).alias("e"), F.col("next_a").alias("b"), "cells_a", F.col("next_cells_a").alias("cells_b")
     )
-    for name in "aeb":
-        rows = rows.withColumn(f"cells_{name}", sketch(name))
+    rows = rows.withColumn("cells_e", sketch("e"))
     rows = rows.withColumn("n_edited", sketches("a", "e")).withColumn("n_next", sketches("a", "b"))
     rows = rows.withColumn("to_edited", difference("a", "e", "cells_a", "cells_e", "n_edited"))
     rows = rows.withColumn("to_next", difference("a", "b", "cells_a", "cells_b", "n_next"))

@@ -50,6 +50,16 @@ def test_fingerprints_of_neighbours(spark, make):
     assert np.mean([got[i].near_edited > got[i].near_next for i in ids if i < 90 and i % 9 > 3]) > 0.8
 
 
+def test_the_next_documents_sketch_is_not_made_again(spark, make):
+    docs = make([(i, "\n".join(words(i * 7 + k, 5) for k in range(i))) for i in range(6)] + [(None, "a\nb"), (None, None)])
+    made = {"a": fingerprints.digests(F.col("text")), "cells_a": fingerprints.sketch("a")}
+    empty = {"a": F.expr("cast(array() as array<bigint>)"), "cells_a": fingerprints.sketch("cast(array() as array<bigint>)")}
+    rows = saved(fingerprints.with_next(docs, made=made, empty=empty), "t").withColumn("b", fingerprints.digests(F.col("next_text"))).withColumn("cells_b", fingerprints.sketch("b"))
+    assert rows.count() == 8 and rows.filter("next_a <=> b and next_cells_a <=> cells_b").count() == 8
+    plan = fingerprints.fingerprints(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2  # of the text and of its edited text
+
+
 def test_a_text_of_a_single_line_has_real_likeness(spark, make):
     text = " ".join(words(k, 8) + "." for k in range(40))
     changed = text[:-3] + "x" + text[-2:]
