@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from basketlens.llm.common import discard, saved, tidy_shuffles
 from basketlens.llm.components import components
-from basketlens.llm.shingles import bitmap, digest, shingle_set
+from basketlens.llm.shingles import bitmap, digest, shingle_sets
 from basketlens.llm.signature_tree import block_pairs, linked, spanning_pairs
 
 WORDS = 5
@@ -51,11 +51,22 @@ def _buckets(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
 
 
+def _values(batch: pa.RecordBatch) -> Iterator[str]:
+    return (t.as_py() for t in batch.column("_text"))
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        for t in batch.column("_text"):
-            total += np.bincount(_buckets(shingle_set(t.as_py(), WORDS)), minlength=BUCKETS)
+        held, size = [], 0
+        for s in shingle_sets(_values(batch), WORDS):
+            held.append(_buckets(s))
+            size += len(s)
+            if size > BUCKETS:
+                total += np.bincount(np.concatenate(held), minlength=BUCKETS)
+                held, size = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=BUCKETS)
     yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.int64()))], names=["counts"])
 
 
@@ -81,12 +92,11 @@ def profiles(docs: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
-            for t in batch.column("_text"):
-                s = shingle_set(t.as_py(), WORDS)
+            for s in shingle_sets(_values(batch), WORDS):
                 if not len(s):
                     row = (None, 0, None, None, None)
                 else:
-                    rare = s[np.lexsort((s, counts.value[_buckets(s)]))[: prefix_length(len(s))]]
+                    rare = s[np.argsort(counts.value[_buckets(s)], kind="stable")[: prefix_length(len(s))]]
                     minima = [int(((s ^ seed) * np.uint64(0x9E3779B97F4A7C15)).min().view(np.int64)) for seed in _SEEDS[:MINIMA]]
                     row = (digest(s), len(s), bitmap(s).tobytes(), minima, rare.view(np.int64))
                 for column, value in zip(out, row, strict=True):
@@ -111,8 +121,8 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingle_set(t.as_py(), WORDS) for t in batch.column("_text")]
-        yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.string()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "tokens"])
+        sets = [(digest(s), s.tobytes()) for s in shingle_sets(_values(batch), WORDS)]
+        yield pa.RecordBatch.from_arrays([pa.array([name for name, _ in sets], pa.string()), pa.array([tokens for _, tokens in sets], pa.binary())], names=["cls", "tokens"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

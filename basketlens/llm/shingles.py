@@ -1,11 +1,17 @@
 """Sets of word shingles as sorted 64-bit hashes, from whole texts, in numpy."""
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import xxhash
 
+#: Bytes of texts that are hashed in one go.
+BLOCK = 1 << 16
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_FOLD = np.arange(256, dtype=np.uint64)
+#: What a byte counts: itself (A-Z as a-z) and one more.
+_FOLD = np.arange(1, 257, dtype=np.uint64)
 _FOLD[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -28,20 +34,55 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return known
 
 
+def _blocks(texts: Iterable[str]) -> Iterator[list[bytes]]:
+    block, size = [], 0
+    for text in texts:
+        raw = text.encode("utf-8")
+        if block and size + len(raw) >= BLOCK:
+            yield block
+            block, size = [], 0
+        block.append(raw)
+        size += len(raw) + 1
+    if block:
+        yield block
+
+
+def shingle_sets(texts: Iterable[str], words: int = 5) -> Iterator[np.ndarray]:
+    """Of each text: distinct hashes of the runs of ``words`` words (A-Z lower-cased); a shorter text is one run; no words, no hash.
+
+    Texts are hashed one after the other as one run of bytes, ``BLOCK`` or a single text at a time.
+    """
+    for block in _blocks(texts):
+        raw = np.frombuffer(b" ".join(block) + b" ", np.uint8)
+        space = _SPACE[raw]
+        # The bytes end with a space, so every word has an end.
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], space)).astype(np.int8)))
+        begin, end = edge[::2], edge[1::2]
+        sums = np.concatenate(([np.uint64(0)], np.cumsum(_FOLD[raw] * _powers(_BASE, len(raw))[: len(raw)])))
+        word = _mix((sums[end] - sums[begin]) * _powers(_INVERSE, len(raw))[begin] + (end - begin).astype(np.uint64))
+        run = np.zeros(max(0, len(word) - words + 1), np.uint64)
+        for k in range(words):
+            run = _mix(run * _BASE + word[k : k + len(run)] + np.uint64(k + 1))
+        first = 0
+        for last in np.searchsorted(begin, np.cumsum([len(text) + 1 for text in block])).tolist():
+            if last - first >= words:
+                yield _distinct(run[first : last - words + 1])
+            else:
+                short = np.zeros(min(1, last - first), np.uint64)
+                for k in range(last - first):
+                    short = _mix(short * _BASE + word[first + k : first + k + 1] + np.uint64(k + 1))
+                yield short
+            first = last
+
+
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    out = np.sort(hashes)
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
+
+
 def shingle_set(text: str, words: int = 5) -> np.ndarray:
-    """Distinct hashes of the runs of ``words`` words (A-Z lower-cased); a shorter text is one run; no words, no hash."""
-    raw = np.frombuffer(text.encode("utf-8"), np.uint8)
-    space = _SPACE[raw]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
-    begin, end = edge[::2], edge[1::2]
-    if not len(begin):
-        return np.zeros(0, np.uint64)
-    sums = np.concatenate(([np.uint64(0)], np.cumsum((_FOLD[raw] + np.uint64(1)) * _powers(_BASE, len(raw))[: len(raw)])))
-    word = _mix((sums[end] - sums[begin]) * _powers(_INVERSE, len(raw))[begin] + (end - begin).astype(np.uint64))
-    run = np.zeros(max(1, len(word) - words + 1), np.uint64)
-    for k in range(min(words, len(word))):
-        run = _mix(run * _BASE + word[k : k + len(run)] + np.uint64(k + 1))
-    return np.unique(run)
+    """``shingle_sets`` of one text."""
+    return next(shingle_sets([text], words))
 
 
 def digest(shingles: np.ndarray) -> str:

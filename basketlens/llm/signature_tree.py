@@ -67,9 +67,12 @@ def may_link(a: Node, b: Node, doubt: float = 1.0) -> bool:
     """
     if 100 * min(a.high, b.high) < 80 * max(a.low, b.low):
         return False
-    out_a, out_b = doubt * int(np.bitwise_count(a.all & ~b.any).sum()), doubt * int(np.bitwise_count(b.all & ~a.any).sum())
     # Sizes x, y with overlap at most x - out_a: the rule 180 * overlap >= 80 * (x + y) is easiest for large x, small y.
-    return 180 * (a.high - out_a) >= 80 * (a.high + b.low) and 180 * (b.high - out_b) >= 80 * (b.high + a.low)
+    out_a = doubt * int(np.bitwise_count(a.all & ~b.any).sum())
+    if 180 * (a.high - out_a) < 80 * (a.high + b.low):
+        return False
+    out_b = doubt * int(np.bitwise_count(b.all & ~a.any).sum())
+    return 180 * (b.high - out_b) >= 80 * (b.high + a.low)
 
 
 class Joined:

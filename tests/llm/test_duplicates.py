@@ -186,6 +186,14 @@ def test_shingle_sets_count_as_tuples_do():
         assert len(shingles.shingle_set(text)) == len(shingle_tuples(text))
 
 
+def test_sets_of_many_texts_are_those_of_each_text_alone():
+    texts = ["", "a", " \t\n", "a b c d", *[words(seed, seed) for seed in range(30)], "x" * shingles.BLOCK, "é A b\x0bc d e", words(1, 30_000), "", words(2, 5)]
+    got = list(shingles.shingle_sets(texts))
+    assert [len(s) for s in got] == [len(shingle_tuples(t)) for t in texts]
+    assert all(np.array_equal(s, shingles.shingle_set(t)) for s, t in zip(got, texts, strict=True))
+    assert list(shingles.shingle_sets([])) == []
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(f"{i:03}", f"{i + 1:03}") for i in range(40)] + [("500", f"{i}") for i in range(501, 520)] + [("900", "900")]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a string, b string")).collect()}
