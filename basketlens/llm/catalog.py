@@ -27,7 +27,7 @@ from basketlens.llm import (
     target_sampling,
     training_order,
 )
-from basketlens.llm.common import saved, table
+from basketlens.llm.common import bound_batches, saved, table
 
 #: The vocabulary of the piece encoder; another file is chosen by this variable of the environment.
 VOCABULARY = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -36,7 +36,8 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, whose tasks import it, unless they share its folder."""
+    """Send this package to the executors, whose tasks import it, unless they share its folder; bound the batches they are given."""
+    bound_batches(spark)
     root = str(Path(basketlens.__file__).parent.parent)
     app = spark.sparkContext.applicationId
     if app in _shipped or root in os.environ.get("PYTHONPATH", "").split(os.pathsep):

@@ -14,6 +14,8 @@ SPACE = r"[\x20\x09-\x0D]"
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows that go to Python at a time while a frame is written: whole texts travel, and a batch is held several times over on either side.
 _BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
+#: The same in bytes, for all frames of a session: Python's texts take several times the bytes they travel as.
+_BATCH_SIZE, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +52,14 @@ def discard(*frames: DataFrame) -> None:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on a batch that goes to Python ends at ``BATCH_BYTES``, unless the session has a lower bound: also in
+    frames that the caller writes, whose rows ``saved`` does not bound."""
+    given = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH_SIZE))
+    if not 0 < given <= BATCH_BYTES:
+        spark.conf.set(_BATCH_SIZE, str(BATCH_BYTES))
+
+
 @contextmanager
 def _set(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     before = spark.conf.get(name, None)

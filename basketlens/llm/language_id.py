@@ -28,6 +28,7 @@ PIECE = 1_000_000
 #: Steepness of the map from a margin to a confidence.
 STEEP = 3.0
 _SCALE = 8.0
+_NUMBER = ">u4"
 
 #: Families of languages by code.  Any other code is a family of its own.
 FAMILIES = {
@@ -44,9 +45,13 @@ def _mix_table() -> np.ndarray:
     """Hash of each code point folded to lower case; all that is no letter has the hash of a gap."""
     global _mixed
     if _mixed is None:
-        lower = [ord(c) if len(c) == 1 else i for i in range(0x110000) for c in (chr(i).lower(),)]
-        letter = np.array([chr(i).isalpha() for i in range(0x110000)])
-        _mixed = np.where(letter, np.array(lower, np.uint32), np.uint32(32)) * np.uint32(0x9E3779B1)
+        folded = np.full(0x110000, 32, np.uint32)
+        for i in range(0x110000):  # no list of all code points, which would take ten times the table
+            if (c := chr(i)).isalpha():
+                lower = c.lower()
+                folded[i] = ord(lower) if len(lower) == 1 else i
+        folded *= np.uint32(0x9E3779B1)
+        _mixed = folded
     return _mixed
 
 
@@ -95,7 +100,8 @@ def pieces(texts: list[str | None], limit: int = PIECE) -> Iterator[tuple[list[i
 
 def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 150) -> np.ndarray:
     """Weights of a linear machine (squared hinge loss, the last weight is the bias) by accelerated descent."""
-    x = np.hstack([x * _SCALE, np.ones((len(x), 1), np.float32)]).astype(np.float32)
+    given, x = x, np.ones((len(x), x.shape[1] + 1), np.float32)
+    np.multiply(given, np.float32(_SCALE), out=x[:, :-1])  # one copy: the driver holds the sample besides
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
     v = np.ones(x.shape[1], np.float32)
     for _ in range(12):
@@ -167,19 +173,18 @@ class LanguageModel:
 
 
 def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashed n-gram counts of each text, sparse."""
+    """Hashed n-gram counts of each text, sparse, as big-endian bytes (which sort as their numbers); dense for one text at a time."""
     for batch in batches:
         texts = batch.column("_text").to_pylist()
-        total = [np.zeros(1 << BITS, np.int64) for _ in texts]
+        at, n = [b""] * len(texts), [b""] * len(texts)
         for rows, parts in pieces(texts):
-            for bucket, first, last in hashed_grams(parts)[0]:
-                for row, a, b in zip(rows, first, last, strict=True):
-                    total[row] += np.bincount(bucket[a:b], minlength=1 << BITS)
-        at = [np.flatnonzero(t) for t in total]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("_lang"), pa.array(at, pa.list_(pa.int32())), pa.array([t[i] for t, i in zip(total, at, strict=True)], pa.list_(pa.int64()))],
-            names=["lang", "at", "n"],
-        )
+            found = hashed_grams(parts)[0]
+            for i, row in enumerate(rows):
+                total = sum(np.bincount(bucket[first[i] : last[i]], minlength=1 << BITS) for bucket, first, last in found)
+                total[np.frombuffer(at[row], _NUMBER)] += np.frombuffer(n[row], _NUMBER).astype(np.int64)
+                some = np.flatnonzero(total)
+                at[row], n[row] = some.astype(_NUMBER).tobytes(), total[some].astype(_NUMBER).tobytes()
+        yield pa.RecordBatch.from_arrays([batch.column("_lang"), pa.array(at, pa.binary()), pa.array(n, pa.binary())], names=["lang", "at", "n"])
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", families: dict[str, str] | None = None, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
@@ -197,7 +202,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         .filter(F.col("_text").isNotNull() & (F.pmod(F.col("_h"), F.lit(1 << 30)) < share * (1 << 30)))
         .select("_lang", "_text")
         .limit(2 * sample_rows)
-        .mapInArrow(_samples, "lang string, at array<int>, n array<bigint>")
+        .mapInArrow(_samples, "lang string, at binary, n binary")
         .collect()
     )
     by: dict[str, list[str]] = {}
@@ -207,8 +212,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     x = np.zeros((len(found), 1 << BITS), np.float32)
     for i, r in enumerate(found):
         if r.at:
-            n = np.array(r.n, np.float32)
-            x[i, r.at] = n / n.sum()
+            n = np.frombuffer(r.n, _NUMBER).astype(np.float32)
+            x[i, np.frombuffer(r.at, _NUMBER)] = n / n.sum()
     langs = np.array([r.lang for r in found], object)
     groups = {f: np.isin(langs, members) for f, members in by.items()}
     model = LanguageModel(by)

@@ -3,13 +3,15 @@
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from basketlens.llm import language_id, personal_data, pieces
+from basketlens.llm import catalog, common, language_id, personal_data, pieces
 from basketlens.llm.catalog import VOCABULARY
 
 # --- languages ---
@@ -250,3 +252,33 @@ def test_pieces_of_edges(edges, nothing, vocabulary):
     at_once = pieces.encode(edges, vocabulary, back=True).select("row.text", "decoded", "ids").collect()
     assert sorted(map(str, at_once)) == sorted(map(str, both))
     assert pieces.encode(nothing, vocabulary).count() == 0
+
+
+def test_batches_that_go_to_python_are_bounded_in_bytes(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64()), pa.array([b.num_rows], pa.int64())], names=["size", "n"])
+
+    try:
+        spark.conf.set(name, str(64 << 20))
+        catalog.ship(spark)
+        found = spark.range(0, 3_000, 1, 1).selectExpr("repeat(cast(id % 10 AS string), 10000) AS text").mapInArrow(sizes, "size bigint, n bigint").collect()
+        assert sum(r.n for r in found) == 3_000 and max(r.size for r in found) <= common.BATCH_BYTES + 20_000
+        spark.conf.set(name, "1m")
+        catalog.ship(spark)
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_counts_of_a_sample_are_dense_for_one_text_at_a_time():
+    texts = [f"word {i}" for i in range(4_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts)], names=["_lang", "_text"])
+    tracemalloc.start()
+    list(language_id._samples(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 64 << 20
