@@ -4,8 +4,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from basketlens.schema import is_floating, is_numeric
+from basketlens.sources.files import materialised
 
 
 def _rows(structs: list[Column]) -> Column:
@@ -89,18 +91,29 @@ def _cells(df: DataFrame) -> DataFrame:
     return cells.where(F.col("value").isNotNull())
 
 
-def distinct_counts(df: DataFrame) -> DataFrame:
+def _comparable(df: DataFrame, column: str) -> Column:
+    """The column by which its values are told apart: itself, or its text where the type cannot be grouped."""
+    col = F.col(f"`{column}`")
+    if is_floating(df, column):
+        return col + F.lit(0.0)  # -0.0 and 0.0 are one value
+    plain = isinstance(df.schema[column].dataType, T.AtomicType) and not isinstance(df.schema[column].dataType, T.VariantType)
+    return col if plain else col.cast("string")
+
+
+def distinct_counts(df: DataFrame, written: bool = False) -> DataFrame:
     """Exact number of distinct non-null values per column, as ``{column}_unique``.
 
-    Only (column, value) pairs are shuffled, after duplicates were dropped in each
-    task, so a frequent value costs one row per task.
+    Every column is read and grouped by itself, in its own type, after duplicates were dropped in each task: no cell
+    becomes a row of text.  The table is written first, so that what is behind it runs once and a column is
+    read alone; ``written`` tells that ``df`` is the scan of a written table.
     """
-    per_column = _cells(df).distinct().groupBy("place").agg(F.count(F.lit(1)).alias("n"))
-    return per_column.agg(
-        *[
-            F.coalesce(F.sum(F.when(F.col("place") == i, F.col("n"))), F.lit(0)).alias(f"{c}_unique")
-            for i, c in enumerate(df.columns)
-        ]
+    names = df.columns
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+    values = plain.select(*[_comparable(plain, c).alias(c) for c in plain.columns])
+    table = values if written else materialised(values, "cells")
+    counts = [table.select(c).distinct().agg(F.count(c).alias("n")).select(F.lit(i).alias("place"), "n") for i, c in enumerate(table.columns)]
+    return reduce(DataFrame.unionAll, counts).agg(
+        *[F.coalesce(F.sum(F.when(F.col("place") == i, F.col("n"))), F.lit(0)).alias(f"{c}_unique") for i, c in enumerate(names)]
     )
 
 

@@ -216,10 +216,10 @@ def profile_distinct_approx(spark, d):
 @query
 def profile_distinct_within(spark, d):
     """Sketches of parts, written and united: whether each estimate is within the stated error of the exact number."""
-    table = _shop(spark, d)
+    table = materialised(_shop(spark, d), "profiled")
     parts = materialised(profile.distinct_sketches(table, (F.col(ROW_KEY) % 7).alias("part")), "sketches")
     united = profile.united_counts(parts, table.columns)
-    exact = profile.distinct_counts(table)
+    exact = profile.distinct_counts(table, written=True)
     both = united.select(F.struct("*").alias("near"), exact.select(F.struct("*")).scalar().alias("true"))
     off = {c: F.abs(F.col(f"near.{c}_unique") - F.col(f"true.{c}_unique")) for c in table.columns}
     rows = [F.struct(F.lit(c).alias("column"), (x <= profile.SKETCH_ERROR * F.col(f"true.{c}_unique")).alias("within_error")) for c, x in off.items()]

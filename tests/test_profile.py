@@ -51,6 +51,27 @@ def test_approximate_distinct_is_close(spark):
     assert abs(got.k_unique - 7_000) < 350 and abs(got.x_unique - 20_000) < 1_000
 
 
+def test_distinct_counts_shuffle_no_text_of_numbers(spark, tmp_path):
+    spark.range(1_000).selectExpr("id", "id % 7 AS `few.x`", "cast(id % 5 AS string) AS s", "array(id % 3) AS a", "map(id % 4, 1) AS m", "if(id = 0, -0.0D, 0.0D) AS z").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    found = profile.distinct_counts(df, written=True)
+    assert tuple(found.first()) == tuple(profile.distinct_counts(df).first()) == (1_000, 7, 5, 3, 4, 1)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "cast(id" not in plan
+
+
+def test_distinct_counts_read_their_input_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = spark.range(0, 500, 1, 2).selectExpr("id % 9 AS a", "id % 11 AS b", "cast(NULL AS string) AS c").mapInArrow(seen, "a bigint, b bigint, c string")
+    assert tuple(profile.distinct_counts(df).first()) == (9, 11, 0) and read.value == 500
+
+
 def test_describe_matches_the_builtin(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (4, None)], "i int, s string")
     got = {r["column"]: r for r in profile.describe(df).collect()}
