@@ -31,13 +31,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared work folder and read it back; the lineage ends there."""
+def saved(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write a frame to the shared work folder and read it back; the lineage ends there.  ``options`` are those of the writer."""
     spark = df.sparkSession
     path = work_path(spark, name)
     given = int(spark.conf.get(_BATCH))
     with tidy_shuffles(spark), _set(spark, _BATCH, str(min(given, BATCH_ROWS) if given > 0 else BATCH_ROWS)):
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

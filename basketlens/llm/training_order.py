@@ -101,7 +101,7 @@ def _encoded(docs: DataFrame, key: str, text: str, tokens: Tokens) -> DataFrame:
             parts = np.split(ids.astype(tokens.dtype), np.cumsum(counts)[:-1]) if len(counts) else []
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([p.tobytes() for p in parts], pa.binary())], names=["id", "ids"])
 
-    return saved(_rows(docs, key, text).mapInArrow(run, "id bigint, ids binary"), "token-ids")
+    return saved(_rows(docs, key, text).mapInArrow(run, "id bigint, ids binary"), "token-ids", compression="zstd")
 
 
 @dataclass(frozen=True)
@@ -163,6 +163,16 @@ def task_sizes(docs: DataFrame, key: str, text: str, tokens: Tokens) -> dict[int
     return {r.task: r.n for r in _rows(docs, key, text).mapInArrow(count, "task int, n bigint").collect()}
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Tokens as they are sent: their number of bytes, then the bytes compressed, since the shuffle stands on disk beside table and shards."""
+    raw = values.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
 def _cut(sizes: dict[int, int], tokens: Tokens, length: int, order: Permutation) -> Callable:
     starts, at = {}, 0
     for task in sorted(sizes):
@@ -188,7 +198,7 @@ def _cut(sizes: dict[int, int], tokens: Tokens, length: int, order: Permutation)
                     pa.array(order.slot(edges)),
                     pa.array(edges),
                     pa.array((low + first - edges * length).astype(np.int32)),
-                    pa.array([values[a:b].tobytes() for a, b in zip(low, high, strict=True)], pa.binary()),
+                    pa.array([_packed(values[a:b]) for a, b in zip(low, high, strict=True)], pa.binary()),
                     pa.array(ids, pa.list_(pa.int64())),
                 ],
                 names=["slot", "sequence", "start", "tokens", "doc_ids"],
@@ -225,7 +235,7 @@ def _write(folder: str, tokens: Tokens, length: int, per_shard: int) -> Callable
             with store.open_output_stream(f"{name}.{attempt}") as file:
                 for slot, pieces in groupby(group, key=lambda r: r[0]):
                     found = list(pieces)
-                    data = b"".join(p[3] for p in found)
+                    data = b"".join(_unpacked(p[3]) for p in found)
                     missing = length - len(data) // np.dtype(tokens.dtype).itemsize
                     file.write(data + np.full(missing, tokens.pad, tokens.dtype).tobytes())
                     out.append((slot, found[0][1], shard, slot % per_shard * length * np.dtype(tokens.dtype).itemsize, length - missing, [d for p in found for d in p[4]]))

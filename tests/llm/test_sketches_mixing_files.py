@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+from unittest.mock import Mock, patch
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -296,3 +298,15 @@ def test_columns_of_the_fold(spark):
     df = spark.createDataFrame([(0.25, 0.75)], "p_0 double, p_1 double")
     out = df.select(mixing._rate([(1.0, [0.4, 0.0]), (0.5, [0.0, -0.4])], 0.0).alias("z")).select(F.col("z.r"), F.col("z.q")).first()
     assert out.r == pytest.approx(1 - 0.1 + 0.15) and out.q == pytest.approx(0.9)
+
+
+def test_tokens_are_sent_compressed():
+    texts = [words(i, 4_000) for i in range(4)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4), pa.int64()), pa.array(texts)], names=["id", "_text"])
+    total = sum(map(len, texts)) + 4
+    order = training_order.Permutation(-(-total // 2_048))
+    with patch.object(training_order.TaskContext, "get", return_value=Mock(partitionId=lambda: 0)):
+        sent = pa.Table.from_batches(training_order._cut({0: total}, training_order.UTF8, 2_048, order)(iter([batch]))).sort_by("sequence")
+    column = sent.column("tokens").to_pylist()
+    assert b"".join(map(training_order._unpacked, column)) == b"".join(t.encode() + bytes([training_order.BYTE_END]) for t in texts)
+    assert sum(map(len, column)) < total / 2
