@@ -115,7 +115,8 @@ def clean_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 # part-<task>-<job id>-c<file of the task>: ordered by number, past five digits too.
 FILE_BLOCK = 1000
-_FILE_NAME = r"^part-(\d+)-.*?-c(\d+)"
+# The last "-c" counts: the job id is hexadecimal and may hold "-c" and digits too.
+_FILE_NAME = r"^part-(\d+)-.*-c(\d+)"
 
 
 def written_positions(spark: SparkSession, path: str, name: str = "position") -> DataFrame:

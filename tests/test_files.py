@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
@@ -123,6 +125,15 @@ def test_positions_over_thousands_of_files_in_blocks(spark, tmp_path, monkeypatc
     assert "windowspecdefinition(_block" in plan and "windowspecdefinition(_place" not in plan
 
 
+def test_a_job_id_may_look_like_the_number_of_a_file(spark, tmp_path):
+    """A task with several files, and a job id with a group that begins with c and digits."""
+    spark.range(0, 40, 1, 2).write.option("maxRecordsPerFile", 1).parquet(str(tmp_path / "many"))
+    for f in (tmp_path / "many").glob("*part-*"):
+        f.rename(f.with_name(re.sub(r"(part-\d+-).*(-c\d+)", r"\g<1>8f14e45f-c123-4a5b-9c3d-c99988877766\2", f.name)))
+    got = files.written_positions(spark, str(tmp_path / "many"))
+    assert got.where("position != id").count() == 0 and got.count() == 40
+
+
 def test_encoded_rows_take_little_room_as_csv(spark, tmp_path):
     """One-hot vectors repeat the same text in every row: compressed, they are read back as they were."""
     hot = spark.range(0, 4_000, 1, 2).select("id", F.array(F.lit(5.0), (F.col("id") % 7).cast("double")).alias("v"))
