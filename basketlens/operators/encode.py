@@ -74,7 +74,7 @@ class CategoryDictionary:
             found = F.coalesce(F.col(f"`_s_{c}`"), F.lit(self.widths[c]))
             if self.null_slot:
                 found = F.when(F.col(f"`_t_{c}`").isNull(), F.lit(self.widths[c] - 1)).otherwise(found)
-            return found.cast("double").alias(c + suffix, metadata=self._attribute(c, suffix))
+            return self.stated(found, c, suffix)
 
         own = {f"{kind}{c}" for c in self.columns for kind in ("_t_", "_s_")}
         found = {c + suffix for c in self.columns}
@@ -82,8 +82,10 @@ class CategoryDictionary:
         kept = [f"`{x}`" for x in df.columns if x not in found] + [f"`{x}`" for x in extra]
         return out.select(*kept, *[slot(c) for c in self.columns])
 
-    def _attribute(self, c: str, suffix: str) -> dict:
-        return {"ml_attr": {"type": "nominal", "name": c + suffix, "num_vals": self.widths[c] + 1}}
+    def stated(self, slot: Column, c: str, suffix: str) -> Column:
+        """A slot as index column: a double that carries its number of categories."""
+        attribute = {"ml_attr": {"type": "nominal", "name": c + suffix, "num_vals": self.widths[c] + 1}}
+        return slot.cast("double").alias(c + suffix, metadata=attribute)
 
     def index_int(self, df: DataFrame, suffix: str = "_index") -> DataFrame:
         """As ``index``, with an int and -1 for unseen or null."""
@@ -114,17 +116,14 @@ class CategoryDictionary:
             frame = self.vectors(frame, suffix, columns)
             return then(frame) if then else frame
 
-        def indexed(slot: Column, c: str) -> Column:
-            return slot.cast("double").alias(c + suffix, metadata=self._attribute(c, suffix))
-
         def values(c: str) -> DataFrame:
             known = self._values(c)
-            hot[c] = encoded(known.select("*", indexed(F.col(f"`_s_{c}`"), c)), [c])
+            hot[c] = encoded(known.select("*", self.stated(F.col(f"`_s_{c}`"), c, suffix)), [c])
             return hot[c].select(*[f"`{x}`" for x in known.columns], F.col(f"`{c}`").alias(f"_v_{c}"))
 
         def constant(below: int) -> Column:
             """What the rows get that the dictionary has no value for: one row, the encoding of width - ``below``."""
-            one = df.sparkSession.range(1).select(*[indexed(F.lit(self.widths[c] - below), c) for c in self.columns])
+            one = df.sparkSession.range(1).select(*[self.stated(F.lit(self.widths[c] - below), c, suffix) for c in self.columns])
             return encoded(one, self.columns).select(F.struct(*[F.col(f"`{c}`") for c in self.columns])).scalar()
 
         if not self.columns:

@@ -1,19 +1,19 @@
 """Random forests that predict any column from the others, and their metrics."""
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from threading import Lock
 
 from pyspark import StorageLevel
 from pyspark.ml import Model
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.linalg import VectorUDT
-from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.functions.bins import age_bin, previous_purchases_bin, purchase_amount_bin
 from basketlens.functions.features import first_slot, vector_head
+from basketlens.operators import forest
 from basketlens.operators.encode import (
     CategoryDictionary,
     Standardizer,
@@ -22,7 +22,7 @@ from basketlens.operators.encode import (
     split,
 )
 from basketlens.operators.segment import run_parallel
-from basketlens.schema import CUSTOMER_ID, ROW_KEY, has, is_floating
+from basketlens.schema import CUSTOMER_ID, ROW_KEY, has
 from basketlens.sources.files import materialised
 
 RATING = "review_rating"
@@ -61,10 +61,11 @@ def prepare(
     null_slot: bool = False,
     keep_index: str | None = None,
     then: Callable[[DataFrame], DataFrame] | None = None,
+    vectors: bool = True,
 ) -> Prepared:
     """Bin, split, one-hot encode, standardise the rating; both parts get the same columns.
 
-    ``then`` goes to ``CategoryDictionary.one_hot``.
+    ``then`` goes to ``CategoryDictionary.one_hot``.  Without ``vectors`` the parts hold the indexes only.
     """
     binned = materialised(bin_columns(df), "binned")
     train, test = split(binned, key)
@@ -73,7 +74,10 @@ def prepare(
     standardizer = fit_standardizer(train, [RATING])
 
     def encode(part: DataFrame) -> DataFrame:
-        return standardizer.replace(dictionary.one_hot(part.drop(CUSTOMER_ID), keep_index, then))
+        part = part.drop(CUSTOMER_ID)
+        if not vectors:
+            return standardizer.replace(dictionary.index(part, keep_index or "_index").drop(*categorical))
+        return standardizer.replace(dictionary.one_hot(part, keep_index, then))
 
     return Prepared(encode(train), encode(test), dictionary, standardizer)
 
@@ -84,19 +88,16 @@ def first_slots(df: DataFrame) -> DataFrame:
     return df.withColumns({c: first_slot(vector_head(F.col(f"`{c}`"))) for c in vectors})
 
 
-def cached(df: DataFrame, partitions: int | None = None, without: Iterable[str] = ()) -> DataFrame:
-    """Fill a spillable cache for iterative work, dealt and ordered by a hash of the rows.
+def cached(df: DataFrame, place: list[Column], partitions: int | None = None) -> DataFrame:
+    """Fill a spillable cache for iterative work, dealt and ordered by a hash of the cells ``place``.
 
     A forest's bootstrap follows the order of the rows in their partitions.  By a hash they
     are the same for any number of cores and any split of the input; unless ``partitions`` is given,
-    there are as many as the number of rows asks for.  The columns ``without`` count for the hash only.
+    there are as many as the number of rows asks for.
     """
     if partitions is None:
         partitions = max(FOREST_PARTITIONS, -(-df.count() // FOREST_ROWS))
-    # Fractions are rounded: the last digits of a fitted mean follow the order in which it was summed.
-    cells = [F.round(f"`{c}`", 6) if is_floating(df, c) else F.col(f"`{c}`") for c in df.columns]
-    place = F.xxhash64(*cells)
-    spread = df.withColumn("_place", place).drop(*without)
+    spread = df.withColumn("_place", F.xxhash64(*place))
     spread = spread.repartition(partitions, "_place").sortWithinPartitions("_place").drop("_place")
     spread = spread.persist(StorageLevel.MEMORY_AND_DISK)
     spread.count()
@@ -105,63 +106,112 @@ def cached(df: DataFrame, partitions: int | None = None, without: Iterable[str]
 
 @dataclass
 class ModelFrame:
-    """One cached frame for all targets: features ``{c}`` and labels ``{c}_y``."""
+    """One cached frame for all targets: features ``{c}`` and labels ``{c}_y``, and the packed rows made of it."""
 
     train: DataFrame
     test: DataFrame
     categorical: list[str]
     rating: str = f"{RATING}_scaled"
     stored: list[DataFrame] = field(default_factory=list)
+    widths: dict[str, int] = field(default_factory=dict)
+    flatten: bool = False
+    bags: dict[tuple, forest.Bag] = field(default_factory=dict)
+    lock: Lock = field(default_factory=Lock)
 
     @property
     def targets(self) -> list[str]:
         return [*self.categorical, self.rating]
 
     def release(self) -> None:
-        for part in self.stored:
+        for part in [*self.stored, *self.bags.values()]:
             part.unpersist()
 
+    def coded(self, part: DataFrame) -> DataFrame:
+        """Stored rows with the columns that codes are made of: the slot, or the first slot, of each attribute, the rating and its label."""
+        return part.withColumnsRenamed({} if self.flatten else {f"{c}_y": c for c in self.categorical})
+
+    def bag(self, target: str, trees: int, seed: int) -> forest.Bag:
+        """The training rows whose label is known, with their counts per tree; all attributes with a label in every row share one."""
+        key = target == self.rating, trees, seed
+        with self.lock:
+            if key not in self.bags:
+                self.bags[key] = self._bag(*key)
+            return self.bags[key]
+
+    def _bag(self, numeric: bool, trees: int, seed: int) -> forest.Bag:
+        known, label = self.coded(self.stored[0]), f"{self.rating}_y"
+        if numeric:
+            known = known.where(F.col(label).isNotNull())
+        rows, wrong = known.agg(F.count(F.lit(1)), F.count_if(F.isnan(self.rating))).first()
+        if not rows or wrong:
+            raise ValueError(f"{rows} training rows, of which {wrong} have NaN as rating: no forest can be grown")
+        numbers = ([*self.categorical] if self.flatten else []) + ([] if numeric else [self.rating])
+        placed = forest.thresholds(known, numbers, rows, seed) if numbers else {}
+        found = [forest.Attribute(c, 0 if c in placed else self.widths[c], placed.get(c)) for c in self.targets if c != self.rating or not numeric]
+        if self.flatten and not numeric:
+            # A label is the code of its attribute wherever that tells 0 from 1.
+            apart = [c for c in self.categorical if not (len(placed[c]) == 1 and 0 <= placed[c][0] < 1)]
+            known = known.withColumns({f"{c}_y": F.col(f"`{c}`") for c in apart})
+            found += [forest.Attribute(f"{c}_y", 1) for c in apart]
+        return forest.pack_bag(known, found, rows, trees, seed, label if numeric else None, merge=self.flatten)
+
 
 def model_frame(df: DataFrame, key: str = ROW_KEY, flatten: bool = False) -> ModelFrame:
     """Encode once and cache once, for every target.
 
     Null is a category of its own.  ``flatten`` reduces each attribute to its first
-    slot ("is it category 0?"), as a feature and as a label.  Whole vectors are neither shuffled nor
+    slot ("is it category 0?"), as a feature and as a label.  Vectors are neither shuffled nor
     cached: they are made of the indexes beside them whenever rows are read.
     """
-    made = prepare(df, key, null_slot=True, keep_index="_y", then=first_slots if flatten else None)
-    frame = ModelFrame(made.train, made.test, made.dictionary.columns)
+    made = prepare(df, key, null_slot=True, keep_index="_y", vectors=False)
+    columns, widths, rating = made.dictionary.columns, made.dictionary.widths, f"{RATING}_scaled"
 
-    def shape(part: DataFrame) -> DataFrame:
+    def dealt(part: DataFrame) -> DataFrame:
         # An unknown rating is 0 as a feature (the training mean) and stays null as a label.
-        rating = [
-            F.coalesce(frame.rating, F.lit(0.0)).alias(frame.rating),
-            F.col(frame.rating).alias(f"{frame.rating}_y"),
-        ]
-        if not flatten:
-            labels = [F.col(f"{c}_y") for c in frame.categorical]
-            return part.select(*frame.categorical, *labels, *rating)
-        binary = {"ml_attr": {"type": "nominal", "num_vals": 2}}
-        labels = [F.col(f"`{c}`").alias(f"{c}_y", metadata=binary) for c in frame.categorical]
-        return part.select(*frame.categorical, *labels, *rating)
-
-    vectors = [] if flatten else frame.categorical
-    shaped = [shape(frame.train), shape(frame.test)]
-    frame.stored = [cached(part, without=vectors) for part in shaped]
-    if vectors:
-        frame.train, frame.test = [made.dictionary.vectors(part, "_y").select(*shaped[0].columns) for part in frame.stored]
-    else:
-        frame.train, frame.test = frame.stored
-    return frame
-
-
-def fit_target(frame: ModelFrame, target: str, trees: int = 20, depth: int = 5, seed: int = 42) -> Model:
+        known = [F.coalesce(rating, F.lit(0.0)).alias(rating), F.col(rating).alias(f"{rating}_y")]
+        if flatten:
+            kept = [(F.col(f"`{c}_y`") == 0).cast("byte").alias(c) for c in columns]
+            cells = 2 * [F.col(f"`{c}`").cast("double") for c in columns]
+        else:
+            kept = [F.col(f"`{c}_y`").cast("int").alias(f"{c}_y") for c in columns]
+            # The cells of a sparse vector, and the index.
+            cells = [x for c in columns for x in _vector_cells(F.col(f"`{c}_y`"), widths[c])]
+            cells += [F.col(f"`{c}_y`").cast("double") for c in columns]
+        # Fractions are rounded: the last digits of a fitted mean follow the order in which it was summed.
+        cells += [F.round(F.col(c), 6) for c in (rating, f"{rating}_y")]
+        # The joins that made the indexes end here: compiled together with the hash, both run several times as long.
+        return cached(materialised(part.select(*kept, *known), "encoded"), cells)
+
+    stored = [dealt(made.train), dealt(made.test)]
+    ratings = [F.col(rating), F.col(f"{rating}_y")]
+
+    def shaped(part: DataFrame) -> DataFrame:
+        if flatten:
+            binary = {"ml_attr": {"type": "nominal", "num_vals": 2}}
+            slots = [F.col(f"`{c}`").cast("double") for c in columns]
+            return part.select(*[x.alias(c) for x, c in zip(slots, columns)], *[x.alias(f"{c}_y", metadata=binary) for x, c in zip(slots, columns)], *ratings)
+        indexed = part.select(*[made.dictionary.stated(F.col(f"`{c}_y`"), c, "_y") for c in columns], *ratings)
+        return made.dictionary.vectors(indexed, "_y").select(*columns, *[f"{c}_y" for c in columns], *ratings)
+
+    return ModelFrame(*map(shaped, stored), columns, rating, stored, widths, flatten)
+
+
+def _vector_cells(slot: Column, width: int) -> list[Column]:
+    """What a hash of the one-hot vector of a slot goes by: its kind, its size, and index and value of the one entry."""
+    inside = slot < width
+    return [F.lit(0).cast("byte"), F.lit(width), F.when(inside, slot), F.when(inside, F.lit(1.0))]
+
+
+def fit_target(frame: ModelFrame, target: str, trees: int = 20, depth: int = 5, seed: int = 42) -> forest.Forest:
     """A forest for one target on all other attributes: regression for the rating."""
-    features = [c for c in frame.targets if c != target]
-    label = f"{target}_y"
-    train = assemble(frame.train, features, label)
-    forest = RandomForestRegressor if target == frame.rating else RandomForestClassifier
-    return forest(labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed).fit(train)
+    bag = frame.bag(target, trees, seed)
+    places = {a.name: i for i, a in enumerate(bag.attributes)}
+    inputs = tuple(places[c] for c in frame.targets if c != target)
+    numeric = target == frame.rating
+    label = None if numeric else places.get(f"{target}_y", places[target])
+    classes = 0 if numeric else 2 if frame.flatten else frame.widths[target] + 1
+    task = forest.Task(tuple(bag.attributes), inputs, label, classes)
+    return forest.Forest(task, forest.grow(bag, task, depth, seed), labelCol=f"{target}_y", maxDepth=depth, seed=seed)
 
 
 def assemble(df: DataFrame, features: list[str], label: str) -> DataFrame:
@@ -170,8 +220,13 @@ def assemble(df: DataFrame, features: list[str], label: str) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features").transform(known).select("features", label)
 
 
-def predict(model: Model, frame: ModelFrame, target: str) -> DataFrame:
-    """Predictions for the test rows, beside the true label."""
+def predict(model: forest.Forest | Model, frame: ModelFrame, target: str) -> DataFrame:
+    """Predictions for the test rows, beside the true label; ``model`` may be one of ``pyspark.ml`` too."""
+    if isinstance(model, forest.Forest):
+        rows = frame.coded(frame.stored[1])
+        if target != frame.rating:
+            return model.score(rows.withColumn(f"{target}_y", F.col(f"`{target}`")), f"{target}_y")
+        return model.score(rows.where(F.col(f"{target}_y").isNotNull()), f"{target}_y")
     features = [c for c in frame.targets if c != target]
     test = assemble(frame.test, features, f"{target}_y")
     return model.transform(test).select(F.col(f"{target}_y").alias("label"), "prediction")
