@@ -30,8 +30,7 @@ RATING = "review_rating"
 # so they depend on the number of rows and nothing else.
 FOREST_PARTITIONS = 32
 FOREST_ROWS = 250_000
-# Rows that forests fitted side by side may hold between them: each keeps its own bagged copy of the training
-# rows, about 300 bytes a row, and copies that do not fit in memory are written and read again at every level.
+# Rows that forests fitted side by side may read between them; more of them keep all cores busy one at a time.
 FITTED_ROWS = 8_000_000
 BINS = {
     "age": age_bin,
